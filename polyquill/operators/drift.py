@@ -64,9 +64,14 @@ def clean_name(name: str) -> str:
     return name.lstrip("﻿").strip()
 
 
+#: A file without any such character is blank; Java's pattern needs the flag (?U) for Unicode blanks.
+FILLED = r'[^\s,"\uFEFF]'
+_FILLED = re.compile(FILLED)
+
+
 def parse_file(file_name: str | None, text: str | None) -> tuple[list[str], list[list[str]]]:
     """Header and rows of one delimited file: tab for .tsv, else comma."""
-    if not text or not text.strip("﻿ \t\r\n"):
+    if not text or not _FILLED.search(text):
         return [], []
     # The mark is taken off first: before a quote it would hide the quoting.
     source = io.StringIO(text.lstrip("﻿"), newline="")
@@ -284,7 +289,8 @@ _CHANGE_ARROW = pa.schema([("file_id", pa.int64()), ("change_kind", pa.string())
 def changes(df: DataFrame) -> DataFrame:
     """One row per change of a version against the one before it."""
     files = digest(df)
-    pairs = version_pairs(files.select("sheet_id", "version_no", "file_id"))
+    # Versions come from the table itself, so that files are parsed for their digests only.
+    pairs = version_pairs(_files(df).where(F.col("file_text").rlike("(?U)" + FILLED)).select("sheet_id", "version_no", "file_id"))
     content = F.struct("cols", "ids", "cells")
     cur = files.select(F.col("file_id").alias("f"), content.alias("cur"))
     prev = files.select(F.col("file_id").alias("p"), content.alias("prev"))
