@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyquill.llm import bpe, terms
+from polyquill.llm import bpe, lookalikes, terms
 from polyquill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,25 @@ SELECT ngram, n, count(*) AS occurrences, count(DISTINCT (country, qid)) AS reco
 }
 
 
+def _lookalike_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, lookalikes.Rewriter]:
+    countries = table(spark, sf_dir, "countries")
+    answers = lookalikes.answer_texts(table(spark, sf_dir, "annotations"), countries)
+    texts = answers.unionByName(lookalikes.response_texts(table(spark, sf_dir, "model_inference_results")))
+    languages = tuple(r.language for r in countries.select("language").distinct().collect())  # 16 rows, fixed
+    return texts, lookalikes.learn(texts, languages)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, rewriter = _lookalike_texts(spark, sf_dir)
+    return lookalikes.rewrite(texts, rewriter, changed_only=True).select("origin", "rec_id", "grp", "item").distinct()
+
+
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in its consistent form."""
+    texts, rewriter = _lookalike_texts(spark, sf_dir)
+    return lookalikes.rewrite(texts, rewriter)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -70,4 +89,4 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["p6_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_terms": p1_terms, "p1_ngrams": p1_ngrams, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_terms": p1_terms, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_forms": p2_forms, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
