@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyquill.llm import bpe, lookalikes, terms
+from polyquill.llm import bpe, lookalikes, pairs, terms
 from polyquill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,12 +59,16 @@ SELECT ngram, n, count(*) AS occurrences, count(DISTINCT (country, qid)) AS reco
 }
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
+    """The languages of the fixed table of 16 countries."""
+    return tuple(sorted({r.language for r in table(spark, sf_dir, "countries").select("language").collect() if r.language}))
+
+
 def _lookalike_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, lookalikes.Rewriter]:
     countries = table(spark, sf_dir, "countries")
     answers = lookalikes.answer_texts(table(spark, sf_dir, "annotations"), countries)
     texts = answers.unionByName(lookalikes.response_texts(table(spark, sf_dir, "model_inference_results")))
-    languages = tuple(r.language for r in countries.select("language").distinct().collect())  # 16 rows, fixed
-    return texts, lookalikes.learn(texts, languages)
+    return texts, lookalikes.learn(texts, _languages(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +82,10 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.rewrite(texts, rewriter)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(table(spark, sf_dir, "model_inference_results"), _languages(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -89,4 +97,4 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["p6_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_terms": p1_terms, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_forms": p2_forms, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_terms": p1_terms, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
