@@ -243,38 +243,45 @@ class Collection:
         self.word_total = [sum(c.values()) for c in self.words]
         self.gram_total = [sum(c.values()) for c in self.grams]
         self.leads, self.stops = held["lead", ""], held["stop", ""]
-        self._scores: dict[str, tuple[float, ...]] = {}
+        self.groups: dict[str, list[int]] = defaultdict(list)
+        for i, x in enumerate(self.languages):
+            self.groups[_SCRIPT_OF.get(x, "LATIN")].append(i)
+        self._scores: dict[tuple[str, str], tuple[float, ...]] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_scores": {}}
 
-    def score(self, word: str) -> tuple[float, ...]:
-        """Log likelihood of a word in each language: from the counts of the
-        word itself, smoothed by those of its letter groups."""
-        held = self._scores.get(word)
+    def score(self, word: str, group: str) -> tuple[float, ...]:
+        """Log likelihood of a word in each language of a script: from the
+        counts of the word itself, smoothed by those of its letter groups."""
+        held = self._scores.get((word, group))
         if held is None:
             b = _bucket(word, WORD_BUCKETS)
             gs = [_bucket(g, GRAM_BUCKETS) for g in grams(word)]
-            held = tuple(
-                math.log(
-                    (c.get(b, 0) + 2.0 * math.exp(sum(math.log((g.get(x, 0) + 0.05) / (gt + 0.05 * GRAM_BUCKETS)) for x in gs) / max(1, len(gs)))) / (ct + 2.0)
-                )
-                for c, g, ct, gt in zip(self.words, self.grams, self.word_total, self.gram_total, strict=True)
-            )
+            out = []
+            for i in self.groups[group]:
+                c, g, total = self.words[i], self.grams[i], self.gram_total[i] + 0.05 * GRAM_BUCKETS
+                back = math.exp(sum(math.log((g.get(x, 0) + 0.05) / total) for x in gs) / max(1, len(gs)))
+                out.append(math.log((c.get(b, 0) + 2.0 * back) / (self.word_total[i] + 2.0)))
+            held = tuple(out)
             if len(self._scores) >= self.CACHE:
                 self._scores.clear()
-            self._scores[word] = held
+            self._scores[word, group] = held
         return held
 
     def margin(self, words: list[str], language: str) -> float:
         """Log odds of the best other language of the same script against `language`."""
-        own = _SCRIPT_OF.get(language, "LATIN")
-        rivals = [i for i, x in enumerate(self.languages) if x != language and _SCRIPT_OF.get(x, "LATIN") == own]
-        if not rivals:
+        group = _SCRIPT_OF.get(language, "LATIN")
+        members = self.groups[group]
+        if len(members) < 2:
             return -math.inf
-        at = self.languages.index(language)
-        sums = [sum(x) for x in zip(*(self.score(w) for w in words), strict=True)]
-        return max(sums[i] for i in rivals) - sums[at]
+        sums = [0.0] * len(members)
+        for w in words:
+            for i, x in enumerate(self.score(w, group)):
+                sums[i] += x
+        at = members.index(self.languages.index(language))
+        own = sums.pop(at)
+        return max(sums) - own
 
     def begins_a_sentence(self, text: str) -> float | None:
         """Share of the texts beginning so that end with a stop; None of rare ones."""
@@ -307,7 +314,10 @@ REFUSAL_CUES = {
     "ha": r"\bba zan iya|\bban san|ba ni da (?:bayani|ra'ayi|masaniya|izini|amsa)|yi haƙuri|samfurin harshe|ba na iya|ba a yarda",
     "az": r"bilmərəm|bilmirəm|məlumatım yoxdur|fikrim yoxdur|bağışlayın|üzr ist|dil modeliyəm|icazəm yoxdur",
 }
-_REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSAL_CUES.values()))
+_LATIN_CUES = ("en", "es", "id", "su", "ha", "az")
+_REFUSAL_LATIN = re.compile("|".join(f"(?:{REFUSAL_CUES[x]})" for x in _LATIN_CUES))
+_REFUSAL_OTHER = re.compile("|".join(f"(?:{p})" for x, p in REFUSAL_CUES.items() if x not in _LATIN_CUES))
+_BEYOND_LATIN = re.compile("[\u0370-\U000e0000]")
 #: First-person or impersonal statements about answering, told by their object.
 _STRONG = re.compile(
     r"(?:answer|question|topic|help|opinion|request|information|context|discuss|comment|respond|regarding|about this|respuesta|pregunta|tema|opinion|hablar|pertanyaan|topik|pendapat|membahas|jawabannya|patarosan|katerangan|pamanggih|jawaban|tambaya|batu|ra'ayi|amsa|suala|mövzu|fikrim|cavab|ερώτηση|θέμα|γνώμη|απάντηση|μιλήσω|السؤال|الموضوع|رأي|معلومات|الحديث|الإجابة|پرسش|موضوع|نظری|پاسخ|صحبت|질문|주제|의견|말씀|답을|回答|主题|意见|问题|看法|答案|প্ৰশ্ন|বিষয়ে|মত নাই|উত্তৰ|ጥያቄ|ርዕስ|አስተያየት|መልስ|መናገር)"
@@ -391,8 +401,8 @@ class Labeller:
         )
         if not letters or nothing:
             return empty, (NO,) * 8, (NO, NO, ABSTAIN, NO), (NO, NO, NO, ABSTAIN), ""
-        said = squash("\n".join(drop_label(x) for x in answer.body.split("\n")))
-        return empty, self._truncated(answer), self._refusal(low), self._other(answer, language), said
+        said = [drop_label(x) for x in answer.body.split("\n")]
+        return empty, self._truncated(answer), self._refusal(low), self._other(answer, language), "\n".join(said)
 
     def _truncated(self, answer: Answer) -> tuple[int, ...]:
         raw = answer.raw
@@ -422,7 +432,7 @@ class Labeller:
 
     @staticmethod
     def _refusal(low: str) -> tuple[int, ...]:
-        m = _REFUSAL.search(low)
+        m = _REFUSAL_LATIN.search(low) or (_REFUSAL_OTHER.search(low) if _BEYOND_LATIN.search(low) else None)
         if not m:
             return NO, NO, ABSTAIN, NO
         same = _ANSWERS_ALL_THE_SAME.search(low) is not None
@@ -438,12 +448,12 @@ class Labeller:
         words = words_of(" \n ".join(drop_label(x) for x in answer.body.split("\n")))
         if not words:
             return NO, NO, NO, ABSTAIN
-        scripts: Counter = Counter()
+        scripts: dict[str, int] = {}
         for w in words:
-            scripts[script(w[0])] += len(w)
-        main, n = scripts.most_common(1)[0]
-        own = _SCRIPT_OF.get(language, "LATIN")
-        if main != own:
+            of = script(w[0])
+            scripts[of] = scripts.get(of, 0) + len(w)
+        main = max(scripts, key=scripts.__getitem__)
+        if main != _SCRIPT_OF.get(language, "LATIN"):
             return YES, YES, YES, ABSTAIN
         margin = self.collection.margin(words, language)
         return NO, YES if margin > 1.0 else NO, YES if margin > 3.0 else ABSTAIN, NO if margin < -1.0 else ABSTAIN
@@ -469,9 +479,15 @@ class Labeller:
     def _copy(self, question: str | None, prompt: str | None, said: str) -> tuple[int, ...]:
         if not prompt and not question:
             return ABSTAIN, ABSTAIN, ABSTAIN
-        if len(said) < 6:
+        # A copy has the words of its source: told first by its ends, cheaply.
+        ends = _WORDS.findall(said)
+        if len(said) < 6 or not ends:
+            return NO, NO, NO
+        source = plain(f"{question or ''}\n{prompt or ''}").lower()
+        if ends[0].lower() not in source or ends[-1].lower() not in source:
             return NO, NO, NO
         whole, asked = self._sources(question, prompt)
+        said = squash(said)
         rest = said.replace(whole, "") if whole else said
         left = rest
         for q in asked:
