@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyquill.llm import bpe, lookalikes, mixing, pairs, terms
+from polyquill.llm import bpe, lookalikes, mixing, pairs, pii, terms
 from polyquill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,14 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"), pii.learn(table(spark, sf_dir, "name_lexicon")))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(table(spark, sf_dir, "documents"), pii.learn(table(spark, sf_dir, "name_lexicon")))
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     counted = bpe.token_counts(documents).withColumn("sources", F.array_compact(F.array("source")))
@@ -107,4 +115,4 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["p6_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_terms": p1_terms, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_terms": p1_terms, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
