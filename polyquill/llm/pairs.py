@@ -19,7 +19,6 @@ never `other_language`; a row delivered twice gives each defect once.
 
 from __future__ import annotations
 
-import itertools
 import json
 import math
 import re
@@ -27,6 +26,7 @@ import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +44,8 @@ YES, NO, ABSTAIN = 1, 2, 0
 WORD_BUCKETS = 1 << 15
 GRAM_BUCKETS = 1 << 14
 LEAD_BUCKETS = 1 << 17
+#: Distinct responses a task of the statistics holds before it reads them.
+TEXTS_HELD = 50_000
 
 # --- text helpers ----------------------------------------------------------
 
@@ -157,7 +159,9 @@ _ASIDE_END = re.compile(r"\s*[\(\[（][^()\[\]（）]{0,12}[\)\]）]\s*$")
 
 def words_of(text: str) -> list[str]:
     """Words in lower case, without asides in brackets."""
-    return _WORDS.findall(_ASIDE.sub(" ", text).lower())
+    if "(" in text or "[" in text or "（" in text:
+        text = _ASIDE.sub(" ", text)
+    return _WORDS.findall(text.lower())
 
 
 def _bucket(text: str, n: int) -> int:
@@ -198,18 +202,25 @@ def statistics(responses: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
         heads, stopped = Counter(), Counter()
-        for batch in batches:
-            by: dict[str, list[str]] = defaultdict(list)
-            for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        def take(held: Counter) -> None:
+            for (language, text), n in held.items():
                 text = Answer(text).body if text[:1] in "{[`" else plain(text)
                 if language in known:
-                    by[language].append(text)
+                    own = counts["word", language]
+                    for w in words_of(text):
+                        own[w] += n
                 head = lead(drop_label(text))
-                heads[head] += 1
+                heads[head] += n
                 if ends_with_stop(text):
-                    stopped[head] += 1
-            for language, own in by.items():
-                counts["word", language].update(words_of("\n".join(own)))
+                    stopped[head] += n
+
+        held: Counter = Counter()  # equal responses are read once
+        for batch in batches:
+            held.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            if len(held) > TEXTS_HELD:
+                take(held)
+                held = Counter()
+        take(held)
         for (_, language), c in list(counts.items()):
             words, parts = Counter(), Counter()
             for w, n in c.items():
@@ -330,6 +341,7 @@ _SENTENCE_BREAK = re.compile(r"[.!?。।።؟？！…][\"”»'’)]*\s+(?=\S)
 _COMMA = re.compile("[,،、，፣]")
 _COMMA_END = re.compile(r"[,،、，;፣]\s*$")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "“": "”", "«": "»"}
+_OPENING = re.compile("[" + re.escape("".join(_PAIRS)) + "]")
 _QUESTION_MARK = re.compile("[?？؟;;]")
 _SCRIPT_OF = {"Korean": "HANGUL", "Chinese": "CJK", "Amharic": "ETHIOPIC", "Assamese": "BENGALI", "Greek": "GREEK", "Arabic": "ARABIC", "Persian": "ARABIC"}
 
@@ -347,6 +359,8 @@ def _unclosed(text: str) -> bool:
     """Whether a bracket or double quote is opened and not closed."""
     if text.count('"') % 2 or text.count("```") % 2 or text.count("**") % 2:
         return True
+    if not _OPENING.search(text):
+        return False
     stack: list[str] = []
     for ch in text:
         if ch in _PAIRS:
@@ -401,8 +415,8 @@ class Labeller:
         )
         if not letters or nothing:
             return empty, (NO,) * 8, (NO, NO, ABSTAIN, NO), (NO, NO, NO, ABSTAIN), ""
-        said = [drop_label(x) for x in answer.body.split("\n")]
-        return empty, self._truncated(answer), self._refusal(low), self._other(answer, language), "\n".join(said)
+        said = "\n".join([drop_label(x) for x in answer.body.split("\n")])
+        return empty, self._truncated(answer), self._refusal(low), self._other(said, language), said
 
     def _truncated(self, answer: Answer) -> tuple[int, ...]:
         raw = answer.raw
@@ -441,18 +455,19 @@ class Labeller:
             return ABSTAIN, NO, NO, ABSTAIN
         return YES, YES if strong else ABSTAIN, ABSTAIN, YES if m.start() < 40 else ABSTAIN
 
-    def _other(self, answer: Answer, language: str | None) -> tuple[int, ...]:
-        known = self.collection.languages
-        if language not in known:
+    def _other(self, said: str, language: str | None) -> tuple[int, ...]:
+        if language not in self.collection.languages:
             return ABSTAIN, ABSTAIN, ABSTAIN, ABSTAIN
-        words = words_of(" \n ".join(drop_label(x) for x in answer.body.split("\n")))
+        words = words_of(said)
         if not words:
             return NO, NO, NO, ABSTAIN
-        scripts: dict[str, int] = {}
-        for w in words:
-            of = script(w[0])
-            scripts[of] = scripts.get(of, 0) + len(w)
-        main = max(scripts, key=scripts.__getitem__)
+        main = "LATIN"
+        if _BEYOND_LATIN.search(said):
+            scripts: dict[str, int] = {}
+            for w in words:
+                of = script(w[0])
+                scripts[of] = scripts.get(of, 0) + len(w)
+            main = max(scripts, key=scripts.__getitem__)
         if main != _SCRIPT_OF.get(language, "LATIN"):
             return YES, YES, YES, ABSTAIN
         margin = self.collection.margin(words, language)
@@ -539,8 +554,10 @@ class LabelModel:
         return 1 / (1 + math.exp(min(700.0, b - a)))
 
 
-def _code(votes: Iterable[int]) -> int:
-    return sum(v * 3**i for i, v in enumerate(itertools.islice(votes, 32)))
+@cache
+def _code(votes: tuple[int, ...]) -> int:
+    """Vote pattern as a number; the patterns are few."""
+    return sum(v * 3**i for i, v in enumerate(votes))
 
 
 def _decode(code: int, n: int) -> tuple[int, ...]:
