@@ -1,5 +1,5 @@
 """Named queries over the data folder, with SQL to hold them against."""
 
-from polyquill.plans import general
+from polyquill.plans import evaluation, general
 
-CATALOGS = [general]
+CATALOGS = [evaluation, general]
