@@ -57,45 +57,52 @@ def candidates(reps: DataFrame, countries: DataFrame) -> DataFrame:
     most votes first, then by country and place."""
     order = F.broadcast(countries.select("country", "country_ord"))  # fixed, 16 rows
     rows = reps.where(F.col("votes") >= MIN_VOTES).join(order, "country")
-    item = F.struct((-F.col("votes")).alias("v"), "country_ord", "pos", "country", "answer")
+    item = F.struct((-F.col("votes")).alias("v"), "country_ord", "pos", "country", "answer", *_read(F.col("answer")))
     return rows.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("cands"))
 
 
+def _read(answer: Column) -> list[Column]:
+    """What the comparison of two answers needs, taken from each once."""
+    return [T.words(answer).alias("words"), T.number(answer).alias("num")]
+
+
 def similar(a: Column, b: Column, judged: Column | None) -> Column:
-    """Similar by text, or judged so; `judged` is an array of `x<TAB>y` pairs."""
-    by_text = ~T.no_common_word(a, b)
+    """Whether two answers (structs of answer, words, num) are similar by text
+    or judged so; `judged` is an array of `x<TAB>y` pairs."""
+    x, y = a["answer"], b["answer"]
+    as_numbers = a["num"].isNotNull() & b["num"].isNotNull()
+    by_text = F.when(as_numbers, (a["num"] == b["num"]) & ~F.isnan(a["num"])).otherwise(x.contains(y) | y.contains(x) | F.arrays_overlap(a["words"], b["words"]))
     if judged is None:
         return by_text
-    key = F.concat_ws("\t", F.least(a, b), F.greatest(a, b))
-    return by_text | F.array_contains(judged, key)
+    return by_text | F.array_contains(judged, F.concat_ws("\t", F.least(x, y), F.greatest(x, y)))
 
 
 def distractors(reps: DataFrame, countries: DataFrame, judged: DataFrame | None = None) -> DataFrame:
     """(country, qid, question, answers, choices): for each country at most one
     answer of every other country, chosen greedily: not like any own answer,
     nor like one chosen before. judged: qid, a, b of pairs found similar."""
-    own = reps.groupBy("country", "qid", "question").agg(F.collect_list(F.struct("pos", "answer", "votes")).alias("mine"))
+    own = reps.groupBy("country", "qid", "question").agg(F.collect_list(F.struct("pos", "answer", "votes", *_read(F.col("answer")))).alias("mine"))
     own = own.withColumn("mine", F.array_sort("mine"))
     most = F.array_max(F.transform("mine", lambda m: m["votes"]))
     fitting = F.filter("mine", lambda m: T.fits_question(m["answer"], F.col("question")))
-    own = own.withColumn("answers", F.transform(F.filter(fitting, lambda m: m["votes"] == most), lambda m: m["answer"])).withColumn("mine", F.transform(fitting, lambda m: m["answer"]))
+    own = own.withColumn("answers", F.transform(F.filter(fitting, lambda m: m["votes"] == most), lambda m: m["answer"])).withColumn("mine", fitting)
     rows = own.join(candidates(reps, countries), "qid", "left")
     pairs = None
     if judged is not None:
         held = judged.groupBy("qid").agg(F.collect_set(F.concat_ws("\t", F.least("a", "b"), F.greatest("a", "b"))).alias("judged"))
         rows = rows.join(held, "qid", "left").withColumn("judged", F.coalesce("judged", F.array().cast("array<string>")))
         pairs = F.col("judged")
-    kind = "struct<country:string,answer:string>"
+    kind = "struct<country:string,answer:string,words:array<string>,num:double>"
     start = F.struct(F.array().cast(f"array<{kind}>").alias("chosen"), F.array().cast("array<string>").alias("blocked"))
 
     def step(acc: Column, c: Column) -> Column:
         skip = (c["country"] == F.col("country")) | F.exists(acc["chosen"], lambda x: x["country"] == c["country"]) | F.array_contains(acc["blocked"], c["answer"]) | ~T.fits_question(c["answer"], F.col("question"))
-        clash = F.exists("mine", lambda m: similar(c["answer"], m, pairs)) | F.exists(acc["chosen"], lambda x: similar(c["answer"], x["answer"], pairs))
-        take = F.struct(F.concat(acc["chosen"], F.array(F.struct(c["country"].alias("country"), c["answer"].alias("answer")))).alias("chosen"), acc["blocked"].alias("blocked"))
+        clash = F.exists("mine", lambda m: similar(c, m, pairs)) | F.exists(acc["chosen"], lambda x: similar(c, x, pairs))
+        take = F.struct(F.concat(acc["chosen"], F.array(F.struct(*(c[f].alias(f) for f in ("country", "answer", "words", "num"))))).alias("chosen"), acc["blocked"].alias("blocked"))
         block = F.struct(acc["chosen"].alias("chosen"), F.concat(acc["blocked"], F.array(c["answer"])).alias("blocked"))
         return F.when(skip, acc).when(clash, block).otherwise(take)
 
-    chosen = F.aggregate(F.coalesce("cands", F.array().cast("array<struct<v:bigint,country_ord:int,pos:int,country:string,answer:string>>")), start, step, lambda a: a["chosen"])
+    chosen = F.aggregate(F.coalesce("cands", F.array().cast("array<struct<v:bigint,country_ord:int,pos:int,country:string,answer:string,words:array<string>,num:double>>")), start, step, lambda a: F.transform(a["chosen"], lambda x: F.struct(x["country"].alias("country"), x["answer"].alias("answer"))))
     return rows.select("country", "qid", "question", "answers", chosen.alias("choices"))
 
 

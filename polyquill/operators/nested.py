@@ -130,7 +130,7 @@ class MerkleShredder:
             rows[i][6], rows[i][7] = kind, h
             parent, key, at = up[i]
             if parent >= 0:
-                parts[parent].append((key, at, h))
+                parts[parent].append(("" if isinstance(values[parent], list) else key, at, h))
             if h not in self.store:
                 self.store[h] = (kind, content, sum(p[1] != -2 for p in parts[i]))
         for i, (parent, _, _) in enumerate(up):
