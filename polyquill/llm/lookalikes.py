@@ -274,7 +274,7 @@ class Rewriter:
         self.main_script = {language: c.most_common(1)[0][0] for language, c in held["script"].items() if c}
         letters: Counter = sum(held["script"].values(), Counter())
         #: Scripts the collection is written in; letters of others only stand in.
-        self.live = {s for s, n in letters.items() if n >= self.LIVE * letters.total()}
+        self.live = {s for s, n in letters.items() if n >= self.LIVE * letters.total()} or {"LATIN"}
         pairs = held["pair"]
         self.odds = self._odds(pairs)
         self._machines: dict[str, ahocorasick.Automaton] = {}
@@ -352,7 +352,7 @@ class Rewriter:
             out, start = [], 0
             for end, (n, best) in self.machine(language).iter_long(new):
                 i = end + 1 - n
-                if wide and n == 1 and not best.isalnum() and (new[i] in _WIDE_MARKS or best in _WIDE_MARKS):
+                if n == 1 and not best.isalnum() and (best in _WIDE_MARKS or (wide and new[i] in _WIDE_MARKS)):
                     continue
                 out += (new[start:i], best)
                 start = end + 1

@@ -68,7 +68,7 @@ class ConvexArc:
 def min_cost_flow(arcs: dict[tuple[str, str], ConvexArc], source: str, sink: str, amount: int) -> int:
     """Sends up to `amount` at least cost by successive shortest paths; returns
     what could be sent. Flows are left in the arcs."""
-    nodes = {x for arc in arcs for x in arc}
+    nodes = {source, sink, *(x for arc in arcs for x in arc)}
     sent = 0
     while sent < amount:
         cost = dict.fromkeys(nodes, math.inf)

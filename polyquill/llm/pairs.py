@@ -97,6 +97,9 @@ def drop_label(line: str) -> str:
     return line[m.end() :] if m and m.group(1).strip("*_").lower() in LABELS else line
 
 
+_STRINGS = re.compile(r'"((?:[^"\\]|\\.)*)(?:"|$)(\s*:)?')
+
+
 def _scalars(value: object) -> Iterator[str]:
     stack = [value]
     while stack:
@@ -128,9 +131,8 @@ class Answer:
                 self.json_ok = True
                 self.parts = list(_scalars(value))
             except (ValueError, RecursionError):
-                # The values as far as they came.
-                self.parts = [p.replace('\\"', '"') for p in re.findall(r'"((?:[^"\\]|\\.)*)(?:"(?!\s*:)|$)', body)] or [body]
-                self.parts = [_unescape(p) for p in self.parts]
+                # The values as far as they came; strings before a colon are keys.
+                self.parts = [_unescape(m.group(1).replace('\\"', '"')) for m in _STRINGS.finditer(body) if not m.group(2)] or [body]
         self.body = "\n".join(plain(p) for p in self.parts)
 
 
