@@ -28,6 +28,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -311,25 +312,63 @@ MISSING = frozenset(
      "ninguno", "ninguna", "sin respuesta", "tidak ada", "teu aya", "babu", "yoxdur", "κανένα", "καμία απάντηση", "لا يوجد", "لا شيء", "هیچ", "ندارد", "없음", "无", "無", "নাই", "የለም"]
 )
 
-#: Cues of a refusal by language; matched in plain lower case.
+#: Cues of a refusal by language, in plain lower case: (a|b) stands for either,
+#: an empty side for nothing.
 REFUSAL_CUES = {
-    "en": r"\b(?:i(?:'m| am) (?:sorry|afraid|unable|not able|not allowed)|apologies|sorry, (?:but |i |no |this |we )|(?:can(?:'|no)?t|can not|could ?n[o']t|unable to|not able to|won't|will not) (?:help|answer|assist|provide|give|respond|discuss|comment|share|say|offer|tell|speak|talk)|do(?:n't| not) (?:know|have (?:an?|any|the|enough|a country|sufficient))|(?:have|has) no (?:information|idea|opinion|answer|knowledge|data|comment)|no comment|as an? (?:ai|artificial|large|language)|rather not|not (?:be )?appropriate|n[o']t enough (?:context|information)|falls outside|not (?:allowed|permitted) to|decline to|refuse to answer)",
-    "ko": r"수 없습니다|수 없어요|어렵습니다|정보가 없|모르겠|모릅니다|죄송|인공지능이라|언어 모델",
-    "es": r"\bno (?:puedo|podría|sé\b|se la respuesta|dispongo|tengo (?:información|informacion|opini|datos|idea)|me es posible|me está permitido|conozco la respuesta|estoy autorizad)|lo siento|modelo de lenguaje|prefiero no|disculp",
-    "id": r"\b(?:tidak|belum) (?:dapat|bisa|mampu|boleh) (?:menjawab|membahas|memberi|membantu|membicarakan|berbicara)|tidak (?:punya|memiliki|mempunyai|tahu|mengetahui)|mohon maaf|maaf, saya|model bahasa|kurang tahu",
-    "su": r"\b(?:teu|henteu) (?:tiasa|gaduh|terang|apal|uninga|kénging)|hapunten|mod[eé]l basa",
-    "zh": r"无法|不便|不知道|没有关于|没有相关|抱歉|对不起|语言模型|不能回答|没有看法|不清楚|没有意见|不予置评",
-    "fa": r"نمی ?توانم|نمی ?دانم|اطلاعاتی ندارم|اطلاعی ندارم|متا?أ?سفم|مدل زبانی|نظری ندارم|اجازه ندارم|معذورم",
-    "ar": r"لا (?:أستطيع|استطيع|يمكنني|أعرف|اعرف|أعلم|أدري|توجد لدي|أملك)|ليس لدي|ليست لدي|عذرا|آسف|نموذجا? لغويا?|غير مسموح",
-    "as": r"নোৱাৰ|নাজান|তথ্য নাই|মত নাই|দুঃখিত|ভাষা মডেল|ক্ষমা কৰিব",
-    "el": r"\bδεν (?:μπορώ|ξέρω|γνωρίζω|έχω (?:πληροφορίες|γνώμη|άποψη)|μου επιτρέπεται|είμαι σε θέση|θα ήθελα)|λυπάμαι|συγγνώμη|γλωσσικό μοντέλο",
-    "am": r"አልችልም|አላውቅ|መረጃ የለኝም|አስተያየት የለኝም|ይቅርታ|የቋንቋ ሞዴል|አይፈቀድልኝም|አይቻለኝም|አይቻልም",
-    "ha": r"\bba zan iya|\bban san|ba ni da (?:bayani|ra'ayi|masaniya|izini|amsa)|yi haƙuri|samfurin harshe|ba na iya|ba a yarda",
-    "az": r"bilmərəm|bilmirəm|məlumatım yoxdur|fikrim yoxdur|bağışlayın|üzr ist|dil modeliyəm|icazəm yoxdur",
+    "en": "(i'm|i am) (sorry|afraid|unable|not able|not allowed)|apologies|sorry, (but|i|no|this|we) |(cant|can't|cannot|can not|couldnt|couldn't|could not|unable to|not able to|won't|will not) (help|answer|assist|provide|give|respond|discuss|comment|share|say|offer|tell|speak|talk)|(don't|do not) (know|have (an|a|any|the|enough|a country|sufficient))|(have|has) no (information|idea|opinion|answer|knowledge|data|comment)|no comment|as (an|a) (ai|artificial|large|language)|rather not|not (be |)appropriate|(isn't|not) enough (context|information)|falls outside|not (allowed|permitted) to|decline to|refuse to answer",
+    "ko": "수 없습니다|수 없어요|어렵습니다|정보가 없|모르겠|모릅니다|죄송|인공지능이라|언어 모델",
+    "es": "no (puedo|podría|sé|se la respuesta|dispongo|tengo (información|informacion|opini|datos|idea)|me es posible|me está permitido|conozco la respuesta|estoy autorizad)|lo siento|modelo de lenguaje|prefiero no|disculp",
+    "id": "(tidak|belum) (dapat|bisa|mampu|boleh) (menjawab|membahas|memberi|membantu|membicarakan|berbicara)|tidak (punya|memiliki|mempunyai|tahu|mengetahui)|mohon maaf|maaf, saya|model bahasa|kurang tahu",
+    "su": "(teu|henteu) (tiasa|gaduh|terang|apal|uninga|kénging)|hapunten|(modél|model) basa",
+    "zh": "无法|不便|不知道|没有关于|没有相关|抱歉|对不起|语言模型|不能回答|没有看法|不清楚|没有意见|不予置评",
+    "fa": "نمی( |)توانم|نمی( |)دانم|اطلاعاتی ندارم|اطلاعی ندارم|متاسفم|متأسفم|مدل زبانی|نظری ندارم|اجازه ندارم|معذورم",
+    "ar": "لا (أستطيع|استطيع|يمكنني|أعرف|اعرف|أعلم|أدري|توجد لدي|أملك)|ليس لدي|ليست لدي|عذرا|آسف|نموذج(ا|) لغوي|غير مسموح",
+    "as": "নোৱাৰ|নাজান|তথ্য নাই|মত নাই|দুঃখিত|ভাষা মডেল|ক্ষমা কৰিব",
+    "el": "δεν (μπορώ|ξέρω|γνωρίζω|έχω (πληροφορίες|γνώμη|άποψη)|μου επιτρέπεται|είμαι σε θέση|θα ήθελα)|λυπάμαι|συγγνώμη|γλωσσικό μοντέλο",
+    "am": "አልችልም|አላውቅ|መረጃ የለኝም|አስተያየት የለኝም|ይቅርታ|የቋንቋ ሞዴል|አይፈቀድልኝም|አይቻለኝም|አይቻልም",
+    "ha": "ba zan iya|ban san|ba ni da (bayani|ra'ayi|masaniya|izini|amsa)|yi haƙuri|samfurin harshe|ba na iya|ba a yarda",
+    "az": "bilmərəm|bilmirəm|məlumatım yoxdur|fikrim yoxdur|bağışlayın|üzr ist|dil modeliyəm|icazəm yoxdur",
 }
-_LATIN_CUES = ("en", "es", "id", "su", "ha", "az")
-_REFUSAL_LATIN = re.compile("|".join(f"(?:{REFUSAL_CUES[x]})" for x in _LATIN_CUES))
-_REFUSAL_OTHER = re.compile("|".join(f"(?:{p})" for x, p in REFUSAL_CUES.items() if x not in _LATIN_CUES))
+
+
+def expand(cues: str) -> list[str]:
+    """All strings of a cue pattern."""
+
+    def alternatives(at: int) -> tuple[list[str], int]:
+        done, now = [], [""]
+        while at < len(cues) and cues[at] != ")":
+            if cues[at] == "|":
+                done, now, at = done + now, [""], at + 1
+            elif cues[at] == "(":
+                inner, at = alternatives(at + 1)
+                now, at = [a + b for a in now for b in inner], at + 1
+            else:
+                now, at = [a + cues[at] for a in now], at + 1
+        return done + now, at
+
+    return alternatives(0)[0]
+
+
+@cache
+def _cues() -> ahocorasick.Automaton:
+    machine = ahocorasick.Automaton()
+    for cues in REFUSAL_CUES.values():
+        for c in expand(cues):
+            machine.add_word(c, len(c))
+    machine.make_automaton()
+    return machine
+
+
+def first_cue(low: str) -> int | None:
+    """Where the first cue of a refusal begins; one of letters with capitals
+    begins a word."""
+    starts = [
+        at for end, n in _cues().iter(low)
+        if (at := end + 1 - n) == 0 or not low[at - 1].isalnum() or low[at] > "\u05ff"
+    ]
+    return min(starts, default=None)
+
+
 _BEYOND_LATIN = re.compile("[\u0370-\U000e0000]")
 #: First-person or impersonal statements about answering, told by their object.
 _STRONG = re.compile(
@@ -395,8 +434,8 @@ class Labeller:
             if len(self._held) >= self.CACHE:
                 self._held.clear()
             self._held[key] = own
-        empty, truncated, refusal, other, said = own
-        copy = self._copy(question, prompt, said)
+        empty, truncated, refusal, other, copied = own
+        copy = self._copy(question, prompt, copied)
         if copy[0] == YES or copy[1] == YES:
             # A whole question may end as it likes: nothing it began is missing.
             truncated = (*(NO if f in ("open_sentence", "opens_like_sentence", "long_without_stop", "comma_end") else v for f, v in zip(FUNCTIONS["truncated"], truncated, strict=True)),)
@@ -404,7 +443,7 @@ class Labeller:
 
     def _own(self, language: str | None, response: str | None) -> tuple:
         if response is None or not plain(response).strip():
-            return (YES, YES, ABSTAIN, ABSTAIN, NO), (NO,) * 8, (NO, NO, ABSTAIN, NO), (NO, NO, NO, ABSTAIN), ""
+            return (YES, YES, ABSTAIN, ABSTAIN, NO), (NO,) * 8, (NO, NO, ABSTAIN, NO), (NO, NO, NO, ABSTAIN), None
         answer = Answer(response)
         low = answer.body.lower()
         letters = _KEEP.search(answer.body) is not None
@@ -416,9 +455,11 @@ class Labeller:
             YES if nothing else ABSTAIN, NO if letters and not nothing else YES,
         )
         if not letters or nothing:
-            return empty, (NO,) * 8, (NO, NO, ABSTAIN, NO), (NO, NO, NO, ABSTAIN), ""
+            return empty, (NO,) * 8, (NO, NO, ABSTAIN, NO), (NO, NO, NO, ABSTAIN), None
         said = "\n".join([drop_label(x) for x in answer.body.split("\n")])
-        return empty, self._truncated(answer), self._refusal(low), self._other(said, language), said
+        ends = _WORDS.findall(said)
+        copied = (said, ends[0].lower(), ends[-1].lower()) if ends and len(said) >= 6 else None
+        return empty, self._truncated(answer), self._refusal(low), self._other(said, language), copied
 
     def _truncated(self, answer: Answer) -> tuple[int, ...]:
         raw = answer.raw
@@ -448,14 +489,14 @@ class Labeller:
 
     @staticmethod
     def _refusal(low: str) -> tuple[int, ...]:
-        m = _REFUSAL_LATIN.search(low) or (_REFUSAL_OTHER.search(low) if _BEYOND_LATIN.search(low) else None)
-        if not m:
+        at = first_cue(low)
+        if at is None:
             return NO, NO, ABSTAIN, NO
         same = _ANSWERS_ALL_THE_SAME.search(low) is not None
         strong = _STRONG.search(low) is not None
         if same:
             return ABSTAIN, NO, NO, ABSTAIN
-        return YES, YES if strong else ABSTAIN, ABSTAIN, YES if m.start() < 40 else ABSTAIN
+        return YES, YES if strong else ABSTAIN, ABSTAIN, YES if at < 40 else ABSTAIN
 
     def _other(self, said: str, language: str | None) -> tuple[int, ...]:
         if language not in self.collection.languages:
@@ -493,15 +534,16 @@ class Labeller:
             self._asked[key] = held
         return held
 
-    def _copy(self, question: str | None, prompt: str | None, said: str) -> tuple[int, ...]:
+    def _copy(self, question: str | None, prompt: str | None, copied: tuple[str, str, str] | None) -> tuple[int, ...]:
         if not prompt and not question:
             return ABSTAIN, ABSTAIN, ABSTAIN
-        # A copy has the words of its source: told first by its ends, cheaply.
-        ends = _WORDS.findall(said)
-        if len(said) < 6 or not ends:
+        # Far shorter than the question is no copy; the country's name may shorten it.
+        if copied is None or (question and len(copied[0]) < 0.4 * len(question)):
             return NO, NO, NO
+        # A copy has the words of its source: told first by its ends, cheaply.
+        said, first, last = copied
         source = plain(f"{question or ''}\n{prompt or ''}").lower()
-        if ends[0].lower() not in source or ends[-1].lower() not in source:
+        if first not in source or last not in source:
             return NO, NO, NO
         whole, asked = self._sources(question, prompt)
         said = squash(said)
