@@ -12,7 +12,7 @@ votes are 0; a country without annotations has no choices."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyquill.functions import text as T
@@ -122,10 +122,11 @@ def assemble(chosen: DataFrame, countries: DataFrame, dummies: DataFrame | None
     distractors, m the fewest any country has but three at most; dummies (qid,
     option) fill up to three. With `all_countries` a country without the
     question counts as having none. A question short of options is left out."""
-    fewest = chosen.groupBy("qid").agg(F.min(F.size("choices")).alias("least"), F.count(F.lit(1)).alias("held"))
+    question = Window.partitionBy("qid")  # a row per country
+    rows = chosen.withColumn("m", F.least(F.min(F.size("choices")).over(question), F.lit(OPTIONS)))
     if all_countries:
-        fewest = fewest.withColumn("least", F.when(F.col("held") < countries.count(), 0).otherwise(F.col("least")))
-    rows = chosen.join(fewest.select("qid", F.least(F.col("least"), F.lit(OPTIONS)).alias("m")), "qid")
+        every = countries.agg(F.count(F.lit(1)).alias("_every"))  # one row
+        rows = rows.withColumn("_held", F.count(F.lit(1)).over(question)).crossJoin(F.broadcast(every)).withColumn("m", F.when(F.col("_held") < F.col("_every"), 0).otherwise(F.col("m")))
     option = "struct<v:string,k:string>"
     if dummies is None:
         rows = rows.where(F.col("m") >= OPTIONS).withColumn("extra", F.array().cast(f"array<{option}>"))

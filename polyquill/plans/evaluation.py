@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyquill import dims
@@ -341,7 +341,6 @@ _SOFT = f"""WITH {_ANN}, {_VALID}, {_LAST_R}, {_NORMAL},
 j AS (SELECT norm.model, norm.country, norm.language, norm.prompt_no, norm.id, resp_id, nr, annotations FROM norm JOIN valid ON norm.country = valid.country AND norm.id = valid.qid),
 grp AS (SELECT resp_id, language, nr, unnest(annotations) AS g, generate_subscripts(annotations, 1) AS pos FROM j),
 ans AS (SELECT resp_id, nr, pos, g, unnest(list_concat(CASE WHEN language <> 'English' THEN coalesce(g.answers, []) ELSE [] END, coalesce(g.en_answers, []))) AS a FROM grp WHERE g IS NOT NULL),
-hit AS (SELECT resp_id, arg_min(g.count, pos) AS c, count(*) AS n FROM ans WHERE coalesce(nr, '') <> '' AND a IS NOT NULL AND {_matches('a', 'nr')} GROUP BY resp_id),
 hitc AS (SELECT resp_id, coalesce((SELECT x.g.count FROM ans x WHERE x.resp_id = h.resp_id AND x.pos = h.pos LIMIT 1), 0) AS c FROM (SELECT resp_id, min(pos) AS pos FROM ans WHERE coalesce(nr, '') <> '' AND a IS NOT NULL AND {_matches('a', 'nr')} GROUP BY resp_id) h),
 scored AS (SELECT j.*, CASE WHEN hitc.resp_id IS NULL THEN 0 ELSE 1 END AS b, CASE WHEN hitc.resp_id IS NULL THEN 0.0 ELSE coalesce(hitc.c / nullif(coalesce(annotations[1].count, 0), 0), 0.0) END AS w FROM j LEFT JOIN hitc USING (resp_id))"""
 _SOFT_RUNS = _SOFT + """,
