@@ -27,7 +27,7 @@ def test_no_common_word(spark, a, b, differ):
 
 @pytest.mark.parametrize(("response", "prompt", "out"), [
     ("Answer: Rice.", "Question?\nAnswer:", "rice"), ("答案：米饭。", "问题\n答案:", "答案:米饭"), ("Note: Rice.", "Question?", "note: rice"), ("Answer: Answer: x", "Answer:", "x"),
-    ("Q?\nAnswer:\nAnswer: tea", "Q?\nAnswer:", "tea"), ("", "p", ""), ("...", "p", ""), (None, "p", None), ("x", None, None),
+    ("Q?\nAnswer:Answer: tea", "Q?\nAnswer:", "tea"), ("Q?\nAnswer:\nAnswer: tea", "Q?\nAnswer:", "answer: tea"), ("", "p", ""), ("...", "p", ""), (None, "p", None), ("x", None, None),
 ])
 def test_normal_response(spark, response, prompt, out):
     assert one(spark, T.normal_response(F.col("r"), F.col("p")), r=response, p=prompt) == out
