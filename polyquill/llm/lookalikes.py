@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Look-alikes that Unicode's own decompositions do not give.
-INVISIBLE = "­​‌‍‎‏؜⁠⁡⁢⁣⁤﻿᠎͏"
-BLANKS = "               　"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u061c\u2060\u2061\u2062\u2063\u2064\ufeff\u180e\u034f"
+BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Cyrillic and Greek doubles of Latin letters.
 LETTER_DOUBLES = {
     "a": "аα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "іι", "j": "јϳ", "k": "κ", "l": "ӏ", "n": "ո", "o": "оο", "p": "рρ",
@@ -154,7 +154,7 @@ def _double_class() -> dict[str, dict[str, str]]:
 
 # --- statistics ------------------------------------------------------------
 
-_ARABIC = re.compile("[ؠ-ۿﭐ-﷿ﹰ-ﻼ]")
+_ARABIC = re.compile("[\u0620-\u06ff\ufb50-\ufdff\ufe70-\ufefc]")
 _FOLD = {ord(b): a for table in (ARABIC_DOUBLES, PERSIAN_DOUBLES) for a, bs in table.items() for b in bs} | {ord(c): None for c in INVISIBLE}
 
 
@@ -229,13 +229,13 @@ def statistics(texts: DataFrame, languages: tuple[str, ...]) -> DataFrame:
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _DOUBLE_SCRIPTS = re.compile("[\u0400-\u052f\u0561-\u0587\u0261]|[A-Za-z\u00c0-\u02af][\u0370-\u03ff]|[\u0370-\u03ff][A-Za-z\u00c0-\u02af]")
 _WORD = re.compile(r"[^\W\d_]+")
-_HAN = re.compile("[぀-ヿ㐀-鿿]")
-_EMOJI = re.compile("[←-⯿️\U0001f000-\U0001faff]")
+_HAN = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+_EMOJI = re.compile("[\u2190-\u2bff\ufe0f\U0001f000-\U0001faff]")
 #: Punctuation and blank of wide type, which Chinese and Japanese text has of its own.
 _WIDE_MARKS = frozenset(chr(c) for c in range(0xFF01, 0xFFEF) if not chr(c).isalnum()) | {"\u3000"}
-_VIRAMA = frozenset("्্੍્୍்్್്")
-_RTL_MARKS = frozenset("‎‏؜")
-_VISIBLE = re.compile(r"[^\s­​-‏⁠-⁤﻿]")
+_VIRAMA = frozenset("\u094d\u09cd\u0a4d\u0acd\u0b4d\u0bcd\u0c4d\u0ccd\u0d4d")
+_RTL_MARKS = frozenset("\u200e\u200f\u061c")
+_VISIBLE = re.compile("[^\\s\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 
 
 def drop_invisible(text: str) -> str:
@@ -245,9 +245,9 @@ def drop_invisible(text: str) -> str:
         i, ch = m.start(), m.group()
         before, after = text[i - 1 : i], text[i + 1 : i + 2]
         keep = (
-            (ch == "‍" and _EMOJI.match(before) and _EMOJI.match(after))
-            or (ch == "‌" and _ARABIC.match(before) and _ARABIC.match(after))
-            or (ch in "‌‍" and before in _VIRAMA)
+            (ch == "\u200d" and _EMOJI.match(before) and _EMOJI.match(after))
+            or (ch == "\u200c" and _ARABIC.match(before) and _ARABIC.match(after))
+            or (ch in "\u200c\u200d" and before in _VIRAMA)
             or (ch in _RTL_MARKS and _ARABIC.search(text))
         )
         if not keep:

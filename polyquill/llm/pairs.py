@@ -156,7 +156,7 @@ _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ASIDE = re.compile(r"\s*[\(\[（][^()\[\]（）]*[\)\]）]?\s*")
 _STOP = ".!?。।።؟？！…"
 #: Marks, emoji and closing quotes that may follow a stop.
-_TAIL = re.compile(r"(?:[\s\"'“”«»*_`)\]）}]|[←-⯿️‍\U0001f000-\U0001faff])+$")
+_TAIL = re.compile(r"(?:[\s\"'“”«»*_`)\]）}]|[\u2190-\u2bff\ufe0f\u200d\U0001f000-\U0001faff])+$")
 _ASIDE_END = re.compile(r"\s*[\(\[（][^()\[\]（）]{0,12}[\)\]）]\s*$")
 
 
