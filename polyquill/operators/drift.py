@@ -61,7 +61,7 @@ def column_kind(cells: list[str]) -> str | None:
 
 def clean_name(name: str) -> str:
     """A header name without byte-order mark and outer blanks."""
-    return name.lstrip("﻿").strip()
+    return name.lstrip("\ufeff").strip()
 
 
 #: A file without any such character is blank; Java's pattern needs the flag (?U) for Unicode blanks.
@@ -74,7 +74,7 @@ def parse_file(file_name: str | None, text: str | None) -> tuple[list[str], list
     if not text or not _FILLED.search(text):
         return [], []
     # The mark is taken off first: before a quote it would hide the quoting.
-    source = io.StringIO(text.lstrip("﻿"), newline="")
+    source = io.StringIO(text.lstrip("\ufeff"), newline="")
     rows = [r for r in csv.reader(source, delimiter="\t" if (file_name or "").lower().endswith(".tsv") else ",") if any(c.strip() for c in r)]
     if not rows:
         return [], []

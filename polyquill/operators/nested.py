@@ -62,7 +62,7 @@ def read_records(payload: str | None, id_fields: tuple[str, ...] = ID_FIELDS) ->
     if not payload:
         return []
     try:
-        doc = _DECODER.decode(payload.removeprefix("﻿"))
+        doc = _DECODER.decode(payload.removeprefix("\ufeff"))
     except (ValueError, RecursionError):
         return []
     records: dict[str, dict] = {}
