@@ -28,7 +28,7 @@ INSTRUCTION = ' Without any explanation, choose only one from the given alphabet
 def representative(annotations: DataFrame) -> DataFrame:
     """(country, qid, question, answer, votes, pos): the first English answer
     of each group of the latest records."""
-    groups = latest_annotations(annotations).select("country", "qid", F.col("en_question").alias("question"), F.posexplode("annotations").alias("pos", "g"))
+    groups = latest_annotations(annotations, "en_question", "annotations").select("country", "qid", F.col("en_question").alias("question"), F.posexplode("annotations").alias("pos", "g"))
     answer = T.strip(F.get("g.en_answers", F.lit(0)))
     rows = groups.select("country", "qid", "question", "pos", answer.alias("answer"), F.coalesce("g.count", F.lit(0)).alias("votes")).where("answer is not null and answer <> ''")
     return rows.groupBy("country", "qid", "question", "answer").agg(F.max_by("votes", "pos").alias("votes"), F.min("pos").alias("pos"))
@@ -44,7 +44,7 @@ def top_answers(reps: DataFrame) -> DataFrame:
 def question_filter(annotations: DataFrame, most_na: int = 0, most_idks: int = 2, least_votes: int = MIN_VOTES) -> DataFrame:
     """Questions fit for choices: no country finds one not applicable, has more
     than two idks in all, or a top answer with fewer than two votes."""
-    ann = latest_annotations(annotations)
+    ann = latest_annotations(annotations, "annotations", "idks")
     idks = F.aggregate(F.coalesce(F.map_values("idks"), F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0)))
     first = F.get("annotations", F.lit(0))
     weak = (F.coalesce(F.size(first["en_answers"]), F.lit(0)) > 0) & (F.coalesce(first["count"], F.lit(0)) < least_votes)

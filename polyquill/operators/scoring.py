@@ -16,9 +16,10 @@ from polyquill.operators.latest import keep_last
 RUN = ["model", "country", "language", "prompt_no"]
 
 
-def latest_annotations(annotations: DataFrame) -> DataFrame:
-    """One record per (country, qid): of its rows the one loaded last."""
-    return keep_last(annotations, ["country", "qid"], ["loaded_at", "ann_id"])
+def latest_annotations(annotations: DataFrame, *columns: str) -> DataFrame:
+    """One record per (country, qid) with the columns named: of its rows the one
+    loaded last. Only these columns are read and shuffled."""
+    return keep_last(annotations.select("country", "qid", *columns, "loaded_at", "ann_id"), ["country", "qid"], ["loaded_at", "ann_id"])
 
 
 def idk(idks: Column, key: str) -> Column:
@@ -51,10 +52,17 @@ def first_hit(groups: Column, response: Column, native: Column) -> Column:
     return F.get(F.filter(groups, hit), F.lit(0))
 
 
+def valid_annotations(annotations: DataFrame) -> DataFrame:
+    """Latest records that count. Keys without country or id can match nothing;
+    told here, so that every use has the same plan and shares one shuffle."""
+    keyed = annotations.where("country is not null and qid is not null")
+    return latest_annotations(keyed, "annotations", "idks").where(is_valid(F.col("annotations"), F.col("idks")))
+
+
 def soft_scored(responses: DataFrame, annotations: DataFrame) -> DataFrame:
     """Every last response to a valid question with binary_score (0 or 1) and
     weight_score (votes of the group it hits by votes of the first group)."""
-    valid = latest_annotations(annotations).where(is_valid(F.col("annotations"), F.col("idks"))).select("country", F.col("qid").alias("id"), "annotations")
+    valid = valid_annotations(annotations).select("country", F.col("qid").alias("id"), "annotations")
     both = last_responses(responses).join(valid, ["country", "id"])
     both = both.withColumn("_r", T.normal_response(F.col("response"), F.col("prompt")))
     both = both.withColumn("_hit", F.when(F.coalesce(F.col("_r"), F.lit("")) != "", first_hit(F.col("annotations"), F.col("_r"), F.coalesce(F.col("language") != "English", F.lit(False)))))
@@ -66,7 +74,7 @@ def soft_match(responses: DataFrame, annotations: DataFrame) -> DataFrame:
     """SEM-B and SEM-W of every run in percent of its country's valid
     questions. Denominators come from the annotations alone, so runs and
     questions are never multiplied out."""
-    valid = latest_annotations(annotations).where(is_valid(F.col("annotations"), F.col("idks"))).groupBy("country").agg(F.count(F.lit(1)).alias("valid"))
+    valid = valid_annotations(annotations).groupBy("country").agg(F.count(F.lit(1)).alias("valid"))
     got = soft_scored(responses, annotations).groupBy(*RUN).agg(F.sum("binary_score").alias("hits"), F.sum("weight_score").alias("weight"))
     runs = responses.select(*RUN).distinct()
     same = [runs[c].eqNullSafe(got[c]) for c in RUN]
@@ -78,7 +86,7 @@ def soft_match(responses: DataFrame, annotations: DataFrame) -> DataFrame:
 def hard_match(responses: DataFrame, annotations: DataFrame) -> DataFrame:
     """As soft_match with equality: the response is one of the answers; weight
     by the greatest vote; all annotated questions count."""
-    ann = latest_annotations(annotations)
+    ann = latest_annotations(annotations, "annotations")
     total = ann.groupBy("country").agg(F.count(F.lit(1)).alias("all_questions"))
     most = F.array_max(F.transform("annotations", _votes))
     both = last_responses(responses).join(ann.select("country", F.col("qid").alias("id"), "annotations"), ["country", "id"]).withColumn("_r", T.normal_response(F.col("response"), F.col("prompt")))

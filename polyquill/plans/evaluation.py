@@ -83,7 +83,7 @@ def response_normal(spark: SparkSession, d: str) -> DataFrame:
 
 def annotation_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of the latest annotations, with their size and votes."""
-    ann = scoring.latest_annotations(table(spark, d, "annotations"))
+    ann = scoring.latest_annotations(table(spark, d, "annotations"), "annotations")
     g = ann.select("country", "qid", F.posexplode("annotations").alias("grp", "g"))
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
     return g.select("country", "qid", F.col("grp").cast("bigint").alias("grp"), size(F.col("g.answers")).alias("n_answers"), size(F.col("g.en_answers")).alias("n_en"), F.col("g.count").alias("votes"))
@@ -91,14 +91,14 @@ def annotation_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def valid_filter(spark: SparkSession, d: str) -> DataFrame:
     """Questions that count for scores."""
-    ann = scoring.latest_annotations(table(spark, d, "annotations"))
+    ann = scoring.latest_annotations(table(spark, d, "annotations"), "annotations", "idks")
     return ann.where(scoring.is_valid(F.col("annotations"), F.col("idks"))).select("country", "qid")
 
 
 def idk_sum(spark: SparkSession, d: str) -> DataFrame:
     """All idk votes of a question."""
     total = F.aggregate(F.coalesce(F.map_values("idks"), F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0)))
-    return scoring.latest_annotations(table(spark, d, "annotations")).select("country", "qid", total.alias("idk_votes"))
+    return scoring.latest_annotations(table(spark, d, "annotations"), "idks").select("country", "qid", total.alias("idk_votes"))
 
 
 def question_filter(spark: SparkSession, d: str) -> DataFrame:
