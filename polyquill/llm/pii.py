@@ -80,6 +80,10 @@ _ADDRESS = [
 #: The pattern of addresses whose street word follows the name, and that word.
 _STREET_LAST = 5
 _STREET_LAST_WORD = regex.compile(r"küçəsi|prospekti|döngəsi", regex.IGNORECASE)
+#: A sentence begins here, and not after a label, cue or dash.
+_PLAIN_START = regex.compile(r"(?:^|[\n\r\t.!?。।።؟？！…]|[\)>]\s)\s*[\"“'*«¿¡(]*$")
+#: What makes a single first word a name: a colon, an address, a person's verb, the end of the line.
+_ALONE_AFTER = regex.compile(rf"\s?[:：]|\s<|,?\s(?:{PERSON_VERBS})\b|\s*(?:[\r\n]|$)", regex.IGNORECASE)
 _AT = regex.compile(r"[@＠]|[\s(\[](?:at|arroba)[\s)\]]", regex.IGNORECASE)
 _NEXT_WORD = regex.compile(rf"\s{_L}")
 _WORD_BEFORE = regex.compile(rf"(?r){_L}\s")
@@ -147,6 +151,8 @@ def candidates(text: str, lexicon: tuple[tuple[str, str], ...]) -> list[Span]:
                 name(start, _trim(text, start, end), g)
     for m in _CAPS.finditer(text):
         words = [(m.start() + w.start(), m.start() + w.end()) for w in _WORD.finditer(m.group())]
+        if len(words) == 1 and m.group().lower() not in bits and not _ALONE_AFTER.match(text, m.end()) and _PLAIN_START.search(text, max(0, m.start() - 12), m.start()):
+            continue  # the first word of a sentence, which nothing makes a name
         plain = [text[a:b].lower() in _COMMON for a, b in words]
         for i in range(len(words)):
             for k in range(i, min(i + 3, len(words))):
@@ -366,7 +372,7 @@ class Redactor:
                 part[c[2]].append(i % 2)
         for k in KINDS:
             a, b, p = np.array(x[k]), np.array(y[k], float), np.array(part[k])
-            self.models[k] = BoostedTrees().fit(a[p == 0], b[p == 0])
+            self.models[k] = BoostedTrees(trees=100, depth=4, rate=0.15).fit(a[p == 0], b[p == 0])
             self.thresholds[k], self.validation[k] = _threshold(self.models[k].predict(a[p == 1]), b[p == 1])
         return self
 
