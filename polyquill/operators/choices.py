@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyquill.functions import text as T
-from polyquill.operators.latest import sequence
 from polyquill.operators.prompts import name_country_always
 from polyquill.operators.scoring import latest_annotations
 
@@ -134,8 +133,14 @@ def assemble(chosen: DataFrame, countries: DataFrame, dummies: DataFrame | None
         held = dummies.groupBy("qid").agg(F.array_sort(F.collect_set("option")).alias("options"))
         rows = rows.join(held, "qid", "left").withColumn("extra", F.transform(F.slice(F.coalesce("options", F.array().cast("array<string>")), F.lit(1), F.greatest(F.lit(OPTIONS) - F.col("m"), F.lit(0))), lambda o: F.struct(o.alias("v"), F.lit("dummy").alias("k")))).where(F.col("m") + F.size("extra") >= OPTIONS)
     order = F.broadcast(countries.select("country", "country_ord"))
-    rows = rows.join(order, "country").select("*", F.posexplode("answers").alias("answer_pos", "answer"))
-    rows = rows.select("*", F.posexplode(combinations(F.col("choices"), F.col("m"))).alias("combo", "picked"))
+    rows = rows.join(order, "country").withColumn("combos", combinations(F.col("choices"), F.col("m")))
+    # Numbers run over countries, answers and choices; they follow from the sizes, so nothing is sorted after the explosion.
+    before = Window.partitionBy("qid").orderBy("country_ord").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("base", F.coalesce(F.sum(F.size("answers") * F.size("combos")).over(before), F.lit(0)))
+    # A row becomes hundreds: spread first, in a number of parts that is not merged for the small input.
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid", "country")
+    rows = rows.select("qid", "question", "country", "extra", "base", "combos", F.posexplode("answers").alias("answer_pos", "answer"))
+    rows = rows.select("qid", "question", "country", "extra", "answer", (F.col("base") + F.col("answer_pos") * F.size("combos")).alias("base"), F.posexplode("combos").alias("combo", "picked"))
     listed = F.transform("picked", lambda c: F.struct(c["answer"].alias("v"), c["country"].alias("k")))
     rows = rows.withColumn("opts", F.array_sort(F.concat(listed, F.array(F.struct(F.col("answer").alias("v"), F.col("country").alias("k"))), F.col("extra"))))
     letter = lambda i: F.char(F.lit(65) + i)
@@ -144,5 +149,4 @@ def assemble(chosen: DataFrame, countries: DataFrame, dummies: DataFrame | None
     # The last option equal to the answer names it.
     at = F.array_max(F.filter(F.transform("opts", lambda o, i: F.when(o["v"] == F.col("answer"), i)), lambda i: i.isNotNull()))
     entries = lambda f: F.map_from_entries(F.transform("opts", lambda o, i: F.struct(letter(i), o[f])))
-    rows = sequence(rows, ["qid"], [F.col("country_ord"), F.col("answer_pos"), F.col("combo")], "cnt")
-    return rows.select(F.concat_ws("_", "qid", "cnt").alias("MCQID"), F.col("qid").alias("ID"), "country", prompt.alias("prompt"), entries("v").alias("choices"), entries("k").alias("choice_countries"), letter(at).alias("answer_idx"))
+    return rows.select(F.concat_ws("_", "qid", F.col("base") + F.col("combo")).alias("MCQID"), F.col("qid").alias("ID"), "country", prompt.alias("prompt"), entries("v").alias("choices"), entries("k").alias("choice_countries"), letter(at).alias("answer_idx"))
