@@ -84,8 +84,10 @@ def plain(text: str) -> str:
     return text
 
 
-_FENCE = re.compile(r"^\s*```[a-z]*\s*|\s*```\s*$")
-_WRAP = re.compile(r"^[\s\"'“”«»„*_`]+|[\s\"'“”«»„*_`]+$")
+_FENCE = re.compile(r"^\s*```[a-z]*\s*|\s{0,4}```\s*$")
+#: White space and marks around an answer. All stripping is by characters: a
+#: pattern anchored at the end would try every blank of a long run.
+_WRAP = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\"'“”«»„*_`"
 #: Words that label a question or an answer, in the collection's languages.
 LABELS = frozenset(
     "answer question response q a response prompt respuesta pregunta jawaban pertanyaan jawab waleran patarosan amsa tambaya cavab sual απάντηση ερώτηση الجواب السؤال الإجابة پاسخ پرسش سوال 답변 질문 답 回答 答案 问题 答 问 উত্তৰ প্ৰশ্ন መልስ ጥያቄ".split()
@@ -153,11 +155,31 @@ def squash(text: str) -> str:
 # --- what the collection says ----------------------------------------------
 
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_ASIDE = re.compile(r"\s*[\(\[（][^()\[\]（）]*[\)\]）]?\s*")
+_ASIDE = re.compile(r"[\(\[（][^()\[\]（）]*[\)\]）]?")
 _STOP = ".!?。।።؟？！…"
-#: Marks, emoji and closing quotes that may follow a stop.
-_TAIL = re.compile(r"(?:[\s\"'“”«»*_`)\]）}]|[\u2190-\u2bff\ufe0f\u200d\U0001f000-\U0001faff])+$")
-_ASIDE_END = re.compile(r"\s*[\(\[（][^()\[\]（）]{0,12}[\)\]）]\s*$")
+#: Closing marks that may follow a stop, as may emoji.
+_CLOSING = frozenset("\"'“”«»*_`)]）}")
+
+
+def cut_tail(text: str) -> str:
+    """Text without blanks, closing marks and emoji at its end."""
+    end = len(text)
+    while end and ((c := text[end - 1]) in _CLOSING or c.isspace() or "\u2190" <= c <= "\u2bff" or c in "\ufe0f\u200d" or "\U0001f000" <= c <= "\U0001faff"):
+        end -= 1
+    return text[:end]
+
+
+def cut_aside(text: str) -> str:
+    """Text without a short aside in brackets at its end; emoji and marks may
+    follow the aside."""
+    bare = text.rstrip()
+    while bare and bare[-1] not in ")]）" and (tail := cut_tail(bare[-1])) != bare[-1:]:
+        bare = bare[:-1].rstrip()
+    if bare[-1:] and bare[-1] in ")]）":
+        at = max(bare.rfind(c, max(0, len(bare) - 14)) for c in "([（")
+        if at >= 0:
+            return bare[:at].rstrip()
+    return text
 
 
 def words_of(text: str) -> list[str]:
@@ -178,7 +200,7 @@ def grams(word: str) -> Iterator[str]:
 
 def lead(text: str) -> str:
     """How a text begins: its first two words, or four characters without blanks."""
-    head = _WRAP.sub("", text[:80]).lower().split()
+    head = text[:80].strip(_WRAP).lower().split()
     if not head:
         return ""
     return " ".join(head[:2]) if len(head) > 1 and not "㐀" <= head[0][0] <= "鿿" else head[0][:4]
@@ -186,10 +208,10 @@ def lead(text: str) -> str:
 
 def ends_with_stop(text: str) -> bool:
     """Whether text ends with a stop; emoji, closing marks and a short aside may follow."""
-    end = _TAIL.sub("", text)
+    end = cut_tail(text)
     if end[-1:] and end[-1] in _STOP:
         return True
-    end = _TAIL.sub("", _ASIDE_END.sub("", _TAIL.sub(lambda m: re.sub(r"[^)\]）]", "", m.group()), text)))
+    end = cut_tail(cut_aside(text))
     return end[-1:] != "" and end[-1] in _STOP
 
 
@@ -376,8 +398,8 @@ _STRONG = re.compile(
 )
 #: An answer follows all the same.
 _ANSWERS_ALL_THE_SAME = re.compile(r"(?:any(?:one|body|thing)|nobody|nothing) (?:who|better|else than|that)|better than|who would (?:refuse|say no)|short (?:reply|answer)\s*[:：]|cannot afford|can't (?:live|do) without|(?:but|however),? (?:i would say|most people)")
-_LIST_END = re.compile(r"(?:^|\n)\s*(?:\d{1,3}[.)]|[-*•])\s*$")
-_LIST_LINE = re.compile(r"^\s*(?:\d{1,3}[.)]|[-*•])\s+", re.MULTILINE)
+_LIST_END = re.compile(r"(?:^|\n)[^\S\n]*(?:\d{1,3}[.)]|[-*•])\s*$")
+_LIST_LINE = re.compile(r"^[^\S\n]*(?:\d{1,3}[.)]|[-*•])\s+", re.MULTILINE)
 _SENTENCE_BREAK = re.compile(r"[.!?。।።؟？！…][\"”»'’)]*\s+(?=\S)|[。！？](?=\S)")
 _COMMA = re.compile("[,،、，፣]")
 _COMMA_END = re.compile(r"[,،、，;፣]\s*$")
@@ -447,7 +469,7 @@ class Labeller:
         answer = Answer(response)
         low = answer.body.lower()
         letters = _KEEP.search(answer.body) is not None
-        bare = _WRAP.sub("", drop_label(low)).strip(" .!。।።")
+        bare = drop_label(low).strip(_WRAP).strip(" .!。।።")
         nothing = bare in MISSING
         empty = (
             ABSTAIN if nothing or not letters else NO, ABSTAIN if nothing else NO if letters else YES,
@@ -471,7 +493,7 @@ class Labeller:
         last = drop_label(_LIST_LINE.sub("", text.rsplit("\n", 1)[-1])).strip()
         stop = ends_with_stop(last)
         ended = (stop or not last) and not listed
-        comma = _COMMA_END.search(_TAIL.sub("", tail)) is not None and not _QUESTION_MARK.search(tail[-1:].replace(";", "") or "x")
+        comma = _COMMA_END.search(cut_tail(tail)) is not None and not _QUESTION_MARK.search(tail[-1:].replace(";", "") or "x")
         pieces = _SENTENCE_BREAK.split(last)
         fragment = pieces[-1]
         core = _ASIDE.sub(" ", fragment)

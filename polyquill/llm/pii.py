@@ -17,6 +17,8 @@ repeated rows each give their spans.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import random
 from collections.abc import Iterator
 from functools import cache
@@ -62,7 +64,7 @@ _EMAIL = regex.compile(
     regex.IGNORECASE,
 )
 _DIGITS = regex.compile(
-    rf"(?<![\p{{L}}\p{{N}}])(?:[A-Z]{{1,3}}{_DIG}{{0,2}}[- ]?)?(?:\+\s?|\({{1}}(?=\+?{_DIG}{{1,5}}\)))?{_DIG}+(?:(?:[-. /]|\)[ -]?| ?\()?{_DIG}+)*(?:[- ]?[A-Z])?(?![\p{{L}}\p{{N}}])"
+    rf"(?<![\p{{L}}\p{{N}}])(?:[A-Z]{{1,3}}{_DIG}{{0,2}}[- ]?)?(?:\+\s?|\({{1}}(?=\+?{_DIG}{{1,5}}\)))?{_DIG}++(?:(?:[-. /]|\)[ -]?| ?\(){_DIG}++)*(?:[- ]?[A-Z])?(?![\p{{L}}\p{{N}}])"
 )
 _ADDRESS = [
     # number before the street: flat and house first
@@ -74,7 +76,7 @@ _ADDRESS = [
     # street name before its word
     regex.compile(rf"{_L}(?:\s{_L})?\s(?:küçəsi|prospekti|döngəsi)\s{_NUM}(?:,\s?mənzil\s{_NUM})?", regex.IGNORECASE),
     # town first
-    regex.compile(rf"(?:[가-힣]+(?:도|시|군|구)\s)*[가-힣]+(?:시|군|구)\s[가-힣0-9]+(?:로|길|동)\s{_NUM}(?:-{_NUM})?(?:,?\s{_DIG}+호)?"),
+    regex.compile(rf"(?:[가-힣]{{1,10}}(?:도|시|군|구)\s){{0,3}}[가-힣]{{1,10}}(?:시|군|구)\s[가-힣0-9]{{1,12}}(?:로|길|동)\s{_NUM}(?:-{_NUM})?(?:,?\s{_DIG}+호)?"),
     regex.compile(rf"(?:[一-鿿]{{2,8}}(?:省|市|区|县|镇))*[一-鿿]{{2,6}}(?:市|区|县|镇)[一-鿿]{{1,8}}(?:路|街|巷|道|弄){_DIG}+号(?:{_DIG}+(?:单元|室|栋|楼))?"),
 ]
 #: The pattern of addresses whose street word follows the name, and that word.
@@ -83,7 +85,7 @@ _STREET_LAST_WORD = regex.compile(r"küçəsi|prospekti|döngəsi", regex.IGNORE
 #: A sentence begins here, and not after a label, cue or dash.
 _PLAIN_START = regex.compile(r"(?:^|[\n\r\t.!?。।።؟？！…]|[\)>]\s)\s*[\"“'*«¿¡(]*$")
 #: What makes a single first word a name: a colon, an address, a person's verb, the end of the line.
-_ALONE_AFTER = regex.compile(rf"\s?[:：]|\s<|,?\s(?:{PERSON_VERBS})\b|\s*(?:[\r\n]|$)", regex.IGNORECASE)
+_ALONE_AFTER = regex.compile(rf"\s?[:：]|\s<|,?\s(?:{PERSON_VERBS})\b|[^\S\r\n]{{0,6}}(?:[\r\n]|$)", regex.IGNORECASE)
 _AT = regex.compile(r"[@＠]|[\s(\[](?:at|arroba)[\s)\]]", regex.IGNORECASE)
 _NEXT_WORD = regex.compile(rf"\s{_L}")
 _WORD_BEFORE = regex.compile(rf"(?r){_L}\s")
@@ -93,8 +95,8 @@ _WORD = regex.compile(r"\p{Lu}\.|\p{L}[\p{L}\p{M}'’‌-]*")
 _UNCASED = r"[\p{Lo}\p{M}‌]"
 _NAME_LABEL = regex.compile(rf"(?<![\p{{L}}])(?:{LABELS['name']})\s?[:：]\s*((?:{_L}|\p{{Lu}}\.)(?:(?:,\s|\s)(?:{_L}|\p{{Lu}}\.)){{0,3}})", regex.IGNORECASE)
 _BREAK = r"(?:^|[\n\r\t]|[.!?।።؟…]\s|[。？！]|\s\s|\)\s|>\s)"
-_SIGN = regex.compile(rf"(?:^|[\n\r\t]\s*|[.!?。।።؟？！…)\]]\s+|\s\s)[—–-]\s((?:{_L}|\p{{Lu}}\.)(?:(?:,\s|\s)(?:{_L}|\p{{Lu}}\.)){{0,3}})")
-_SPEAKER = regex.compile(rf"{_BREAK}\s*\*?\s*((?:{_L}|\p{{Lu}}\.)(?:\s(?:{_L}|\p{{Lu}}\.)){{0,3}})(?=[:：]\s)")
+_SIGN = regex.compile(rf"(?:^|[\n\r\t]\s{{0,6}}|[.!?。।።؟？！…)\]]\s{{1,6}}|\s\s)[—–-]\s((?:{_L}|\p{{Lu}}\.)(?:(?:,\s|\s)(?:{_L}|\p{{Lu}}\.)){{0,3}})")
+_SPEAKER = regex.compile(rf"{_BREAK}\s{{0,6}}\*?\s{{0,2}}((?:{_L}|\p{{Lu}}\.)(?:\s(?:{_L}|\p{{Lu}}\.)){{0,3}})(?=[:：]\s)")
 _SENTENCE_START = regex.compile(r"(?:^|[\n\r\t.!?。।።؟？！…:：]\s*|[\)\]>]\s+|\s\s|—\s)[\"“'*«¿¡(]*$")
 _LABEL_BEFORE = {k: regex.compile(rf"(?<![\p{{L}}])(?:{v})\s?(?:[:：,]|\bis\b|\bon\b)?\s*[\(<\"]?$", regex.IGNORECASE) for k, v in LABELS.items()}
 _TITLE_BEFORE = regex.compile(rf"(?<![\p{{L}}])(?:{TITLES})\.?\s$", regex.IGNORECASE)
@@ -171,7 +173,7 @@ def candidates(text: str, lexicon: tuple[tuple[str, str], ...]) -> list[Span]:
                 end += 1
             if end - start <= 24:
                 name(start, end, 14)
-                nxt = _NEXT_WORD.match(text, end)
+                nxt = _NEXT_WORD.match(text, end, end + 40)
                 if nxt:
                     name(start, nxt.end(), 14)
                 before = _WORD_BEFORE.match(text, start) if start else None
@@ -202,7 +204,20 @@ def _trim(text: str, start: int, end: int) -> int:
 FEATURES = 46
 
 
-def features(text: str, span: Span, bits: dict[str, int], others: list[Span]) -> list[float]:
+class Covers:
+    """E-mail and street address spans, asked whether one holds a given span."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        held = sorted((s, e) for s, e, k, _ in spans if k in ("email", "address"))
+        self.starts = [s for s, _ in held]
+        self.ends = list(itertools.accumulate((e for _, e in held), max))
+
+    def hold(self, start: int, end: int) -> bool:
+        i = bisect.bisect_right(self.starts, start) - 1
+        return i >= 0 and self.ends[i] >= end
+
+
+def features(text: str, span: Span, bits: dict[str, int], covers: Covers) -> list[float]:
     """Format and context of a span."""
     start, end, kind, g = span
     s = text[start:end]
@@ -226,7 +241,7 @@ def features(text: str, span: Span, bits: dict[str, int], others: list[Span]) ->
         float(after[:1] in ":：" and after != ""), float(after[:2] == " <"), float(after[:1] in ",.)\n\r\t" or after == ""),
         float(sum(1 for h in hits if h)), float(sum(1 for h in hits if h & 1)), float(sum(1 for h in hits if h & 2)), float(bool(hits) and all(hits)),
         float(s.isupper() and len(letters) > 2), float(sum(w[:1].isupper() for w in words)),
-        float(any(o[0] <= start and end <= o[1] and o[2] != kind and o[2] in ("email", "address") for o in others)),
+        float(kind not in ("email", "address") and covers.hold(start, end)),
         float(any(w in _COMMON for w in low)),
         float((m := _NEXT_CAPS.search(after)) is not None and m.group(1).lower() not in _COMMON), float((m := _LAST_CAPS.search(before)) is not None and m.group(1).lower().rstrip(".") not in _COMMON | _TITLE_WORDS | _ALL_LABELS),
     ]
@@ -363,8 +378,9 @@ class Redactor:
             text, spans = training_text(r, self.lexicon)
             true = {(s, k): e for s, e, k in spans}
             found = candidates(text, self.lexicon)
+            covers = Covers(found)
             for c in found:
-                x[c[2]].append(features(text, c, bits, found))
+                x[c[2]].append(features(text, c, bits, covers))
                 end = true.get((c[0], c[2]))
                 # Rightly placed from start to end; a comma or stop more or less is right,
                 # and of an address the town may be missing.
@@ -384,8 +400,9 @@ class Redactor:
         for i, text in enumerate(texts):
             if text:
                 found = candidates(text, self.lexicon)
+                covers = Covers(found)
                 for c in found:
-                    rows[c[2]].append(features(text, c, bits, found))
+                    rows[c[2]].append(features(text, c, bits, covers))
                     whose[c[2]].append((i, c))
         hits: list[list] = [[] for _ in texts]
         for k in KINDS:
@@ -399,10 +416,12 @@ class Redactor:
         for text, own in zip(texts, hits, strict=True):
             chosen: list[tuple[int, int, str]] = []
             # E-mail and street addresses contain names and digits, never the other way round.
-            for _, _, (s, e, k, _g) in sorted(own, key=lambda h: (h[2][2] not in ("email", "address"), -round(h[0], 2), -h[1])):
-                if all(e <= a or s >= b for a, b, _ in chosen):
-                    chosen.append((s, e, k))
-            out.append(sorted(chosen))
+            # The longest of them that stands is the whole address.
+            for _, _, (s, e, k, _g) in sorted(own, key=lambda h: (True, -round(h[0], 2), -h[1]) if h[2][2] not in ("email", "address") else (False, -h[1], -h[0])):
+                at = bisect.bisect_left(chosen, (s,))
+                if (at == 0 or chosen[at - 1][1] <= s) and (at == len(chosen) or e <= chosen[at][0]):
+                    chosen.insert(at, (s, e, k))
+            out.append(chosen)
         return out
 
     def redact(self, texts: list[str | None]) -> list[str | None]:

@@ -75,6 +75,16 @@ def test_edges(spark):
     assert pairs.defects(df.limit(0), LANGUAGES).count() == 0
 
 
+def test_long_texts_take_linear_time():
+    import time
+
+    labeller = pairs.Labeller(pairs.Collection([("word", x, 1, 5) for x in LANGUAGES]))
+    began = time.time()
+    for text in ('"' * 30000 + "x", "a" + " " * 30000 + "b", "🙂" * 30000 + "x", "*" * 30000 + "a", "\n" * 30000 + "a", "(a " * 9000):
+        labeller.votes("English", text, text, text)
+    assert time.time() - began < 15
+
+
 def test_label_model_recovers_rates():
     r = random.Random(3)
     patterns = {}

@@ -35,6 +35,15 @@ def test_spans(redactor, text, spans):
     assert [(k, text[s:e]) for s, e, k in redactor.find([text])[0]] == spans
 
 
+def test_long_texts_take_linear_time(redactor):
+    import time
+
+    began = time.time()
+    for text in ("1" * 20000 + "x", " " * 20000, "Aa " * 7000, "a" + "\n" * 20000 + "b", "가나" * 10000, "12 Aa Bb Cc " * 1500, "a@" * 9000):
+        redactor.find([text])
+    assert time.time() - began < 20
+
+
 def test_redact(redactor, spark):
     text = "Hi 👋 Call (212) 555-0183 after six. Reply-To: a.b@mail.example\nbye"
     assert redactor.redact([text, None, ""]) == ["Hi 👋 Call [PHONE] after six. Reply-To: [EMAIL]\nbye", None, ""]
