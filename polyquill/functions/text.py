@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 #: White space inside a character class, for Java and RE2 alike.
 SPACE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same characters as text: trimming by characters is linear, a pattern
+#: anchored at the end tries every blank of a long run.
+BLANKS = " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def is_time(text: Column) -> Column:
@@ -59,7 +62,7 @@ def drop_label(text: Column, prompt: Column) -> Column:
 
 def normal_response(response: Column, prompt: Column) -> Column:
     """A response as it is matched: without label, outer stops and case."""
-    return F.regexp_replace(drop_label(response, prompt), r"^\.+|\.+$", "")
+    return F.btrim(drop_label(response, prompt), F.lit("."))
 
 
 def tokens(text: Column) -> Column:
