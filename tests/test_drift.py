@@ -64,3 +64,55 @@ def test_one_table_and_replay(spark):
 @pytest.mark.parametrize(("cell", "kind"), [("Y", "flag"), ("no", "flag"), ("TRUE", "flag"), ("12", "whole"), ("-3", "whole"), ("2024-05-01", "date"), ("2024-05-01 10:11", "date"), ("1 May 2024", "date"), ("03/04/2024", "date"), ("May 1, 2024", "date"), ("3.5", "text"), ("yes please", "text")])
 def test_kinds(cell, kind):
     assert drift.value_kind(cell) == kind
+
+
+def plainly(files):
+    """Changes of all sheets by comparing tables cell by cell."""
+    import csv
+    import io
+
+    def read(r):
+        rows = list(csv.reader(io.StringIO(r.file_text.lstrip("﻿"), newline=""), delimiter="\t" if r.file_name.endswith(".tsv") else ","))
+        head = [h.strip("﻿ ") for h in rows[0]]
+        key = next(i for i, h in enumerate(head) if h.lower() in ("id", "prompt_id"))
+        cols = {h: {} for h in head}
+        for row in rows[1:]:
+            for h, c in zip(head, row, strict=True):
+                cols[h].setdefault(row[key], c.replace("\r\n", "\n"))
+        return cols, [r[key] for r in rows[1:]]
+
+    out = set()
+    sheets = {}
+    for r in sorted(files, key=lambda r: r.file_id):
+        sheets.setdefault(r.sheet_id, {}).setdefault(r.version_no, r)
+    for versions in sheets.values():
+        order = [versions[v] for v in sorted(versions)]
+        for a, b in zip(order, order[1:], strict=False):
+            (old, ids), (new, ids2) = read(a), read(b)
+            both = [i for i in ids if i in ids2]
+            gone = [h for h in old if h not in new]
+            for h in new:
+                if h in old:
+                    kinds = [drift.column_kind(list(c.values())) for c in (old[h], new[h])]
+                    if None not in kinds and kinds[0] != kinds[1]:
+                        out.add((b.file_id, "retyped", h))
+                    continue
+                twin = next((g for g in gone if both and all(old[g][i] == new[h][i] for i in both)), None)
+                if twin is None:
+                    out.add((b.file_id, "added", h))
+                else:
+                    gone.remove(twin)
+                    out.add((b.file_id, "renamed", h))
+            out |= {(b.file_id, "removed", h) for h in gone}
+    return out
+
+
+def test_whole_table(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    files = spark.read.parquet(f"{folder}/prompt_files.parquet")
+    rows = [tuple(r) for r in drift.changes(files).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == plainly(files.collect()) and len(rows) > 30

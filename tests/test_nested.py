@@ -66,3 +66,36 @@ def test_deep_nesting():
     for _ in range(5000):
         record = {"n": record}
     assert len(nested.MerkleShredder().shred(record)) == 5002
+
+
+def plainly(payload):
+    """The flat rows of one payload, read as the statement says."""
+    try:
+        doc = json.loads(payload) if payload else {}
+    except ValueError:
+        return set()
+    records = doc if isinstance(doc, dict) else {r["ID"]: r for r in doc if isinstance(r, dict) and "ID" in r}
+    many = lambda v: [] if v is None else v if isinstance(v, list) else [v]
+    out = set()
+    for qid, rec in records.items():
+        if not isinstance(rec, dict):
+            continue
+        for field in ("annotations", "aggregated_answers"):
+            for g, group in enumerate(many(rec.get(field))):
+                if not isinstance(group, dict):
+                    continue
+                out.add((qid, "group", g, ""))
+                for key, node in (("answers", "answer"), ("en_answers", "en_answer"), ("votes", "vote")):
+                    out |= {(qid, node, g, str(i)) for i, v in enumerate(many(group.get(key))) if v is not None}
+        if isinstance(rec.get("idks"), dict):
+            out |= {(qid, "idk", -1, k) for k in rec["idks"]}
+    return out
+
+
+def test_whole_table(spark, data):
+    from polyquill.session import table
+
+    files = table(spark, data, "annotation_files")
+    want = {(r.file_id, *x) for r in files.collect() for x in plainly(r.payload)}
+    rows = [tuple(r) for r in nested.annotation_nodes(files).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 500
