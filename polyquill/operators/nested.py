@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,10 +77,21 @@ def read_records(payload: str | None, id_fields: tuple[str, ...] = ID_FIELDS) ->
     return [(qid, rec) for qid, rec in records.items() if isinstance(rec, dict)]
 
 
+_encode = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
 def _digest(kind: str, text: str) -> str:
     return hashlib.blake2b(f"{kind}:{text}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
+@lru_cache(maxsize=50_000)
+def _scalar(kind: type, value: object) -> tuple[str, str, str]:
+    """Kind, content and identity of a scalar; the common ones are kept."""
+    name = "null" if value is None else "bool" if kind is bool else "string" if kind is str else "number"
+    content = json.dumps(value, ensure_ascii=False)
+    return name, content, _digest(name, content)
+
+
 class MerkleShredder:
     """Shreds one record after another; keeps no state between records but the
     store of distinct nodes, which the caller drains per batch."""
@@ -122,11 +134,12 @@ class MerkleShredder:
             value = values[i]
             if isinstance(value, (dict, list)):
                 # Field order is no part of an object's identity, list order is.
-                kind, content = "object" if isinstance(value, dict) else "list", json.dumps(sorted(parts[i]), ensure_ascii=False, separators=(",", ":"))
+                kind, content = "object" if isinstance(value, dict) else "list", _encode(sorted(parts[i]))
+                h = _digest(kind, content)
+            elif value.__class__ is str and len(value) > 200:
+                kind, content, h = _scalar.__wrapped__(str, value)  # long texts are not worth keeping
             else:
-                kind = "null" if value is None else "bool" if isinstance(value, bool) else "string" if isinstance(value, str) else "number"
-                content = json.dumps(value, ensure_ascii=False)
-            h = _digest(kind, content)
+                kind, content, h = _scalar(value.__class__, value)
             rows[i][6], rows[i][7] = kind, h
             parent, key, at = up[i]
             if parent >= 0:
@@ -143,28 +156,35 @@ def _rows_by_file(batch: pa.RecordBatch) -> Iterator[tuple]:
     yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
 
 
-def bridge(df: DataFrame, id_col: str = "file_id", payload_col: str = "payload", list_fields: tuple[str, ...] = LIST_FIELDS) -> DataFrame:
-    """One row per occurrence of a JSON value in a record. Map-only: files are
-    independent, so no shuffle and no skew beyond a single payload."""
+def bridge(df: DataFrame, id_col: str = "file_id", payload_col: str = "payload", list_fields: tuple[str, ...] = LIST_FIELDS, columns: tuple[str, ...] = ()) -> DataFrame:
+    """One row per occurrence of a JSON value in a record, with all columns or
+    those named: the optimizer cannot see into Python, so a caller that needs
+    few says so. Map-only: files are independent, so no shuffle and no skew
+    beyond a single payload."""
+    names = [n for n in _BRIDGE_ARROW.names if not columns or n in columns]
+    at = [_BRIDGE_ARROW.names.index(n) for n in names]
+    arrow = pa.schema([_BRIDGE_ARROW.field(i) for i in at])
+    schema = ", ".join(f for f in BRIDGE_SCHEMA.split(", ") if f.split()[0] in names)
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[]] * len(_BRIDGE_ARROW)
+        return pa.RecordBatch.from_arrays([pa.array(cols[i], t) for i, t in zip(at, arrow.types, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in _BRIDGE_ARROW.names]
+            out: list[tuple] = []
             for file_id, payload in _rows_by_file(batch):
                 occ = 0
                 for qid, record in read_records(payload):
-                    shredder = MerkleShredder(list_fields)
-                    rows = shredder.shred(record, occ)
+                    rows = MerkleShredder(list_fields).shred(record, occ)
                     occ += len(rows)
-                    for row in rows:
-                        for col, x in zip(out, (file_id, qid, *row), strict=True):
-                            col.append(x)
-                if len(out[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _BRIDGE_ARROW.types, strict=True)], schema=_BRIDGE_ARROW)
-                    out = [[] for _ in _BRIDGE_ARROW.names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _BRIDGE_ARROW.types, strict=True)], schema=_BRIDGE_ARROW)
+                    out += [(file_id, qid, *row) for row in rows]
+                if len(out) > 50_000:
+                    yield pack(out)
+                    out = []
+            yield pack(out)
 
-    return df.select(F.col(id_col).cast("bigint").alias("file_id"), F.col(payload_col).alias("payload")).mapInArrow(run, BRIDGE_SCHEMA)
+    return df.select(F.col(id_col).cast("bigint").alias("file_id"), F.col(payload_col).alias("payload")).mapInArrow(run, schema)
 
 
 def nodes(df: DataFrame, id_col: str = "file_id", payload_col: str = "payload", list_fields: tuple[str, ...] = LIST_FIELDS) -> DataFrame:
@@ -195,7 +215,7 @@ _NODE_OF_PATH = {
 def annotation_nodes(df: DataFrame, id_col: str = "file_id", payload_col: str = "payload") -> DataFrame:
     """Groups, answers, English answers, votes and idk counts as flat rows:
     file_id, qid, node, grp, item."""
-    return flat_annotations(bridge(df, id_col, payload_col))
+    return flat_annotations(bridge(df, id_col, payload_col, columns=("file_id", "qid", "path", "parent_path", "ords", "leaf_key", "kind")))
 
 
 def flat_annotations(rows: DataFrame) -> DataFrame:
