@@ -9,8 +9,8 @@ the class's representative for that language; between scripts, the member in
 the script of the word. A text is rewritten greedily, leftmost-longest, by a
 multi-pattern automaton of all members that are no representative.
 
-Left as they are: zero-width joiners inside emoji, non-joiners between letters
-of Arabic-script text and around Indic viramas, direction marks in right-to-left
+Left as they are: zero-width joiners inside emoji, non-joiners after letters
+of Persian text and around Indic viramas, direction marks in right-to-left
 text, full-width punctuation and the wide blank in Chinese and Japanese text,
 symbols that look different from plain text (superscripts, fractions, styled
 alphabets), whole words in another script, and JSON escapes, which are ASCII.
@@ -52,6 +52,8 @@ ARABIC_DOUBLES = {"ی": "ي", "ک": "ك", "ه": "ہە"}
 PERSIAN_DOUBLES = {"ی": "ى"}
 #: Languages that share a script but not the code points of some letters.
 SIBLINGS = ("Arabic", "Persian")
+#: Of these, those whose spelling has the zero-width non-joiner.
+NON_JOINING = ("Persian",)
 
 #: Compatibility mappings that keep the look, apart from width.
 SAME_LOOK = ("<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>")
@@ -238,15 +240,17 @@ _RTL_MARKS = frozenset("\u200e\u200f\u061c")
 _VISIBLE = re.compile("[^\\s\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 
 
-def drop_invisible(text: str) -> str:
-    """Invisible characters go, but where a language's spelling or an emoji has them."""
+def drop_invisible(text: str, joins: bool = False) -> str:
+    """Invisible characters go, but where a language's spelling or an emoji has
+    them. joins: the text is in a language that writes non-joiners after Arabic
+    letters, also where the text breaks off behind one."""
     out, start = [], 0
     for m in _INVISIBLE.finditer(text):
         i, ch = m.start(), m.group()
         before, after = text[i - 1 : i], text[i + 1 : i + 2]
         keep = (
             (ch == "\u200d" and _EMOJI.match(before) and _EMOJI.match(after))
-            or (ch == "\u200c" and _ARABIC.match(before) and _ARABIC.match(after))
+            or (joins and ch == "\u200c" and _ARABIC.match(before) and (not after or _ARABIC.match(after)))
             or (ch in "\u200c\u200d" and before in _VIRAMA)
             or (ch in _RTL_MARKS and _ARABIC.search(text))
         )
@@ -342,10 +346,10 @@ class Rewriter:
         """`text` in its consistent form; itself if nothing changes."""
         if text.isascii():
             return text
-        new = drop_invisible(text)
-        language = self.sibling(new, label) if _ARABIC.search(new) else label
+        language = self.sibling(text, label) if _ARABIC.search(text) else label
+        new = drop_invisible(text, language in NON_JOINING)
         wide = _HAN.search(new) is not None
-        if (label in SIBLINGS and not _ARABIC.search(new)) or (self.main_script.get(label) == "CJK" and not wide and language == label):
+        if (label in SIBLINGS and not _ARABIC.search(text)) or (self.main_script.get(label) == "CJK" and not wide and language == label):
             language = OTHER  # the text is in another script than its label says
         # Twice, as a rewritten letter may complete a sequence with its mark.
         for _ in range(2):
