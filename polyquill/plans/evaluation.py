@@ -349,6 +349,9 @@ agg AS (SELECT model, country, language, prompt_no, sum(b) AS h, sum(w) AS w FRO
 runs AS (SELECT DISTINCT model, country, language, prompt_no FROM model_inference_results),
 sem AS (SELECT runs.model, runs.country, runs.language, runs.prompt_no, questions, round(100 * coalesce(h, 0) / questions, 6) AS sem_b, round(100 * coalesce(agg.w, 0) / questions, 6) AS sem_w
 FROM runs LEFT JOIN agg ON runs.model IS NOT DISTINCT FROM agg.model AND runs.country IS NOT DISTINCT FROM agg.country AND runs.language IS NOT DISTINCT FROM agg.language AND runs.prompt_no IS NOT DISTINCT FROM agg.prompt_no JOIN den ON runs.country = den.country)"""
+_JSON = r"""d AS (SELECT DISTINCT resp_id, prompt, response FROM model_inference_results),
+b AS (SELECT *, replace(replace(replace(regexp_extract(replace(response, chr(10), ''), '\{[^}]+\}'), '```json', ''), '`', ''), ',}', '}') AS body FROM d),
+o AS (SELECT *, CASE WHEN body <> '' AND json_valid(body) THEN body::JSON END AS j FROM b)"""
 _ROUTE = "CASE " + " ".join(f"WHEN contains(model, '{p}') THEN '{n}'" for p, n in dims.PROVIDERS) + " WHEN model IS NOT NULL THEN 'local' END"
 
 SQL: dict[str, str] = {
@@ -397,6 +400,10 @@ SELECT o.country, o.qid, c.country AS other_country, c.answer, c.votes FROM own
 WHERE NOT EXISTS (SELECT 1 FROM reps m WHERE m.country = o.country AND m.qid = o.qid AND m.answer = c.answer) QUALIFY row_number() OVER (PARTITION BY o.country, o.qid, c.country ORDER BY c.votes DESC, c.pos) = 1""",
     "choose3": "SELECT a.r_name AS c1, b.r_name AS c2, c.r_name AS c3 FROM region a JOIN region b ON a.r_name < b.r_name JOIN region c ON b.r_name < c.r_name",
     "mc_assemble": "SELECT a.r_name AS c1, b.r_name AS c2, c.r_name AS c3, 'A. ' || a.r_name || chr(10) || 'B. ' || b.r_name || chr(10) || 'C. ' || c.r_name AS options, 'B' AS answer_idx FROM region a JOIN region b ON a.r_name < b.r_name JOIN region c ON b.r_name < c.r_name",
+    "json_answer": f"""WITH {_JSON} SELECT resp_id, CASE WHEN json_type(j, '$.answer') = 'VARCHAR' THEN j ->> '$.answer' ELSE CAST(j -> '$.answer' AS VARCHAR) END AS answer FROM o WHERE json_type(j, '$.answer') IS NOT NULL AND json_type(j, '$.answer') <> 'NULL'""",
+    "letter_extract": f"""WITH {_JSON}, c AS (SELECT *, json_exists(j, '$.answer_choice') AS has, coalesce(j ->> '$.answer_choice', 'None') AS raw FROM o WHERE response IS NOT NULL AND prompt IS NOT NULL),
+l AS (SELECT *, nullif(regexp_extract(raw, '[A-Z]'), '') AS letter, CASE raw WHEN 'kimchi' THEN 'A' WHEN 'rice' THEN 'B' ELSE response END AS by_text FROM c)
+SELECT resp_id, CASE WHEN j IS NULL THEN coalesce(nullif(regexp_extract(response, '[A-Z]'), ''), response) WHEN has THEN CASE WHEN letter IS NOT NULL AND contains(prompt, letter || '.') THEN letter ELSE by_text END ELSE response END AS final_ans FROM l""",
     "event_json": "SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events",
     "mc_score": f"""WITH r AS (SELECT DISTINCT resp_id, model, country, question, response FROM model_inference_results)
 SELECT model, country, round(avg(CASE WHEN coalesce(substring(upper({_strip('question')}), 1, 1), 'nan') = coalesce(substring(upper({_strip('response')}), 1, 1), 'nan') THEN 1 ELSE 0 END), 6) AS score FROM r GROUP BY model, country""",
