@@ -140,6 +140,12 @@ def _quote(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
+def flag(text: Column) -> Column:
+    """yes/no words and letters and 1/0 as boolean; null for anything else."""
+    low = F.lower(strip(text))
+    return F.when(low.isin("yes", "true", "t", "y", "1"), F.lit(True)).when(low.isin("no", "false", "f", "n", "0"), F.lit(False))
+
+
 def valid_history(history: Column) -> Column:
     """Whether every turn has a non-empty role and content."""
     return F.forall(history, lambda t: (F.coalesce(t["role"], F.lit("")) != "") & (F.coalesce(t["content"], F.lit("")) != ""))

@@ -66,3 +66,19 @@ def pairs(languages: list[str], countries: list[str]) -> list[tuple[str, str]]:
     if len(languages) != len(countries):
         raise ValueError("as many languages as countries are needed")
     return list(zip(languages, countries, strict=True))
+
+
+def fill_template(template: dict[str, str], instruction: Column, given: Column | None = None, label: Column | None = None) -> Column:
+    """A prompt from an instruction template: `prompt_input` where an input is
+    given (null and empty ones are not), else `prompt_no_input`; a label follows."""
+    bare = F.replace(F.lit(template["prompt_no_input"]), F.lit("{instruction}"), instruction)
+    out = bare
+    if given is not None:
+        full = F.replace(F.replace(F.lit(template["prompt_input"]), F.lit("{instruction}"), instruction), F.lit("{input}"), given)
+        out = F.when(F.coalesce(given, F.lit("")) != "", full).otherwise(bare)
+    return out if label is None else F.concat(out, F.coalesce(label, F.lit("")))
+
+
+def template_response(template: dict[str, str], output: Column) -> Column:
+    """What follows the template's response marker, to the next one; null without it."""
+    return F.trim(F.get(F.split(output, "\\Q" + template["response_split"] + "\\E"), F.lit(1)))

@@ -4,6 +4,8 @@ Missing-value words become nulls, as the first readers of these files made them.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_template(path: str) -> dict[str, str]:
+    """An instruction template: a small JSON file read on the driver."""
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
     """Parquet, partitioned by run so that readers prune by file."""
     writer = df.write.mode(mode)

@@ -26,6 +26,16 @@ def test_small_helpers(spark):
     assert [r[0] for r in df.select(prompts.name_country_always(F.lit("in your country"), F.col("c"))).collect()] == ["in South Korea", "in the US"]
 
 
+def test_templates(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"prompt_input": "I {instruction} ({input})\\nR:", "prompt_no_input": "I {instruction}\\nR:", "response_split": "R:"}')
+    t = files.read_template(str(tmp_path / "t.json"))
+    df = spark.createDataFrame([("do", "x", "l"), ("do", "", None), ("do", None, None)], "i string, g string, l string")
+    got = [r[0] for r in df.select(prompts.fill_template(t, F.col("i"), F.col("g"), F.col("l"))).collect()]
+    assert got == ["I do (x)\nR:l", "I do\nR:", "I do\nR:"]
+    out = spark.createDataFrame([("I do\nR: yes ",), ("nothing",)], "o string")
+    assert [r[0] for r in out.select(prompts.template_response(t, F.col("o"))).collect()] == ["yes", None]
+
+
 def test_calls(spark):
     def make():
         def ask(model, prompt):

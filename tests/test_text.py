@@ -67,6 +67,11 @@ def test_between_and_history(spark):
     assert tuple(df.select(T.valid_history(F.col("h")), T.valid_history(F.col("g"))).first()) == (True, False)
 
 
+def test_flag(spark):
+    df = spark.createDataFrame([("Yes",), ("f",), (" 0 ",), ("maybe",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.flag(F.col("t"))).collect()] == [True, False, False, None, None]
+
+
 def test_strip_long_runs(spark):
     df = spark.range(200).select(F.concat(F.lit("\u00a0\t a"), F.lit(" " * 50000), F.lit("b\u3000\n")).alias("t"))
     assert df.where(F.length(T.strip(F.col("t"))) == 50002).count() == 200
