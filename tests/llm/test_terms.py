@@ -57,3 +57,5 @@ def test_records(spark):
     total = records.selectExpr("count(1) AS n_records")
     assert [(r.term, r.records, r.mark) for r in terms.mark_terms(found, total).collect()] == [("new", 1, "rare")]
     assert [r.mark for r in terms.mark_terms(found, total, rare_records=1).collect()] == ["common"]
+    clash = df.selectExpr("*", "1 AS values", "2 AS term", "3 AS _last", "4 AS n_records")
+    assert terms.counts(terms.annotation_records(clash), "values").count() == 1
