@@ -4,8 +4,8 @@ Rescue-column ingestion: each file is read against one target schema; a field
 that the schema does not know, or a cell that does not fit its column's type,
 is kept as JSON in the column `_rescued`; fields that are approved later are
 promoted, and rescued values are replayed into their typed columns without
-reading the files again. The change report compares each delivered version of
-a sheet with the one before it.
+reading the files again. The change report compares the ingested rows of each
+delivered version of a sheet with those of the one before it.
 
 Defined results: a null or blank file, or one with a header only, has no rows;
 a null or blank file is no delivered version and takes no part in the change
@@ -78,13 +78,16 @@ def parse_file(file_name: str | None, text: str | None) -> tuple[list[str], list
     rows = [r for r in csv.reader(source, delimiter="\t" if (file_name or "").lower().endswith(".tsv") else ",") if any(c.strip() for c in r)]
     if not rows:
         return [], []
-    names, seen = [], {}
+    names: dict[str, None] = {}
+    seen: dict[str, int] = {}
     for raw in rows[0]:
-        name = clean_name(raw)
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name}#{seen[name]}")
+        name = unique = clean_name(raw)
+        while unique in names:
+            seen[name] = seen.get(name, 1) + 1
+            unique = f"{name}#{seen[name]}"
+        names[unique] = None
     # Line ends inside cells follow the file, not the content.
-    return names, [[c.replace("\r\n", "\n").replace("\r", "\n") for c in r] for r in rows[1:]]
+    return list(names), [[c.replace("\r\n", "\n").replace("\r", "\n") for c in r] for r in rows[1:]]
 
 
 @dataclass(frozen=True)
@@ -128,9 +131,17 @@ def _files(df: DataFrame) -> DataFrame:
     )
 
 
-def ingest(df: DataFrame, schema: TargetSchema = PROMPT_SCHEMA) -> DataFrame:
-    """All rows of all files in the target schema; map-only. Unknown fields lie
-    in `_rescued`, a JSON object by header name."""
+#: The record before a file's rows: its header in order, each name with the
+#: typed column it is read into, null where its cells are rescued.
+HEADER_ROW = -1
+_INGEST_SCHEMA = ROW_SCHEMA + ", _header array<struct<name:string,target:string>>"
+_INGEST_ARROW = _ROW_ARROW.append(pa.field("_header", pa.list_(pa.struct([("name", pa.string()), ("target", pa.string())]))))
+
+
+def ingest_files(df: DataFrame, schema: TargetSchema = PROMPT_SCHEMA, blanks: bool = False) -> DataFrame:
+    """All rows of all files in the target schema, each file's after a record
+    (row_no -1) with its header; map-only. With `blanks`, cells of white space
+    are kept as they are."""
     lookup = schema.lookup()
     at = {c: i for i, c in enumerate(schema.columns)}
     if set(at) != {"id", "english", "translation"}:
@@ -138,30 +149,46 @@ def ingest(df: DataFrame, schema: TargetSchema = PROMPT_SCHEMA) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in _ROW_ARROW.names]
+            out: list[list] = [[] for _ in _INGEST_ARROW.names]
+
+            def add(*record: object) -> None:
+                for col, x in zip(out, record, strict=True):  # noqa: B023
+                    col.append(x)
+
             for file_id, sheet_id, version_no, file_name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 names, rows = parse_file(file_name, text)
-                targets: list[int | None] = []
+                if not names:
+                    continue
+                targets: list[str | None] = []
                 for name in names:
-                    i = at.get(lookup.get(squash(name), ""))
-                    targets.append(None if i in targets else i)
+                    target = lookup.get(squash(name))
+                    targets.append(None if target in targets else target)
+                extra = "_extra"
+                while extra in names:
+                    extra += "_"
+                add(file_id, sheet_id, version_no, HEADER_ROW, None, None, None, None, [{"name": n, "target": t} for n, t in zip(names, targets, strict=True)])
                 for row_no, row in enumerate(rows):
                     typed: list[str | None] = [None] * len(at)
                     rescued: dict[str, object] = {}
                     for k, cell in enumerate(row[: len(names)]):
-                        if not cell.strip():
+                        if not (cell if blanks else cell.strip()):
                             continue
                         if targets[k] is None:
                             rescued[names[k]] = cell
                         else:
-                            typed[targets[k]] = cell
+                            typed[at[targets[k]]] = cell
                     if len(row) > len(names):
-                        rescued["_extra"] = row[len(names) :]
-                    for col, x in zip(out, (file_id, sheet_id, version_no, row_no, *typed, json.dumps(rescued, ensure_ascii=False) if rescued else None), strict=True):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _ROW_ARROW.types, strict=True)], schema=_ROW_ARROW)
+                        rescued[extra] = row[len(names) :]
+                    add(file_id, sheet_id, version_no, row_no, *typed, json.dumps(rescued, ensure_ascii=False) if rescued else None, None)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _INGEST_ARROW.types, strict=True)], schema=_INGEST_ARROW)
 
-    return _files(df).mapInArrow(run, ROW_SCHEMA)
+    return _files(df).mapInArrow(run, _INGEST_SCHEMA)
+
+
+def ingest(df: DataFrame, schema: TargetSchema = PROMPT_SCHEMA) -> DataFrame:
+    """All rows of all files in the target schema; map-only. Unknown fields lie
+    in `_rescued`, a JSON object by header name."""
+    return ingest_files(df, schema).where(F.col("row_no") != HEADER_ROW).drop("_header")
 
 
 def _typed(value: Column, kind: str) -> Column:
@@ -205,6 +232,7 @@ _DIGEST_ARROW = pa.schema(
 )
 _PROMPT_ID = re.compile(r"[A-Za-z]+-\d+")
 ID_NAMES = ("id", "promptid")
+_TARGETS = ("id", "english", "translation")  # as they follow in ROW_SCHEMA
 
 
 def _hash(text: str) -> int:
@@ -220,29 +248,41 @@ def id_column(names: list[str], rows: list[list[str]]) -> int | None:
     return next((i for i in fitting if i in named), next(iter(fitting or named), None))
 
 
-def digest(df: DataFrame) -> DataFrame:
-    """Per file its columns with kinds, prompt ids and cells as 64-bit hashes.
-    Made beside the scan, so that the comparison never shuffles texts."""
+def file_digest(names: list[str], rows: list[list[str]]) -> tuple[list[dict], list[int], list[list[int]]]:
+    """Columns with kinds, prompt ids, and cells by column."""
+    key = id_column(names, rows)
+    first: dict[str, list[str]] = {}  # of a repeated prompt id the first row stands
+    for row in rows:
+        first.setdefault(row[key].strip() if key is not None else "", row)
+    cols = [{"name": n, "kind": column_kind([r[i] for r in rows])} for i, n in enumerate(names)]
+    return cols, [_hash(k) for k in first], [[_hash(r[i]) for r in first.values()] for i in range(len(names))]
+
+
+def digest(df: DataFrame, schema: TargetSchema = PROMPT_SCHEMA) -> DataFrame:
+    """Per ingested file its columns with kinds, prompt ids and cells as 64-bit
+    hashes. A cell is read from the typed column its header name goes to, else
+    from `_rescued`. Made beside the scan, where a file's rows still follow its
+    header in one partition, so that the comparison never shuffles texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names, targets, rows = None, [], [], []
         for batch in batches:
             out: list[list] = [[] for _ in _DIGEST_ARROW.names]
-            for file_id, sheet_id, version_no, file_name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                names, rows = parse_file(file_name, text)
-                if not names:
-                    continue
-                key = id_column(names, rows)
-                first: dict[str, list[str]] = {}  # of a repeated prompt id the first row stands
-                for row in rows:
-                    row += [""] * (len(names) - len(row))
-                    first.setdefault(row[key].strip() if key is not None else "", row)
-                cols = [{"name": n, "kind": column_kind([r[i] for r in rows])} for i, n in enumerate(names)]
-                cells = [[_hash(r[i]) for r in first.values()] for i in range(len(names))]
-                for col, x in zip(out, (file_id, sheet_id, version_no, cols, [_hash(k) for k in first], cells), strict=True):
-                    col.append(x)
+            for file_id, sheet_id, version_no, row_no, *typed, rescued, header in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row_no == HEADER_ROW:
+                    if key is not None:
+                        for col, x in zip(out, (*key, *file_digest(names, rows)), strict=True):
+                            col.append(x)
+                    key, names, rows = (file_id, sheet_id, version_no), [h["name"] for h in header], []
+                    targets = [None if h["target"] is None else _TARGETS.index(h["target"]) for h in header]
+                else:
+                    bag = json.loads(rescued) if rescued else {}
+                    rows.append([(bag.get(n) if t is None else typed[t]) or "" for n, t in zip(names, targets, strict=True)])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _DIGEST_ARROW.types, strict=True)], schema=_DIGEST_ARROW)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, *file_digest(names, rows)), _DIGEST_ARROW.types, strict=True)], schema=_DIGEST_ARROW)
 
-    return _files(df).mapInArrow(run, _DIGEST_SCHEMA)
+    return ingest_files(df, schema, blanks=True).mapInArrow(run, _DIGEST_SCHEMA)
 
 
 VERSION_BLOCK = 256
@@ -286,9 +326,10 @@ CHANGE_SCHEMA = "file_id bigint, change_kind string, field_name string"
 _CHANGE_ARROW = pa.schema([("file_id", pa.int64()), ("change_kind", pa.string()), ("field_name", pa.string())])
 
 
-def changes(df: DataFrame) -> DataFrame:
-    """One row per change of a version against the one before it."""
-    files = digest(df)
+def changes(df: DataFrame, schema: TargetSchema = PROMPT_SCHEMA) -> DataFrame:
+    """One row per change of a version against the one before it, from their
+    ingested rows."""
+    files = digest(df, schema)
     # Versions come from the table itself, so that files are parsed for their digests only.
     pairs = version_pairs(_files(df).where(F.col("file_text").rlike("(?U)" + FILLED)).select("sheet_id", "version_no", "file_id"))
     content = F.struct("cols", "ids", "cells")

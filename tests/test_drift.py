@@ -25,6 +25,37 @@ def test_changes(spark):
     assert changes(spark, HEAD + "inst-1,x,Y\n", None, "  \n", HEAD + "inst-1,x,7\n") == {(4, "retyped", "Edited")}
 
 
+def test_changes_come_from_ingested_rows(spark, monkeypatch):
+    texts = ["id,English,Native,Edited Y/N,x\ninst-1,a,b,Y, \ninst-2,c,d,N,\n", "id,English,Local Translation,Edited,x\ninst-1,a,b,Y, ,over\ninst-2,c,d,N,,\n", "id,English\n"]
+    want = {(2, "renamed", "Local Translation"), (2, "renamed", "Edited"), *((3, "removed", n) for n in ("Local Translation", "Edited", "x"))}
+    # Whatever the target schema takes or leaves to _rescued, the report is the same.
+    for aliases in ({}, {"english": ("Edited",), "translation": ("x",)}, drift.PROMPT_SCHEMA.aliases):
+        schema = drift.TargetSchema(drift.PROMPT_SCHEMA.columns, aliases)
+        assert {tuple(r) for r in drift.changes(frame(spark, [(i + 1, 1, i + 1, "a.csv", t) for i, t in enumerate(texts)]), schema).collect()} == want
+    # A cell of blanks is no empty cell here.
+    assert changes(spark, "id,x\ninst-1, \ninst-2,a\n", "id,y\ninst-1,\ninst-2,a\n") == {(2, "added", "y"), (2, "removed", "x")}
+    used = []
+    whole = drift.ingest_files
+    monkeypatch.setattr(drift, "ingest_files", lambda *a, **k: used.append(1) or whole(*a, **k))
+    assert changes(spark, *texts) == want and used
+
+
+def test_rows_over_many_batches(spark):
+    rows = [(i, i // 2, i % 2, "a.csv", "id,English,%s\n" % ("xy"[i % 2]) + "".join(f"inst-{k},e{k},{i // 2}v{k}\n" for k in range(20))) for i in range(60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(tuple(r) for r in drift.changes(frame(spark, rows)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(i, "renamed", "y") for i in range(1, 60, 2)]
+
+
+def test_names_stay_apart(spark):
+    rows = [(1, 1, 1, "a.csv", "id,a#2,a,a,_extra\ninst-1,p,q,r,s,t\n")]
+    got = drift.ingest(frame(spark, rows)).first()._rescued
+    assert got == '{"a#2": "p", "a": "q", "a#3": "r", "_extra": "s", "_extra_": ["t"]}'
+
+
 def test_versions_left_out_and_sent_again(spark):
     a, b = HEAD + "inst-1,x,Y\n", "id,English\ninst-1,x\n"
     rows = [(10, 1, 1, "a.csv", a), (11, 1, 700, "a.csv", b), (12, 1, 700, "a.csv", a), (13, None, 1, "a.csv", a), (14, 1, None, "a.csv", b)]
