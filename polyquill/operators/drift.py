@@ -22,7 +22,7 @@ import hashlib
 import io
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -198,30 +198,31 @@ def _typed(value: Column, kind: str) -> Column:
     return value.try_cast(kind)
 
 
-def _fits(names: list[str], kind: str) -> Callable[[Column], Column]:
-    def fits(entry: Column) -> Column:
-        return F.regexp_replace(F.lower(entry["key"]), r"[^\p{L}\p{N}]", "").isin(*names) & _typed(entry["value"], kind).isNotNull()
+def _first_fit(bag: Column, names: list[str], kind: str) -> Column:
+    """The entry that is promoted: of those that fit, the one whose name comes
+    first in `names`; of names that differ in marks only, the lesser."""
+    rank = F.array(*(F.lit(n) for n in names))
 
-    return fits
+    def ranked(entry: Column) -> Column:
+        name = F.regexp_replace(F.lower(entry["key"]), r"[^\p{L}\p{N}]", "")
+        return F.struct(F.array_position(rank, name).alias("rank"), entry["key"].alias("key"), entry["value"].alias("value"))
 
-
-def _negated(predicate: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda entry: ~predicate(entry)
+    return F.array_min(F.filter(F.transform(bag, ranked), lambda e: (e["rank"] > 0) & _typed(e["value"], kind).isNotNull()))
 
 
 def promote(rows: DataFrame, approved: dict[str, tuple[str, tuple[str, ...]]] | None = None) -> DataFrame:
     """Replay rescued values into typed columns, in built-in expressions. A
     value that does not fit its type stays in `_rescued`; so does all that is
-    not approved. With several aliases filled, the first in map order stands."""
+    not approved. With several aliases filled, the first that fits stands, in
+    the order name, then aliases as given; the others stay in `_rescued`."""
     approved = PROMOTED if approved is None else approved
     bag = F.from_json("_rescued", "map<string,string>")
     entries = F.coalesce(F.map_entries(bag), F.array().cast("array<struct<key:string,value:string>>"))
     rows = rows.withColumn("_bag", entries)
     for name, (kind, aliases) in approved.items():
-        fits = _fits(sorted({squash(a) for a in (name, *aliases)}), kind)
-        hits = F.filter("_bag", fits)
-        rows = rows.withColumn(name, _typed(F.get(hits, F.lit(0))["value"], kind)).withColumn("_bag", F.filter("_bag", _negated(fits)))
-    return rows.withColumn("_rescued", F.when(F.size("_bag") > 0, F.to_json(F.map_from_entries("_bag")))).drop("_bag")
+        rows = rows.withColumn("_hit", _first_fit(F.col("_bag"), list(dict.fromkeys(squash(a) for a in (name, *aliases))), kind))
+        rows = rows.withColumn(name, _typed(F.col("_hit.value"), kind)).withColumn("_bag", F.filter("_bag", lambda e: ~e["key"].eqNullSafe(F.col("_hit.key"))))
+    return rows.withColumn("_rescued", F.when(F.size("_bag") > 0, F.to_json(F.map_from_entries("_bag")))).drop("_bag", "_hit")
 
 
 # --- change report ---------------------------------------------------------

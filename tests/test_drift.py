@@ -92,6 +92,20 @@ def test_one_table_and_replay(spark):
     assert got["inst-3"].edited is None and "maybe" in got["inst-3"]._rescued and "extra" in got["inst-3"]._rescued
 
 
+def test_two_aliases_lose_nothing(spark):
+    import json
+
+    heads = ("Edited Y/N,Edited,G-Translation,MT Translation", "Edited,Edited Y/N,MT Translation,G-Translation")
+    cells = [{"Edited Y/N": "Y", "Edited": "N", "G-Translation": "g", "MT Translation": "m"}, {"Edited Y/N": "Y", "Edited": "Y/N"}, {"Edited": "", "Edited Y/N": "N"}, {"Edited": "Y", "Edited Y/N": "maybe", "MT Translation": "m"}]
+    for i, head in enumerate(heads):
+        text = f"id,{head}\n" + "".join(f"inst-{k}," + ",".join(c.get(h, "") for h in head.split(",")) + "\n" for k, c in enumerate(cells))
+        got = {r.id: (r.edited, r.g_translation, json.loads(r._rescued or "{}")) for r in drift.promote(drift.ingest(frame(spark, [(i, 1, 1, "a.csv", text)]))).collect()}
+        assert got == {
+            "inst-0": (False, "g", {"Edited Y/N": "Y", "MT Translation": "m"}), "inst-1": (True, None, {"Edited": "Y/N"}),
+            "inst-2": (False, None, {}), "inst-3": (True, "m", {"Edited Y/N": "maybe"}),
+        }
+
+
 @pytest.mark.parametrize(("cell", "kind"), [("Y", "flag"), ("no", "flag"), ("TRUE", "flag"), ("12", "whole"), ("-3", "whole"), ("2024-05-01", "date"), ("2024-05-01 10:11", "date"), ("1 May 2024", "date"), ("03/04/2024", "date"), ("May 1, 2024", "date"), ("3.5", "text"), ("yes please", "text")])
 def test_kinds(cell, kind):
     assert drift.value_kind(cell) == kind
