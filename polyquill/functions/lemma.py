@@ -1,13 +1,12 @@
 """Words for matching beyond plain tokens: canonical decomposition without the
 acute accent, and a tokeniser per language that may be replaced.
 
-Lemmatisers of single languages are optional plug-ins: register one and every
-query that matches answers uses it; without one the fallback is plain words,
-for Chinese single characters."""
+Lemmatisers of single languages are optional plug-ins: register one and the
+queries that match answers by lemmas use it; without one the fallback is plain
+words, for Chinese single characters. Tokenisers get composed text (NFC)."""
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -16,20 +15,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Tokeniser = Callable[[str], list[str]]
-_MARKS = re.compile(r"[^\w\s']|_", re.UNICODE)
+
+
+class _Blanked(dict):
+    """For str.translate: punctuation and symbols but those of `kept` as blanks.
+    Combining marks are parts of words."""
+
+    def __init__(self, kept: str) -> None:
+        super().__init__({ord(c): c for c in kept})
+
+    def __missing__(self, code: int) -> str:
+        self[code] = " " if unicodedata.category(chr(code))[0] in "PS" else chr(code)
+        return self[code]
+
+
+_QUOTES, _BRACKETS = ({ord(c): None for c in cs} for cs in ("\"'“”", "()"))
+_PLAIN, _AZERBAIJANI = _Blanked("'"), _Blanked("-")
 
 
 def plain_words(text: str) -> list[str]:
-    return _MARKS.sub(" ", text).split()
+    return text.translate(_PLAIN).split()
 
 
 def azerbaijani_words(text: str) -> list[str]:
-    """Dotted capital I as I, quotes dropped, hyphens kept."""
-    return [w for w in re.sub(r"[^\w\s-]|_", " ", re.sub("[\"'“”]", "", text.replace("İ", "I"))).split() if w.strip("-")]
+    """Dotted capital I as I, also in lower case; quotes dropped, hyphens kept."""
+    text = text.replace("İ", "I").replace("i\u0307", "i")
+    return [w for w in text.translate(_QUOTES).translate(_AZERBAIJANI).split() if w.strip("-")]
 
 
 def sundanese_words(text: str) -> list[str]:
-    return plain_words(re.sub(r"[()]", "", text))
+    return plain_words(text.translate(_BRACKETS))
 
 
 def chinese_characters(text: str) -> list[str]:
@@ -49,10 +64,12 @@ def fold(word: str) -> str:
     return unicodedata.normalize("NFD", word).replace("́", "").lower()
 
 
+def _lemmas(text: str, tokenise: Tokeniser) -> list[str]:
+    return [w for w in (fold(t) for t in tokenise(unicodedata.normalize("NFC", text))) if w]
+
+
 def lemmas(text: str | None, language: str | None) -> list[str] | None:
-    if text is None:
-        return None
-    return [w for w in (fold(t) for t in _TOKENISERS.get(language or "", plain_words)(text)) if w]
+    return None if text is None else _lemmas(text, _TOKENISERS.get(language or "", plain_words))
 
 
 def lemmas_udf() -> Callable[[Column, Column], Column]:
@@ -61,7 +78,19 @@ def lemmas_udf() -> Callable[[Column, Column], Column]:
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, languages in batches:
-            yield pd.Series([None if t is None else [w for w in (fold(x) for x in held.get(g or "", plain_words)(t)) if w] for t, g in zip(texts, languages, strict=True)])
+            yield pd.Series([None if t is None else _lemmas(t, held.get(g or "", plain_words)) for t, g in zip(texts, languages, strict=True)], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "array<string>")
+
+
+def lists_udf() -> Callable[[Column, Column], Column]:
+    """(texts, languages) -> for each language the folded words of every text."""
+    held = dict(_TOKENISERS)
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for lists, languages in batches:
+            yield pd.Series([None if ts is None or gs is None else [[_lemmas(t, held.get(g, plain_words)) for t in ts] for g in gs] for ts, gs in zip(lists, languages, strict=True)], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<array<array<string>>>")

@@ -82,14 +82,17 @@ def no_common_word(a: Column, b: Column) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), (x != y) | F.isnan(x) | F.isnan(y)).otherwise(~(a.contains(b) | b.contains(a)) & ~F.arrays_overlap(words(a), words(b)))
 
 
-def matches(answer: Column, response: Column) -> Column:
+def matches(answer: Column, response: Column, words: tuple[Column, Column] | None = None) -> Column:
     """Whether a normalised response gives an answer: it contains it, with
-    hyphens and blanks exchangeable, or has all its words. Blank answers match
+    hyphens and blanks exchangeable, or has all its words: those of `words`
+    (answer's, response's) if given, else plain tokens. Blank answers match
     nothing."""
     low = F.lower(strip(answer))
     inside = response.contains(low) | response.contains(F.replace(low, F.lit("-"), F.lit(" "))) | response.contains(F.replace(low, F.lit(" "), F.lit("-")))
     parts = tokens(answer)
-    return (F.size(parts) > 0) & (inside | (F.size(F.array_except(parts, tokens(response))) == 0))
+    own, given = words or (parts, tokens(response))
+    every = F.size(F.array_except(own, given)) == 0
+    return (F.size(parts) > 0) & (inside | (every if words is None else (F.size(own) > 0) & every))
 
 
 def json_object(text: Column) -> Column:

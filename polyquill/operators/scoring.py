@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polyquill.functions import lemma
 from polyquill.functions import text as T
 from polyquill.operators.latest import keep_last
 
@@ -41,13 +42,17 @@ def _votes(group: Column) -> Column:
     return F.coalesce(group["count"], F.lit(0))
 
 
-def first_hit(groups: Column, response: Column, native: Column) -> Column:
+def first_hit(groups: Column, response: Column, native: Column, words: dict[str, tuple[Column, Column]] | None = None) -> Column:
     """The first group in list order one of whose answers the response gives:
-    native answers if the language is not English, then English ones."""
+    native answers if the language is not English, then English ones. `words`
+    has for either field a map of the answers' words and the response's words."""
 
     def hit(g: Column) -> Column:
-        some = lambda xs: F.coalesce(F.exists(xs, lambda a: F.coalesce(T.matches(a, response), F.lit(False))), F.lit(False))
-        return (native & some(g["answers"])) | some(g["en_answers"])
+        def some(field: str) -> Column:
+            of = lambda a: words and (F.try_element_at(words[field][0], a), words[field][1])
+            return F.coalesce(F.exists(g[field], lambda a: F.coalesce(T.matches(a, response, of(a)), F.lit(False))), F.lit(False))
+
+        return (native & some("answers")) | some("en_answers")
 
     return F.get(F.filter(groups, hit), F.lit(0))
 
@@ -59,23 +64,48 @@ def valid_annotations(annotations: DataFrame) -> DataFrame:
     return latest_annotations(keyed, "annotations", "idks").where(is_valid(F.col("annotations"), F.col("idks")))
 
 
-def soft_scored(responses: DataFrame, annotations: DataFrame) -> DataFrame:
+def _answer_words(field: str, languages: Column) -> Column:
+    """By language, folded words of every distinct answer in the groups by answer."""
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.array_compact(F.flatten(F.transform("annotations", lambda g: F.coalesce(g[field], none)))))
+    words = lemma.lists_udf()(F.transform(every, lambda a: F.lower(T.strip(a))), languages)
+    return F.map_from_arrays(languages, F.transform(words, lambda w: F.map_from_arrays(every, w)))
+
+
+def soft_scored(responses: DataFrame, annotations: DataFrame, lemmas: bool = False) -> DataFrame:
     """Every last response to a valid question with binary_score (0 or 1) and
-    weight_score (votes of the group it hits by votes of the first group)."""
+    weight_score (votes of the group it hits by votes of the first group). With
+    `lemmas`, words are those of the registered tokenisers, folded: native
+    answers in the response's language, English ones in English."""
     valid = valid_annotations(annotations).select("country", F.col("qid").alias("id"), "annotations")
-    both = last_responses(responses).join(valid, ["country", "id"])
-    both = both.withColumn("_r", T.normal_response(F.col("response"), F.col("prompt")))
-    both = both.withColumn("_hit", F.when(F.coalesce(F.col("_r"), F.lit("")) != "", first_hit(F.col("annotations"), F.col("_r"), F.coalesce(F.col("language") != "English", F.lit(False)))))
+    native = F.coalesce(F.col("language") != "English", F.lit(False))
+    last = last_responses(responses)
+    normal = T.normal_response(F.col("response"), F.col("prompt"))
+    if lemmas:
+        last = last.withColumn("_r", normal).drop("response", "prompt")  # the prompt need not travel
+        # Answers are folded once a question and language, before they meet the
+        # responses; a country has a few languages, so nothing is shuffled again.
+        spoken = responses.where(native).groupBy("country").agg(F.array_sort(F.collect_set("language")).alias("_spoken"))
+        valid = valid.join(spoken, "country", "left").withColumn("_en", _answer_words("en_answers", F.array(F.lit("English")))).withColumn("_own", _answer_words("answers", F.col("_spoken")))
+    both = last.join(valid, ["country", "id"])
+    words = None
+    if not lemmas:
+        both = both.withColumn("_r", normal)
+    else:
+        fold = lemma.lemmas_udf()
+        both = both.withColumn("_r_en", fold(F.col("_r"), F.lit("English"))).withColumn("_r_own", fold(F.when(native, F.col("_r")), F.col("language")))
+        words = {"answers": (F.try_element_at("_own", F.col("language")), F.col("_r_own")), "en_answers": (F.try_element_at("_en", F.lit("English")), F.col("_r_en"))}
+    both = both.withColumn("_hit", F.when(F.coalesce(F.col("_r"), F.lit("")) != "", first_hit(F.col("annotations"), F.col("_r"), native, words)))
     weight = F.coalesce(F.try_divide(_votes(F.col("_hit")), _votes(F.get("annotations", F.lit(0)))), F.lit(0.0))
     return both.select(*RUN, "id", "resp_id", F.col("_hit").isNotNull().cast("int").alias("binary_score"), F.when(F.col("_hit").isNotNull(), weight).otherwise(0.0).alias("weight_score"))
 
 
-def soft_match(responses: DataFrame, annotations: DataFrame) -> DataFrame:
+def soft_match(responses: DataFrame, annotations: DataFrame, lemmas: bool = False) -> DataFrame:
     """SEM-B and SEM-W of every run in percent of its country's valid
     questions. Denominators come from the annotations alone, so runs and
     questions are never multiplied out."""
     valid = valid_annotations(annotations).groupBy("country").agg(F.count(F.lit(1)).alias("valid"))
-    got = soft_scored(responses, annotations).groupBy(*RUN).agg(F.sum("binary_score").alias("hits"), F.sum("weight_score").alias("weight"))
+    got = soft_scored(responses, annotations, lemmas).groupBy(*RUN).agg(F.sum("binary_score").alias("hits"), F.sum("weight_score").alias("weight"))
     runs = responses.select(*RUN).distinct()
     same = [runs[c].eqNullSafe(got[c]) for c in RUN]
     rows = runs.join(got, same, "left").select(*(runs[c] for c in RUN), "hits", "weight").join(valid, "country")

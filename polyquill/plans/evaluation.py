@@ -130,7 +130,7 @@ def weighted_vote(spark: SparkSession, d: str) -> DataFrame:
 
 
 def soft_match(spark: SparkSession, d: str) -> DataFrame:
-    """Both soft scores of every run."""
+    """L2, J1, A1, A2, F12 (a, d): both soft scores of every run."""
     return scoring.soft_match(table(spark, d, "model_inference_results"), table(spark, d, "annotations"))
 
 
@@ -140,6 +140,17 @@ def soft_scored(spark: SparkSession, d: str) -> DataFrame:
     return s.select("resp_id", "id", "country", "binary_score", F.round("weight_score", 6).alias("weight_score"))
 
 
+def soft_match_lemma(spark: SparkSession, d: str) -> DataFrame:
+    """both soft scores of every run, by folded words of the language."""
+    return scoring.soft_match(table(spark, d, "model_inference_results"), table(spark, d, "annotations"), lemmas=True)
+
+
+def soft_scored_lemma(spark: SparkSession, d: str) -> DataFrame:
+    """responses scored by folded words of the language."""
+    s = scoring.soft_scored(table(spark, d, "model_inference_results"), table(spark, d, "annotations"), lemmas=True)
+    return s.select("resp_id", "id", "country", "binary_score", F.round("weight_score", 6).alias("weight_score"))
+
+
 def hard_match(spark: SparkSession, d: str) -> DataFrame:
     """A3: scores by equality."""
     return scoring.hard_match(table(spark, d, "model_inference_results"), table(spark, d, "annotations"))
@@ -152,6 +163,12 @@ def results_table(spark: SparkSession, d: str) -> DataFrame:
     return scoring.merge_results(s.withColumn("score", F.lit(-1.0)), s)
 
 
+def results_table_lemma(spark: SparkSession, d: str) -> DataFrame:
+    """results_table of the scores by folded words."""
+    s = scoring.as_results(soft_match_lemma(spark, d))
+    return scoring.merge_results(s.withColumn("score", F.lit(-1.0)), s)
+
+
 def cross_group(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of countries with the same representative answer to a question."""
     r = choices.representative(table(spark, d, "annotations")).select("country", "qid", "answer")
@@ -295,6 +312,7 @@ QUERIES: dict[str, Query] = _named(
     soft_match, question_latest, question_first, prompt_render, prompt_matrix, resume_anti, question_semi, provider_route, last_response, response_normal, annotation_groups,
     valid_filter, idk_sum, question_filter, question_filter_wide, representative, max_vote_ties, weighted_vote, soft_scored, hard_match, results_table, cross_group, typed_answers, no_common_word, token_subset,
     answer_set, distractor_pick, distractor_greedy, min_choices, mc_questions, choose3, mc_assemble, json_answer, event_json, letter_extract, mc_score, keep_last_events, row_seq, running_score, nfd_lemma,
+    soft_match_lemma, soft_scored_lemma, results_table_lemma,
 )
 
 _SP = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"

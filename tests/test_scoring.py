@@ -31,6 +31,33 @@ def test_soft_match(spark):
     assert scores(spark, anns, []) == {}
 
 
+def test_folded_words(spark):
+    from polyquill.functions import lemma
+
+    def scored(language, native, english, text):
+        a = spark.createDataFrame([(1, "c", "q1", [(["zz"], None, 4), None, (native, english, 2)], None, T0)], ANN)
+        r = spark.createDataFrame([(1, "m", "c", language, "p", "q1", "Q?", text, T0)], RESP)
+        plain, folded = (scoring.soft_scored(r, a, lemmas).first() for lemmas in (False, True))
+        assert scoring.soft_match(r, a, lemmas=True).first().sem_w == 100 * folded.weight_score
+        return plain.binary_score, folded.binary_score, folded.weight_score
+
+    assert scored("Spanish", ["caf\u00e9 con leche"], None, "leche con cafe\u0301") == (0, 1, 0.5)
+    assert scored("Spanish", ["jamón"], None, "un jamon") == (0, 1, 0.5)
+    assert scored("Spanish", ["ma\u00f1ana"], None, "manana") == (0, 0, 0.0)
+    assert scored("Chinese", ["米饭"], None, "饭和米") == (0, 1, 0.5)
+    assert scored("English", ["米饭"], None, "饭和米") == (0, 0, 0.0)
+    assert scored("Azerbaijani", ["İsti çay"], None, "çay, isti") == (0, 1, 0.5)
+    # Vowel signs are parts of words.
+    assert scored("Assamese", ["ভাত মাছ"], None, "মাছ আৰু ভাত") == (1, 1, 0.5)
+    assert scored("Assamese", ["ভাত"], None, "ভূত তা") == (0, 0, 0.0)
+    assert scored(None, None, ["café au lait", " ", None], "lait au cafe") == (0, 1, 0.5)
+    lemma.register("Test", lambda text: [w.removesuffix("s") for w in text.split()])
+    try:
+        assert scored("Test", ["cats dog"], None, "dogs and cat") == (0, 1, 0.5)
+    finally:
+        del lemma._TOKENISERS["Test"]
+
+
 def test_null_counts(spark):
     anns = [(1, "South_Korea", "q1", [(None, ["a"], None), (["b"], None, 2)], None, T0)]
     assert scores(spark, anns, [resp(1, "q1", "a")]) == {("m", "English"): (1, 100.0, 0.0)}
