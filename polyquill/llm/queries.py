@@ -27,8 +27,8 @@ def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All n-grams of one to three words within values."""
-    found = terms.counts(terms.annotation_records(table(spark, sf_dir, "annotations")), "values", max_n=3)
+    """All n-grams within values."""
+    found = terms.counts(terms.annotation_records(table(spark, sf_dir, "annotations")), "values", max_n=None)
     return found.where("n > 0").select(F.col("term").alias("ngram"), "n", "occurrences", "records")
 
 

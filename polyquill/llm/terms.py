@@ -18,6 +18,7 @@ well; of equal rows of one record (delivered twice) one stands.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -98,9 +99,9 @@ class SuffixArray:
         return order[first], count, count - np.bincount(i, weights=duplicate, minlength=len(count)).astype(np.int64)
 
 
-def block_counts(records: list[list[str | None] | None], max_n: int = 0) -> Iterator[tuple[str, int, int, int]]:
+def block_counts(records: list[list[str | None] | None], max_n: int | None = 0) -> Iterator[tuple[str, int, int, int]]:
     """(term, n, occurrences, records) of one block: whole values with n = 0 and
-    n-grams within values with n = 1 .. max_n."""
+    n-grams within values with n = 1 .. max_n, None for the longest value's."""
     ids: dict[str, int] = {}
     symbols, ends, record, heads = [], [], [], []
     for r, values in enumerate(records):
@@ -119,7 +120,7 @@ def block_counts(records: list[list[str | None] | None], max_n: int = 0) -> Iter
     of, text = np.array(record), list(ids)
     keep = np.zeros(sa.n, bool)
     keep[heads] = True
-    for n in range(max_n + 1):
+    for n in range((int(sa.length.max()) if max_n is None else max_n) + 1):
         width = sa.length if n == 0 else np.full(sa.n, n)
         for i, occurrences, held in zip(*sa.intervals(width, keep if n == 0 else sa.length >= n, of), strict=True):
             yield " ".join(text[s] for s in symbols[i : i + (n or int(sa.length[i]))]), n, int(occurrences), int(held)
@@ -128,9 +129,10 @@ def block_counts(records: list[list[str | None] | None], max_n: int = 0) -> Iter
 _COUNT_ARROW = pa.schema([("term", pa.string()), ("n", pa.int32()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
 
-def counts(df: DataFrame, values_col: str, max_n: int = 0) -> DataFrame:
+def counts(df: DataFrame, values_col: str, max_n: int | None = 0) -> DataFrame:
     """(term, n, occurrences, records) over all rows of `df`, one row a record
-    with an array of strings: whole values (n = 0) and n-grams up to max_n."""
+    with an array of strings: whole values (n = 0) and n-grams up to
+    max_n, with None all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks() -> Iterator[list]:
@@ -143,8 +145,8 @@ def counts(df: DataFrame, values_col: str, max_n: int = 0) -> DataFrame:
             yield held
 
         for block in blocks():
-            cols = list(zip(*block_counts(block, max_n), strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _COUNT_ARROW.types, strict=True)], schema=_COUNT_ARROW)
+            for part in batched(block_counts(block, max_n), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), _COUNT_ARROW.types, strict=True)], schema=_COUNT_ARROW)
 
     each = df.select(F.col(values_col).cast("array<string>").alias("_values")).mapInArrow(run, "term string, n int, occurrences bigint, records bigint")
     return each.groupBy("term", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))

@@ -31,6 +31,21 @@ def test_as_brute_force(records):
     assert {(t, n): (o, r) for t, n, o, r in terms.block_counts(records, 3)} == brute(records, 3)
 
 
+def test_all_lengths():
+    records = [["a b c d e", "b c d e"], ["c d e f g h", "x"], None]
+    got = {(t, n): (o, c) for t, n, o, c in terms.block_counts(records, None)}
+    assert got == brute(records, 6) and got["c d e", 3] == (3, 2) and got["b c d e", 4] == (2, 1)
+    assert list(terms.block_counts([], None)) == []
+
+
+def test_ngrams_query(spark, tmp_path):
+    from polyquill.llm.queries import p1_ngrams
+
+    row = (1, "c", "q", [([], ["one two three four five"], 1)], datetime(2024, 1, 1))
+    spark.createDataFrame([row], "ann_id bigint, country string, qid string, annotations array<struct<answers:array<string>,en_answers:array<string>,count:bigint>>, loaded_at timestamp").write.parquet(f"{tmp_path}/annotations.parquet")
+    assert Counter(r.n for r in p1_ngrams(spark, str(tmp_path)).collect()) == {1: 5, 2: 4, 3: 3, 4: 2, 5: 1}
+
+
 def test_long_value():
     r = random.Random(1)
     records = [[" ".join(r.choice("ab") for _ in range(3000))], ["a b a"]]
