@@ -1,6 +1,9 @@
+import os
+import re
+
 import numpy as np
 import pytest
-from polyquill.llm import pii
+from polyquill.llm import pii, pii_training
 from polyquill.llm.boosting import BoostedTrees
 
 LEXICON = (("Briony", "given"), ("Saffron", "given"), ("Harrowby", "family"), ("Barley", "family"), ("온새봄", "given"), ("ميساران", "given"))
@@ -8,7 +11,7 @@ LEXICON = (("Briony", "given"), ("Saffron", "given"), ("Harrowby", "family"), ("
 
 @pytest.fixture(scope="module")
 def redactor():
-    return pii.Redactor(LEXICON).fit(texts=2500)
+    return pii.Redactor(LEXICON).fit()
 
 
 def test_trees_learn():
@@ -20,33 +23,79 @@ def test_trees_learn():
     assert BoostedTrees(trees=3).fit(np.zeros((4, 2)), np.zeros(4)).predict(np.zeros((1, 2)))[0] < 0.1
 
 
-def test_held_out_accuracy(redactor):
-    for kind, (precision, recall) in redactor.validation.items():
-        assert min(precision, recall) > (0.85 if kind == "name" else 0.95), kind
+def test_held_out_frames_and_names():
+    """On frames, names and streets the trees never saw; README gives the figures."""
+    got = pii.Redactor(()).fit(parts=(0, 1)).validation(600)
+    for kind, precision, recall in (("email", 0.97, 0.97), ("phone", 0.95, 0.95), ("id", 0.95, 0.95), ("address", 0.95, 0.8), ("name", 0.55, 0.65)):
+        true, found, right = got[kind, ""]
+        assert right >= precision * found and right >= recall * true, (kind, true, found, right)
 
 
 @pytest.mark.parametrize(("text", "spans"), [
     ("Write to b.harrowby+x@mail.example if you want.", [("email", "b.harrowby+x@mail.example")]), ("(contact: briony7[at]uni[dot]example)", [("email", "briony7[at]uni[dot]example")]), ("Mail is b_h at post dot test these days.", [("email", "b_h at post dot test")]),
     ("Call (212) 555-0183 after six.", [("phone", "(212) 555-0183")]), ("tel. +44 20 7946 0784", [("phone", "+44 20 7946 0784")]), ("Order no. 4471-2093-11 arrived late.", []), ("See table 12-04-7. Round 3 had 100200 votes in 2023-2024.", []),
-    ("My passport ZZ0244946 was copied at the desk.", [("id", "ZZ0244946")]), ("주민번호: 6613470724797", [("id", "6613470724797")]), ("Deliver to Flat 6, 180 Barley Lane, Orrisdale.", [("address", "Flat 6, 180 Barley Lane, Orrisdale")]), ("The shops on Barley Lane open at 07:30.", []),
-    ("주소: 가온시 달빛로 156, 1405호", [("address", "가온시 달빛로 156, 1405호")]), ("My neighbour Briony Harrowby cooks it every week.", [("name", "Briony Harrowby")]), ("Saffron comes from the south.", []), ("— 탁온새봄", [("name", "탁온새봄")]), ("", []), ("x" * 3000, []),
+    ("My passport ZZ0244946 was copied.", [("id", "ZZ0244946")]), ("주민번호: 6613470724797", [("id", "6613470724797")]), ("My SSN is 123-45-6789.", [("id", "123-45-6789")]), ("Deliver to Flat 6, 180 Barley Lane, Orrisdale.", [("address", "Flat 6, 180 Barley Lane, Orrisdale")]), ("The shops on Barley Lane open at 07:30.", []),
+    ("She lives at 4500 Oak Ridge Parkway, Austin.", [("address", "4500 Oak Ridge Parkway, Austin")]), ("주소: 가온시 달빛로 156, 1405호", [("address", "가온시 달빛로 156, 1405호")]), ("My neighbour Briony Harrowby cooks.", [("name", "Briony Harrowby")]), ("Saffron comes from the south.", []), ("— 탁온새봄", [("name", "탁온새봄")]),
+    ("John Whitfield moved to the coast in May.", [("name", "John Whitfield")]), ("Hablé con Lucía Fernández ayer", [("name", "Lucía Fernández")]), ("Aisha Bello sent the list", [("name", "Aisha Bello")]), ("김민수 씨가 전화했습니다.", [("name", "김민수")]), ("", []), ("x" * 3000, []),
 ])
 def test_spans(redactor, text, spans):
     assert [(k, text[s:e]) for s, e, k in redactor.find([text])[0]] == spans
 
 
+def test_every_run_of_capitals_is_proposed():
+    name = "Ana Lu Mar Sol Vera Cruz Paz Roa Gil"
+    text = f"met {name} there"
+    spans = {text[c[0] : c[1]] for c in pii.candidates(text, ({}, 0))[1]}
+    assert {name, "Ana Lu Mar Sol Vera Cruz", "Roa Gil", "Gil"} <= spans
+    assert ("12345", "id") in {("x 12345 y"[c[0] : c[1]], c[2]) for c in pii.candidates("x 12345 y", ({}, 0))[1]}
+
+
 def test_long_texts_take_linear_time(redactor):
     import time
 
     began = time.time()
-    for text in ("1" * 20000 + "x", " " * 20000, "Aa " * 7000, "a" + "\n" * 20000 + "b", "가나" * 10000, "12 Aa Bb Cc " * 1500, "a@" * 9000):
+    for text in ("1" * 20000 + "x", " " * 20000, "Aa " * 7000, "a" + "\n" * 20000 + "b", "가나" * 10000, "12 Aa Bb Cc " * 1500, "a@" * 9000, "王和" * 9000, "ক্" * 9000, "No 1, " * 4000):
         redactor.find([text])
-    assert time.time() - began < 20
+    assert time.time() - began < 30
 
 
 def test_redact(redactor, spark):
     text = "Hi 👋 Call (212) 555-0183 after six. Reply-To: a.b@mail.example\nbye"
     assert redactor.redact([text, None, ""]) == ["Hi 👋 Call [PHONE] after six. Reply-To: [EMAIL]\nbye", None, ""]
-    df = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "")], "doc_id bigint, text string").selectExpr("*", "'x' AS pii_kind")
+    df = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "")], "doc_id bigint, text string").selectExpr("*", "'x' AS pii_kind", "'y' AS known")
     assert {(r.pii_kind, r.start_pos) for r in pii.found(df, redactor).collect()} == {("phone", 10), ("email", 46)} and pii.found(df, redactor).count() == 4
     assert pii.redacted(df, redactor).count() == 4 and pii.found(df.limit(0), redactor).count() == 0
+
+
+def test_large_lexicon_gives_the_same(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    lexicon = spark.read.parquet(f"{data}/name_lexicon.parquet")
+    rows = [sorted(map(tuple, pii.found(docs, pii.learn(lexicon, held=n)).collect())) for n in (1000, 10)]
+    assert rows[0] and rows[0] == rows[1]
+
+
+def _strings(x):
+    if isinstance(x, str):
+        yield x
+    elif isinstance(x, dict):
+        for v in x.values():
+            yield from _strings(v)
+    elif isinstance(x, (list, tuple)):
+        for v in x:
+            yield from _strings(v)
+
+
+def test_training_texts_are_in_no_table(data):
+    import pyarrow.parquet as pq
+
+    folder = data.replace("sf0.001", "sf0.01")
+    whole = "\n".join({s for f in os.listdir(folder) for c in pq.read_table(f"{folder}/{f}").columns if "string" in str(c.type) for s in _strings(c.to_pylist())})
+    words = set(re.findall(r"\w+", whole))
+    frames, names = pii_training.sources()
+    for f in frames:
+        for piece in re.split(r"\{[^}]*\}", f):
+            bare = piece.strip(" .,:;!?，。、।።？")
+            if len(bare.split()) >= 3 or (len(bare) >= 6 and re.match("[㐀-鿿]", bare)):
+                assert bare not in whole, f
+    for n in names:
+        assert n.strip() not in (words if " " not in n else whole), n
