@@ -52,7 +52,7 @@ PLACES = {
         "No. {n}, Chapel Hill, Dundee", "{n} Sycamore Crescent, Hull", "{n} E Jefferson Blvd, Dayton", "Apartment {m}, {n} Riverside Court, Cork", "{n} Windmill Lane", "{n} Cedar Ridge Circle, Boise", "Suite {m}, {n} Commerce Square, Tampa", "{n} Priory Gardens, Exeter", "House {m}, {n} Orchard Close, Truro",
     ),
     "es": ("Calle Mayor {n}, {m}.º A", "Avenida de la Constitución {n}", "Calle San Andrés, {n}, Valencia", "Plaza del Carmen {n}, {m}.º C", "Paseo de Gracia {n}", "Camino Viejo nº {n}", "Av. Insurgentes {n}", "Calle del Pozo núm. {n}, Cuenca"),
-    "id": ("Jl. Merdeka No. {n}, Bandung", "Jalan Sudirman {n}, Jakarta", "Jl. Melati No. {n}, RT 0{k}/RW 0{k}", "Gang Mawar No. {n}", "Jalan Gajah Mada No. {n}, Semarang", "Jl. Diponegoro {n}", "Jl. Kenanga Raya No. {n}, Malang", "Gg. Kelinci No. {n}"),
+    "id": ("Jl. Merdeka No. {n}, Bandung", "Jalan Sudirman {n}, Jakarta", "Jl. Melati No. {n}, RT 0{k}/RW 0{k}", "Gang Mawar No. {n}", "Jalan Gajah Mada No. {n}, Semarang", "Jl. Diponegoro {n}", "Jl. Veteran Raya No. {n}, Malang", "Gg. Kelinci No. {n}"),
     "su": ("Jl. Asia Afrika No. {n}, Bandung", "Jalan Ciumbuleuit No. {n}", "Gang Kacapi No. {n}, Garut", "Jl. Pahlawan No. {n}, Désa Cibiru", "Jl. Siliwangi {n}, Tasikmalaya", "Gg. Sukamaju No. {n}", "Jalan Dago No. {n}", "Jl. Ahmad Yani No. {n}, RT 0{k}/RW 0{k}"),
     "ha": ("Titin Ahmadu Bello {n}, Kaduna", "Gida mai lamba {n}, Titin Kasuwa", "Layin Makaranta {n}", "Titin Zariya {n}, Kano", "Gida mai lamba {n}, Layin Asibiti", "Titin Gwamna {n}", "Lamba {n}, Titin Bauchi", "Gida {n}, Unguwar Rimi"),
     "az": ("Nizami küçəsi {n}, mənzil {m}", "Neftçilər prospekti {n}", "Bakı, Təbriz küçəsi {n}", "Füzuli küçəsi {n}", "Azadlıq prospekti {n}, mənzil {m}", "Xaqani küçəsi {n}", "Atatürk prospekti {n}", "Gəncə, Şah İsmayıl küçəsi {n}"),
@@ -123,14 +123,14 @@ PLAIN_FRAMES = {
         "Before lunch, the printer ran out of paper.", "Twelve boats left the harbour at dawn.", "English is taught from the first year.", "Batch {num} was recalled.", "Buy {w} or pears — whatever is ripe.", "What time does the bank close?", "The tour of {W} Island takes an hour.", "As far as I know, the lift is broken.",
     ),
     "es": ("La casa blanca — con jardín — está lejos.", "Mi tía guarda las llaves en la cocina.", "¿Dónde queda el parque de tu ciudad?", "Cuando nieva, los vecinos limpian la acera.", "El Ministerio de Salud publicó normas.", "Por la mañana bebemos café, por la noche té.", "La tienda vende zapatos — también cuerdas.", "El informe tiene {num} páginas, mapas incluidos.", "Votaron {num} personas en {num}.", "Los trenes de París llegan al norte.", "Cada camión para en la frontera.", "El museo abrió en 1974.", "La factura {num} está pagada.", "Nadie tiene tractor en la aldea.", "En invierno el lago se congela.", "Muchos documentos están en francés.", "Todos los perros ladran: llega el correo."),
-    "id": ("Rumah putih — dengan kebun — jauh dari sini.", "Paman saya menyimpan kunci di dapur.", "Di mana taman di kotamu?", "Ketika banjir, tetangga saling membantu.", "Kementerian Kesehatan menerbitkan aturan.", "Pagi hari kami minum kopi, malam hari teh.", "Toko itu menjual sepatu — juga tali.", "Laporan itu memuat {num} halaman, termasuk peta.", "Sekitar {num} orang memilih.", "Kereta dari Paris tiba di utara.", "Setiap truk berhenti di perbatasan.", "Museum dibuka tahun 1974.", "Faktur {num} sudah dibayar.", "Sebagian besar dokumen berbahasa Prancis.", "Musim dingin danau membeku.", "Banyak orang menunggu bus: hujan lagi.", "Bengkel tutup hari Senin."),
+    "id": ("Kakek saya memelihara ayam.", "Kakak saya bekerja di bank.", "Saya menunggu bus malam.", "Rumah putih — dengan kebun — jauh dari sini.", "Paman saya menyimpan kunci di dapur.", "Di mana taman di kotamu?", "Ketika banjir, tetangga saling membantu.", "Kementerian Kesehatan menerbitkan aturan.", "Pagi hari kami minum kopi, malam hari teh.", "Toko itu menjual sepatu — juga tali.", "Laporan itu memuat {num} halaman, termasuk peta.", "Sekitar {num} orang memilih.", "Kereta dari Paris tiba di utara.", "Setiap truk berhenti di perbatasan.", "Museum dibuka tahun 1974.", "Faktur {num} sudah dibayar.", "Sebagian besar dokumen berbahasa Prancis.", "Musim dingin danau membeku.", "Banyak orang menunggu bus: hujan lagi.", "Bengkel tutup hari Senin."),
     "su": ("Imah bodas — aya kebonna — jauh ti dieu.", "Paman kuring neundeun konci di dapur.", "Di mana taman di kota anjeun?", "Lamun caah, tatangga silih tulungan.", "Isuk-isuk urang nginum kopi, peuting entéh.", "Toko éta ngajual sapatu — tali ogé.", "Laporan éta {num} kaca, peta kaasup.", "Kira-kira {num} jalma milih.", "Karéta ti Paris datang ka kalér.", "Unggal treuk eureun di wates.", "Musium dibuka taun 1974.", "Faktur {num} geus dibayar.", "Loba jalma ngadagoan beus.", "Usum hujan jalan leueur.", "Béngkél tutup poé Senén.", "Anjing nyegog: tukang pos datang."),
     "ha": ("Farin gida — da lambu — yana nesa.", "Kawuna yana ajiye mabuɗi a kicin.", "Ina lambun birninku yake?", "Idan aka yi ambaliya, maƙwabta suna taimako.", "Da safe muna shan kofi, da dare kuma shayi.", "Kantin yana sayar da takalma — har da igiya.", "Rahoton yana da shafi {num}, har da taswira.", "Kimanin mutane {num} suka yi zaɓe.", "Jirgin ƙasa daga Paris ya iso arewa.", "Kowace mota tana tsayawa a iyaka.", "An buɗe gidan tarihi a 1974.", "An biya takarda {num}.", "Mutane da yawa suna jiran bas.", "Lokacin sanyi tafki yana daskarewa.", "Karnuka suna haushi: wasiƙa ta iso.", "Kantin yana rufe ranar Litinin."),
     "az": ("Ağ ev — bağçası ilə — uzaqdadır.", "Əmim açarları mətbəxdə saxlayır.", "Şəhərinizdə park haradadır?", "Qar yağanda qonşular yolu təmizləyir.", "Səhər qəhvə içirik, axşam çay.", "Mağaza ayaqqabı satır — ip də var.", "Hesabatda {num} səhifə var, xəritələr daxil.", "Təxminən {num} nəfər səs verdi.", "Parisdən gələn qatar şimala çatır.", "Hər yük maşını sərhəddə dayanır.", "Muzey 1974-cü ildə açılıb.", "Faktura {num} ödənilib.", "Çox adam avtobus gözləyir.", "Qışda göl donur.", "İtlər hürür: poçt gəldi.", "Sənədlərin çoxu fransızcadır."),
     "el": ("Το λευκό σπίτι — με κήπο — είναι μακριά.", "Ο θείος μου κρατά τα κλειδιά στην κουζίνα.", "Πού είναι το πάρκο στην πόλη σας;", "Όταν χιονίζει, οι γείτονες καθαρίζουν τον δρόμο.", "Το πρωί πίνουμε καφέ, το βράδυ τσάι.", "Το μαγαζί πουλά παπούτσια — και σχοινιά.", "Η αναφορά έχει {num} σελίδες, μαζί με χάρτες.", "Ψήφισαν περίπου {num} άτομα.", "Τα τρένα από το Παρίσι φτάνουν βόρεια.", "Κάθε φορτηγό σταματά στα σύνορα.", "Το μουσείο άνοιξε το 1974.", "Το τιμολόγιο {num} πληρώθηκε.", "Πολλοί περιμένουν το λεωφορείο.", "Τον Ιανουάριο η λίμνη παγώνει.", "Τα σκυλιά γαβγίζουν: ήρθε το ταχυδρομείο.", "Κανείς δεν έχει τρακτέρ."),
-    "ar": ("يزرع جيراننا الطماطم في الحديقة.", "ذهب أصدقائي إلى البحر مع الأطفال.", "أين تقع الحديقة في مدينتكم؟", "رسمت الطفلة بيتا — وشجرة كبيرة.", "قالت الصحف إن الطقس سيتحسن.", "السيدة المسنة تسكن قرب المحطة.", "نشرب القهوة صباحا، والشاي مساء.", "يبيع المحل الأحذية — والحبال أيضا.", "في التقرير {num} صفحة، مع الخرائط.", "صوت نحو {num} شخص.", "في الصباح (قبل العمل) نقرأ الجريدة.", "سأل المعلم عن الطقس ثم كتب على اللوح.", "تصل القطارات من باريس إلى الشمال.", "تقف كل شاحنة عند الحدود.", "افتتح المتحف سنة 1974.", "دفعت الفاتورة {num}.", "ينتظر كثير من الناس الحافلة.", "تتجمد البحيرة في يناير.", "معظم الوثائق بالفرنسية.", "الورشة مغلقة يوم الإثنين: عطلة."),
-    "fa": ("همسایه‌ها باغچه را آب می‌دهند.", "بچه‌ها با هم به کتابخانه رفتند.", "پارک شهر شما کجاست؟", "دوست خوب کم است — وقت هم کم است.", "آقای همسایه هر روز پیاده می‌رود.", "کارگران با کامیون آجر آوردند.", "صبح قهوه می‌نوشیم، شب چای.", "مغازه کفش می‌فروشد — طناب هم دارد.", "گزارش {num} صفحه دارد، با نقشه.", "حدود {num} نفر رأی دادند.", "صبح‌ها (پیش از کار) روزنامه می‌خوانیم.", "با قطار از شهر به روستا رفتیم.", "قطارهای پاریس به شمال می‌رسند.", "هر کامیون در مرز می‌ایستد.", "موزه در سال 1974 باز شد.", "فاکتور {num} پرداخت شد.", "خیلی‌ها منتظر اتوبوس هستند.", "دریاچه در دی یخ می‌زند.", "بیشتر مدارک به فرانسوی است.", "کارگاه دوشنبه بسته است: تعطیل."),
-    "ko": ("우리는 한국에서 여러 나라로 이사를 갔습니다.", "이번 주에는 정말 조금 바쁩니다.", "모두가 오늘 전체 회의에 옵니다.", "문이 열리고 손님이 들어옵니다.", "여러 사람이 강을 건너 산으로 갔습니다.", "조용한 방에서 선물을 포장합니다.", "어머니는 시장에서 고구마를 삽니다.", "나무 밑에 남은 배가 있습니다.", "장마가 오면 지붕을 고쳐야 합니다.", "최근에는 서울과 부산을 오갑니다.", "안개: 운전은 위험합니다.", "여러분의 도시에서는 공원이 어디에 있습니까?", "아침에는 커피를, 저녁에는 차를 마십니다.", "가게는 구두를 팝니다 — 끈도 있습니다.", "보고서는 {num} 쪽이고, 지도도 있습니다.", "약 {num} 명이 투표했습니다.", "봄에는 바람이 불고, 가을에는 안개가 낍니다.", "정원 (작은 것) 옆에 우물이 있습니다.", "오늘은 서점에 갔고, 내일은 병원에 갑니다.", "한 번은 조용한 곳에서 쉬었습니다.", "파리에서 온 기차가 북쪽에 도착합니다.", "모든 트럭은 국경에서 멈춥니다.", "박물관은 1974년에 열렸습니다.", "청구서 {num} 는 지불되었습니다.", "많은 사람이 버스를 기다립니다.", "겨울에는 호수가 얼어붙습니다.", "서류는 대부분 프랑스어입니다.", "공장은 월요일에 쉽니다: 휴일."),
+    "ar": ("غطاء الطاولة — غطاء الطاولة الأزرق", "كرسي (صغير) بجانب الباب.", "يزرع جيراننا الطماطم في الحديقة.", "ذهب أصدقائي إلى البحر مع الأطفال.", "أين تقع الحديقة في مدينتكم؟", "رسمت الطفلة بيتا — وشجرة كبيرة.", "قالت الصحف إن الطقس سيتحسن.", "السيدة المسنة تسكن قرب المحطة.", "نشرب القهوة صباحا، والشاي مساء.", "يبيع المحل الأحذية — والحبال أيضا.", "في التقرير {num} صفحة، مع الخرائط.", "صوت نحو {num} شخص.", "في الصباح (قبل العمل) نقرأ الجريدة.", "سأل المعلم عن الطقس ثم كتب على اللوح.", "تصل القطارات من باريس إلى الشمال.", "تقف كل شاحنة عند الحدود.", "افتتح المتحف سنة 1974.", "دفعت الفاتورة {num}.", "ينتظر كثير من الناس الحافلة.", "تتجمد البحيرة في يناير.", "معظم الوثائق بالفرنسية.", "الورشة مغلقة يوم الإثنين: عطلة."),
+    "fa": ("میز کوچک (چوبی) کنار در است.", "پرده آبی — پرده سبز", "همسایه‌ها باغچه را آب می‌دهند.", "بچه‌ها با هم به کتابخانه رفتند.", "پارک شهر شما کجاست؟", "دوست خوب کم است — وقت هم کم است.", "آقای همسایه هر روز پیاده می‌رود.", "کارگران با کامیون آجر آوردند.", "صبح قهوه می‌نوشیم، شب چای.", "مغازه کفش می‌فروشد — طناب هم دارد.", "گزارش {num} صفحه دارد، با نقشه.", "حدود {num} نفر رأی دادند.", "صبح‌ها (پیش از کار) روزنامه می‌خوانیم.", "با قطار از شهر به روستا رفتیم.", "قطارهای پاریس به شمال می‌رسند.", "هر کامیون در مرز می‌ایستد.", "موزه در سال 1974 باز شد.", "فاکتور {num} پرداخت شد.", "خیلی‌ها منتظر اتوبوس هستند.", "دریاچه در دی یخ می‌زند.", "بیشتر مدارک به فرانسوی است.", "کارگاه دوشنبه بسته است: تعطیل."),
+    "ko": ("주말마다 공기놀이 (5번)를 합니다.", "장보기 (매주)는 힘듭니다.", "아이는 노래하기 (합창)를 좋아합니다.", "우리 집 마당에는 석류나무 (한 그루)가 있습니다.", "고구마튀김 — 문어구이", "선물하기 (작은 것)는 어렵습니다.", "구두닦기 (7)를 배웁니다.", "저는 오래된 연필깎이 (12)를 모읍니다.", "우리는 한국에서 여러 나라로 이사를 갔습니다.", "이번 주에는 정말 조금 바쁩니다.", "모두가 오늘 전체 회의에 옵니다.", "문이 열리고 손님이 들어옵니다.", "여러 사람이 강을 건너 산으로 갔습니다.", "조용한 방에서 선물을 포장합니다.", "어머니는 시장에서 고구마를 삽니다.", "나무 밑에 남은 배가 있습니다.", "장마가 오면 지붕을 고쳐야 합니다.", "최근에는 서울과 부산을 오갑니다.", "안개: 운전은 위험합니다.", "여러분의 도시에서는 공원이 어디에 있습니까?", "아침에는 커피를, 저녁에는 차를 마십니다.", "가게는 구두를 팝니다 — 끈도 있습니다.", "보고서는 {num} 쪽이고, 지도도 있습니다.", "약 {num} 명이 투표했습니다.", "봄에는 바람이 불고, 가을에는 안개가 낍니다.", "정원 (작은 것) 옆에 우물이 있습니다.", "오늘은 서점에 갔고, 내일은 병원에 갑니다.", "한 번은 조용한 곳에서 쉬었습니다.", "파리에서 온 기차가 북쪽에 도착합니다.", "모든 트럭은 국경에서 멈춥니다.", "박물관은 1974년에 열렸습니다.", "청구서 {num} 는 지불되었습니다.", "많은 사람이 버스를 기다립니다.", "겨울에는 호수가 얼어붙습니다.", "서류는 대부분 프랑스어입니다.", "공장은 월요일에 쉽니다: 휴일."),
     "zh": ("黄色的雨伞放在门边。", "白天高温，晚上江边凉快。", "石头和方砖堆在田里。", "妈妈常常用金属锅煮汤。", "任何人都能申请，万一不行再说。", "老师和同学们安静地等车。", "毛衣、皮鞋、雨衣都要洗。", "夏季孟买很热。", "你们城市的公园在哪里？", "史书上没有记载这座桥。", "我和朋友们常去江边。", "邻居们给花园浇水。", "早上喝咖啡，晚上喝茶。", "商店卖鞋子 — 也卖绳子。", "报告有{num}页，包括地图。", "大约{num}人投票。", "春天刮风，秋天有雾。", "花园 (小的) 旁边有一口井。", "今天去书店，明天去医院，后天高考。", "方向不对，马上和司机说，别走石头路。", "巴黎来的火车到达北站。", "每辆卡车都在边境停下。", "博物馆建于1974年。", "发票 {num} 已付。", "很多人在等公共汽车。", "一月湖水结冰，孩子们高兴。", "大部分文件是法语，周末再看。", "工厂星期一休息：放假。"),
     "as": ("চুবুৰীয়াবোৰে বাগিচাত পানী দিয়ে।", "বন্ধু কেইজনে একেলগে পুথিভঁৰাললৈ গ'ল।", "আপোনালোকৰ চহৰত উদ্যান ক'ত আছে?", "ছবি এখন আঁকিলে — এজোপা গছো।", "নাম পঞ্জীয়ন বন্ধ হ'ল।", "ৰাতিপুৱা কফি খাওঁ, গধূলি চাহ।", "দোকানে জোতা বেচে — ৰছীও আছে।", "প্ৰতিবেদনখনত {num} পৃষ্ঠা আছে, মানচিত্ৰসহ।", "প্ৰায় {num} জনে ভোট দিলে।", "পেৰিছৰ পৰা ৰেল উত্তৰলৈ আহে।", "প্ৰতিখন ট্ৰাক সীমান্তত ৰয়।", "যাদুঘৰ 1974 চনত খোলা হ'ল।", "চালান {num} দিয়া হ'ল।", "বহুতে বাছলৈ ৰৈ আছে।", "শীতত হ্ৰদ গোট মাৰে।", "কাৰখানা সোমবাৰে বন্ধ: ছুটী।", "বেছিভাগ নথি ফৰাচীত।"),
     "am": ("ጎረቤቶች አትክልቱን ያጠጣሉ።", "ልጆቹ አብረው ወደ ቤተ መጻሕፍት ሄዱ።", "በከተማችሁ መናፈሻ የት ነው?", "ቤት ሣለች — ትልቅ ዛፍም።", "ከሰዓት በኋላ ከገበያ ተመለሱ።", "የአባቴ ወንድም ከብት ያረባል።", "ጠዋት ቡና እንጠጣለን፣ ማታ ሻይ።", "ሱቁ ጫማ ይሸጣል — ገመድም አለ።", "ሪፖርቱ {num} ገጽ አለው፣ ካርታ ጨምሮ።", "ወደ {num} ሰዎች ድምፅ ሰጡ።", "ከፓሪስ የሚመጣው ባቡር ሰሜን ይደርሳል።", "እያንዳንዱ የጭነት መኪና ድንበር ላይ ይቆማል።", "ሙዚየሙ በ1974 ተከፈተ።", "ደረሰኝ {num} ተከፍሏል።", "ብዙ ሰዎች አውቶቡስ ይጠብቃሉ።", "በክረምት ሐይቁ ይቀዘቅዛል።", "ፋብሪካው ሰኞ ዝግ ነው፡ በዓል።", "አብዛኛው ሰነድ በፈረንሳይኛ ነው።"),
