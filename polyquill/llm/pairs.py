@@ -9,8 +9,10 @@ so it may have several.
 
 Some functions ask what the collection itself says: which letter groups and
 words each language is written with, and which first words begin texts that end
-with a stop. These statistics are counted over all rows into a fixed number of
-hash buckets, so what reaches the driver is bounded.
+with a stop. These statistics are exact counts over all rows; those kept have at
+least a fixed share of their total (so there are at most as many as the share
+goes into one, whatever the size of the collection), and letter groups of
+alphabets, which are bounded by the alphabets.
 
 Defined results: a null response is empty; null prompts and questions leave the
 copy functions without a source (they abstain); a null or unknown language is
@@ -23,12 +25,10 @@ import json
 import math
 import re
 import unicodedata
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,14 +37,15 @@ from polyquill.llm.lookalikes import INVISIBLE, _double_class, script
 from polyquill.session import ensure_checkpoint_dir
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "other_language")
-#: Posteriors above which a defect stands; validated on the labelled pairs of
-#: tests/llm (see there), where 0.3 to 0.9 give the same result.
+#: Posteriors above which a defect stands, validated on labelled pairs in 13
+#: languages that share no sentence with any table (tests/llm/test_pairs.py).
 CUTOFFS = {"empty": 0.5, "truncated": 0.5, "refusal": 0.5, "copy": 0.5, "other_language": 0.5}
 YES, NO, ABSTAIN = 1, 2, 0
 
-WORD_BUCKETS = 1 << 15
-GRAM_BUCKETS = 1 << 14
-LEAD_BUCKETS = 1 << 17
+#: Least share of a language's words, and of all first words, that is kept.
+WORD_SHARE, LEAD_SHARE = 1e-4, 1e-5
+#: First words seen less often say nothing.
+LEAST_LEADS = 5
 #: Distinct responses a task of the statistics holds before it reads them.
 TEXTS_HELD = 50_000
 
@@ -156,7 +157,9 @@ def squash(text: str) -> str:
 
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ASIDE = re.compile(r"[\(\[（][^()\[\]（）]*[\)\]）]?")
-_STOP = ".!?。।።؟？！…"
+_STOP = ".!?。।።፧؟？！…"
+#: A semicolon after Greek letters is a question mark.
+_GREEK_QUESTION = re.compile("[\u0370-\u03ff\u1f00-\u1fff][\"'»”)]?;$")
 #: Closing marks that may follow a stop, as may emoji.
 _CLOSING = frozenset("\"'“”«»*_`)]）}")
 
@@ -189,10 +192,6 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-def _bucket(text: str, n: int) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) & (n - 1)
-
-
 def grams(word: str) -> Iterator[str]:
     padded = f"^{word}$"
     return (padded[i : i + 3] for i in range(len(padded) - 2))
@@ -208,30 +207,30 @@ def lead(text: str) -> str:
 
 def ends_with_stop(text: str) -> bool:
     """Whether text ends with a stop; emoji, closing marks and a short aside may follow."""
-    end = cut_tail(text)
-    if end[-1:] and end[-1] in _STOP:
-        return True
-    end = cut_tail(cut_aside(text))
-    return end[-1:] != "" and end[-1] in _STOP
+    for end in (cut_tail(text), cut_tail(cut_aside(text))):
+        if end[-1:] and (end[-1] in _STOP or _GREEK_QUESTION.search(end[-3:])):
+            return True
+    return False
 
 
-_STAT_ARROW = pa.schema([("kind", pa.string()), ("language", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
+_STAT_ARROW = pa.schema([("kind", pa.string()), ("language", pa.string()), ("key", pa.string()), ("n", pa.int64()), ("stops", pa.int64())])
 
 
 def statistics(responses: DataFrame, languages: tuple[str, ...]) -> DataFrame:
-    """(kind, language, bucket, n) over all rows: `word` and `gram` counts by
-    language, `lead` and `stop` counts of first words, alone and where the text
-    ends with a stop. At most (languages * 49,152 + 262,144) rows."""
-    known = frozenset(languages)
+    """(kind, language, key, n, stops) over all rows: `word` and `gram` counts of
+    the languages that share a script, `total` of their words, and `lead` counts
+    of first words with how often the text ends with a stop."""
+    known = frozenset(x for x in languages if x not in _SCRIPT_OF or list(_SCRIPT_OF.values()).count(_SCRIPT_OF[x]) > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        counts: dict[str, Counter] = defaultdict(Counter)
         heads, stopped = Counter(), Counter()
+
         def take(held: Counter) -> None:
             for (language, text), n in held.items():
                 text = Answer(text).body if text[:1] in "{[`" else plain(text)
                 if language in known:
-                    own = counts["word", language]
+                    own = counts[language]
                     for w in words_of(text):
                         own[w] += n
                 head = lead(drop_label(text))
@@ -246,22 +245,31 @@ def statistics(responses: DataFrame, languages: tuple[str, ...]) -> DataFrame:
                 take(held)
                 held = Counter()
         take(held)
-        for (_, language), c in list(counts.items()):
-            words, parts = Counter(), Counter()
-            for w, n in c.items():
-                words[_bucket(w, WORD_BUCKETS)] += n
-                for g in grams(w):
-                    parts[_bucket(g, GRAM_BUCKETS)] += n
-            counts["word", language], counts["gram", language] = words, parts
-        for kind, c in (("lead", heads), ("stop", stopped)):
-            for h, n in c.items():
-                counts[kind, ""][_bucket(h, LEAD_BUCKETS)] += n
-        rows = [(kind, language, b, n) for (kind, language), c in counts.items() for b, n in c.items()]
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+        rows: list[tuple] = [("lead", "", h, n, stopped[h]) for h, n in heads.items()]
+        for language, words in counts.items():
+            parts: Counter = Counter()
+            for w, n in words.items():
+                if _SCRIPT_LETTERS[_SCRIPT_OF.get(language, "LATIN")].fullmatch(w):
+                    for g in grams(w):
+                        parts[g] += n
+            rows += [("word", language, w, n, 0) for w, n in words.items()]
+            rows += [("gram", language, g, n, 0) for g, n in parts.items()]
+            rows.append(("total", language, "", words.total(), 0))
+        rows.append(("total", "", "", heads.total(), 0))
+        cols = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _STAT_ARROW.types, strict=True)], schema=_STAT_ARROW)
 
-    each = responses.where("response is not null").select("language", "response").mapInArrow(run, "kind string, language string, bucket int, n bigint")
-    return each.groupBy("kind", "language", "bucket").agg(F.sum("n").alias("n"))
+    each = responses.where("response is not null").select("language", "response").mapInArrow(run, "kind string, language string, key string, n bigint, stops bigint")
+    return each.groupBy("kind", "language", "key").agg(F.sum("n").alias("n"), F.sum("stops").alias("stops"))
+
+
+def kept_statistics(stats: DataFrame) -> DataFrame:
+    """Of the statistics those that are asked for: totals, letter groups, words
+    and first words with their share of the total. `stats` is read twice."""
+    totals = F.broadcast(stats.where("kind = 'total'").select(F.col("language").alias("_l"), F.col("n").alias("_n")))  # a row a language
+    share = F.when(F.col("kind") == "word", WORD_SHARE).when(F.col("kind") == "lead", LEAD_SHARE).otherwise(0.0)
+    kept = (F.col("n") >= share * F.col("_n")) & ((F.col("kind") != "lead") | (F.col("n") >= LEAST_LEADS))
+    return stats.join(totals, F.col("language") == F.col("_l")).where(kept).select("kind", "language", "key", "n", "stops")
 
 
 class Collection:
@@ -269,61 +277,66 @@ class Collection:
 
     CACHE = 100_000
 
-    def __init__(self, stats: Iterable[tuple[str, str, int, int]]) -> None:
-        held: dict[tuple[str, str], dict[int, int]] = defaultdict(dict)
-        for kind, language, bucket, n in stats:
-            held[kind, language][bucket] = n
-        self.languages = sorted({language for kind, language in held if kind == "word"})
+    def __init__(self, stats: Iterable[tuple[str, str, str, int, int]], languages: tuple[str, ...]) -> None:
+        held: dict[tuple[str, str], dict[str, int]] = defaultdict(dict)
+        #: Share of the texts beginning so that end with a stop.
+        self.leads: dict[str, float] = {}
+        for kind, language, key, n, stops in stats:
+            if kind == "lead":
+                self.leads[key] = stops / n
+            else:
+                held[kind, language][key] = n
+        self.languages = sorted(languages)
         self.words = [held["word", x] for x in self.languages]
         self.grams = [held["gram", x] for x in self.languages]
-        self.word_total = [sum(c.values()) for c in self.words]
+        self.word_total = [held["total", x].get("", 0) for x in self.languages]
         self.gram_total = [sum(c.values()) for c in self.grams]
-        self.leads, self.stops = held["lead", ""], held["stop", ""]
         self.groups: dict[str, list[int]] = defaultdict(list)
         for i, x in enumerate(self.languages):
             self.groups[_SCRIPT_OF.get(x, "LATIN")].append(i)
-        self._scores: dict[tuple[str, str], tuple[float, ...]] = {}
+        self._scores: dict[tuple[str, str], tuple[tuple[float, ...], tuple[float, ...]]] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_scores": {}}
 
-    def score(self, word: str, group: str) -> tuple[float, ...]:
-        """Log likelihood of a word in each language of a script: from the
-        counts of the word itself, smoothed by those of its letter groups."""
+    def score(self, word: str, group: str) -> tuple[tuple[float, ...], tuple[float, ...]]:
+        """Log likelihoods of a word in each language of a script: from the counts
+        of the word itself (none where no language has it), and from those of its
+        letter groups, as their mean."""
         held = self._scores.get((word, group))
         if held is None:
-            b = _bucket(word, WORD_BUCKETS)
-            gs = [_bucket(g, GRAM_BUCKETS) for g in grams(word)]
-            out = []
-            for i in self.groups[group]:
-                c, g, total = self.words[i], self.grams[i], self.gram_total[i] + 0.05 * GRAM_BUCKETS
-                back = math.exp(sum(math.log((g.get(x, 0) + 0.05) / total) for x in gs) / max(1, len(gs)))
-                out.append(math.log((c.get(b, 0) + 2.0 * back) / (self.word_total[i] + 2.0)))
-            held = tuple(out)
+            members = self.groups[group]
+            seen = any(word in self.words[i] for i in members)
+            own = tuple(math.log((self.words[i].get(word, 0) + 0.5) / (self.word_total[i] + 1)) for i in members) if seen else ()
+            gs = list(grams(word))
+            parts = tuple(sum(math.log((self.grams[i].get(g, 0) + 0.5) / (self.gram_total[i] + 5000)) for g in gs) / max(1, len(gs)) for i in members)
+            held = own, parts
             if len(self._scores) >= self.CACHE:
                 self._scores.clear()
             self._scores[word, group] = held
         return held
 
-    def margin(self, words: list[str], language: str) -> float:
-        """Log odds of the best other language of the same script against `language`."""
+    def margins(self, words: list[str], language: str) -> tuple[float | None, float | None]:
+        """Log odds of the best other language of the same script against
+        `language`, by whole words and by letter groups; None without any."""
         group = _SCRIPT_OF.get(language, "LATIN")
         members = self.groups[group]
         if len(members) < 2:
-            return -math.inf
-        sums = [0.0] * len(members)
+            return None, None
+        sums, known = [[0.0] * len(members), [0.0] * len(members)], False
         for w in words:
-            for i, x in enumerate(self.score(w, group)):
-                sums[i] += x
+            for total, part in zip(sums, self.score(w, group), strict=True):
+                if part:
+                    for i, x in enumerate(part):
+                        total[i] += x
+            known = known or bool(self.score(w, group)[0])
         at = members.index(self.languages.index(language))
-        own = sums.pop(at)
-        return max(sums) - own
+        out = [max(x for i, x in enumerate(total) if i != at) - total[at] for total in sums]
+        return out[0] if known else None, out[1]
 
     def begins_a_sentence(self, text: str) -> float | None:
         """Share of the texts beginning so that end with a stop; None of rare ones."""
-        b = _bucket(lead(text), LEAD_BUCKETS)
-        n = self.leads.get(b, 0)
-        return self.stops.get(b, 0) / n if n >= 5 else None
+        return self.leads.get(lead(text))
 
 
 # --- labelling functions ---------------------------------------------------
@@ -334,70 +347,148 @@ MISSING = frozenset(
      "ninguno", "ninguna", "sin respuesta", "tidak ada", "teu aya", "babu", "yoxdur", "κανένα", "καμία απάντηση", "لا يوجد", "لا شيء", "هیچ", "ندارد", "없음", "无", "無", "নাই", "የለም"]
 )
 
-#: Cues of a refusal by language, in plain lower case: (a|b) stands for either,
-#: an empty side for nothing.
-REFUSAL_CUES = {
-    "en": "(i'm|i am) (sorry|afraid|unable|not able|not allowed)|apologies|sorry, (but|i|no|this|we) |(cant|can't|cannot|can not|couldnt|couldn't|could not|unable to|not able to|won't|will not) (help|answer|assist|provide|give|respond|discuss|comment|share|say|offer|tell|speak|talk)|(don't|do not) (know|have (an|a|any|the|enough|a country|sufficient))|(have|has) no (information|idea|opinion|answer|knowledge|data|comment)|no comment|as (an|a) (ai|artificial|large|language)|rather not|not (be |)appropriate|(isn't|not) enough (context|information)|falls outside|not (allowed|permitted) to|decline to|refuse to answer",
-    "ko": "수 없습니다|수 없어요|어렵습니다|정보가 없|모르겠|모릅니다|죄송|인공지능이라|언어 모델",
-    "es": "no (puedo|podría|sé|se la respuesta|dispongo|tengo (información|informacion|opini|datos|idea)|me es posible|me está permitido|conozco la respuesta|estoy autorizad)|lo siento|modelo de lenguaje|prefiero no|disculp",
-    "id": "(tidak|belum) (dapat|bisa|mampu|boleh) (menjawab|membahas|memberi|membantu|membicarakan|berbicara)|tidak (punya|memiliki|mempunyai|tahu|mengetahui)|mohon maaf|maaf, saya|model bahasa|kurang tahu",
-    "su": "(teu|henteu) (tiasa|gaduh|terang|apal|uninga|kénging)|hapunten|(modél|model) basa",
-    "zh": "无法|不便|不知道|没有关于|没有相关|抱歉|对不起|语言模型|不能回答|没有看法|不清楚|没有意见|不予置评",
-    "fa": "نمی( |)توانم|نمی( |)دانم|اطلاعاتی ندارم|اطلاعی ندارم|متاسفم|متأسفم|مدل زبانی|نظری ندارم|اجازه ندارم|معذورم",
-    "ar": "لا (أستطيع|استطيع|يمكنني|أعرف|اعرف|أعلم|أدري|توجد لدي|أملك)|ليس لدي|ليست لدي|عذرا|آسف|نموذج(ا|) لغوي|غير مسموح",
-    "as": "নোৱাৰ|নাজান|তথ্য নাই|মত নাই|দুঃখিত|ভাষা মডেল|ক্ষমা কৰিব",
-    "el": "δεν (μπορώ|ξέρω|γνωρίζω|έχω (πληροφορίες|γνώμη|άποψη)|μου επιτρέπεται|είμαι σε θέση|θα ήθελα)|λυπάμαι|συγγνώμη|γλωσσικό μοντέλο",
-    "am": "አልችልም|አላውቅ|መረጃ የለኝም|አስተያየት የለኝም|ይቅርታ|የቋንቋ ሞዴል|አይፈቀድልኝም|አይቻለኝም|አይቻልም",
-    "ha": "ba zan iya|ban san|ba ni da (bayani|ra'ayi|masaniya|izini|amsa)|yi haƙuri|samfurin harshe|ba na iya|ba a yarda",
-    "az": "bilmərəm|bilmirəm|məlumatım yoxdur|fikrim yoxdur|bağışlayın|üzr ist|dil modeliyəm|icazəm yoxdur",
+# Words of refusals by language, each family apart from the others
+# as (inability, lack, apology, object, self). Inability says that the speaker
+# cannot, may not, does not want to or does not know; a lack is a refusal only
+# with an object of answering; self is the speaker as a program.
+REFUSAL_WORDS = {
+    "en": (
+        r"\b(?:i|we|me|my|it|this|that|there|one)\b[^.!?\n]{0,30}?(?:\bcan(?:no|'|’)?t\b|\bcan ?not\b|\bcould(?: not|n['’]t)\b|\bwon['’]t\b|\bwill not\b|\bwould(?: not|n['’]t)\b|\b(?:am|'m|’m|are|is)(?: not|n['’]t)\b|\bnot (?:able|allowed|permitted|sure|going)\b|\b(?:do|does|did)(?: not|n['’]t)\b|\bunable\b|\bunsure\b|\bno way\b)[^.!?\n]{0,40}?\b(?:know|sure|say|tell|help|assist|answer|respond|reply|comment|discuss|share|provide|give|offer|speak|talk|able|allowed|permitted|comfortable|position|possible|familiar|aware|certain|authori[sz]ed|willing|appropriate|recommend|determine|confirm|verify|access|address|address|respond|address|express|going)\b|^\W*(?:can(?:no|'|’)?t|cannot|could(?: not|n['’]t)|unable|won['’]t|not (?:able|allowed|sure)|don['’]t|do not)\b.{0,20}\b(?:know|say|tell|help|answer|assist|comment|discuss|share|provide|speak)|\b(?:decline|refuse|refrain|rather not|prefer not|must pass|will pass|beyond (?:my|what i)|outside (?:my|the scope|of what)|no comment|no idea|no clue|who knows|hard for me to say|not something i can|falls outside)\b",
+        r"\b(?:have|has|had|have|got|is|are|possess|there['’]s)(?: no| not|n['’]t| neither| little)\b|\black(?:s|ing)?\b|\bnot enough\b|\binsufficient\b|\bwithout (?:more|any|further)\b|\b(?:do|does)(?: not|n['’]t) (?:have|hold|possess)\b|\bno\b",
+        r"\bsorry\b|\bapolog|\bafraid\b|\bunfortunately\b|\bregret\b|\bforgive\b|\bpardon\b",
+        r"\b(?:answer|question|questions|information|info|help|assist|opinion|opinions|topic|request|comment|respond|reply|discuss|advice|data|knowledge|details|context|subject|view|views|matter|that|this)\b",
+        r"\b(?:as an? (?:ai|artificial|language|automated|assistant)|language model|i(?:['’]m| am) (?:an? )?(?:ai|bot|program|machine|assistant)|my training|my guidelines|my programming)\b",
+    ),
+    "es": (
+        r"\bno (?:lo |le |te |les |la )?(?:puedo|podemos|podría|sé|sabría|sabemos|soy capaz|conozco|me es posible|es posible|me corresponde|deseo|voy a|debo|se me permite|me permiten|me está permitido|estoy (?:segur|autorizad|en condiciones|capacitad))|prefiero no|me niego|desconozco|ignoro|me abstengo|me es imposible|me resulta imposible|ni idea",
+        r"\bno (?:tengo|tenemos|dispongo|cuento con|poseo|hay)|carezco|sin (?:más )?(?:información|datos)|falta",
+        r"lo siento|perdón|perdon[ae]|disculp|lament|desafortunadamente|me temo|por desgracia",
+        r"respuesta|pregunta|informaci|opini|\btema|datos|ayud|respond|contest|coment|hablar|decir|conocimiento|\bidea|detalles",
+        r"modelo de lenguaje|inteligencia artificial|\bcomo ia\b|mi programación",
+    ),
+    "id": (
+        r"\b(?:tidak|belum|tak|nggak) (?:dapat|bisa|mampu|boleh|tahu|mengetahui|ingin|berwenang|yakin|mengerti|diizinkan|berhak|akan)|kurang (?:tahu|yakin)|\benggan|menolak|keberatan|\bentah|di luar (?:kemampuan|wewenang)",
+        r"\b(?:tidak|belum|tak) (?:punya|memiliki|mempunyai|ada|cukup)|kekurangan",
+        r"\bmaaf|sayangnya|menyesal",
+        r"jawab|pertanyaan|informasi|pendapat|topik|\bdata|bantu|bahas|komentar|pengetahuan|hal (?:ini|itu|tersebut)|bicara",
+        r"model bahasa|kecerdasan buatan|sebagai ai\b|asisten virtual",
+    ),
+    "su": (
+        r"\b(?:teu|henteu|can|acan|moal) (?:tiasa|bisa|terang|apal|uninga|nyaho|kénging|meunang|yakin|hayang|hoyong|wani)|nolak|\balim\b",
+        r"\b(?:teu|henteu|acan) (?:gaduh|boga|aya|cekap)",
+        r"hapunten|\bpunten|hampura|nyuhunkeun maaf",
+        r"waler|jawab|patarosan|pananya|informasi|katerangan|pamanggih|topik|bahas|bantos|\bdata|pangaweruh|nyarios",
+        r"mod[ée]l basa|kacerdasan jieunan",
+    ),
+    "ha": (
+        r"\bba (?:zan|na|mu|za mu) |\bba zan|\bban (?:san|sani|iya)|\bba a (?:yarda|ba ni)|na ƙi|ba (?:zai|shi) yiwu|ba mu san",
+        r"\bba (?:ni|mu) da|\bbabu|\bban da\b",
+        r"haƙuri|gafara|afuwa|nadama",
+        r"amsa|tambaya|bayani|ra'ayi|\bbatu|magana|taimak|ilimi|masaniya|izini",
+        r"samfurin harshe|na'ura mai|fasahar",
+    ),
+    "az": (
+        r"bilm(?:ir|ər)(?:əm|ik)|bil(?:mə|mi)dim|(?:verə|edə|deyə|aça|danışa|söyləyə|ola) bilm|bacarm|istəm(?:ir|əz)|imtina|mümkün deyil|əmin deyil|icazə verilm|xəbərim yox",
+        r"yoxdur|çatmır|kifayət (?:etmir|deyil)",
+        r"bağışla|\büzr|təəssüf",
+        r"cavab|\bsual|məlumat|fik[ir]|mövzu|kömək|danış|şərh|icazə|bilgi",
+        r"dil model|süni intellekt",
+    ),
+    "el": (
+        r"\bδεν (?:μπορώ|μπορούμε|ξέρω|ξέρουμε|γνωρίζω|είμαι (?:σε θέση|σίγουρ|βέβαι|εξουσιοδοτημέν)|είναι δυνατ|μου επιτρέπεται|επιτρέπεται|θέλω|θα (?:ήθελα|μπορούσα)|δύναμαι)|αδυνατώ|αρνούμαι|αγνοώ|προτιμώ να μην",
+        r"\bδεν (?:έχω|έχουμε|διαθέτω|υπάρχ)|χωρίς (?:περισσότερ|αρκετ)|στερούμαι",
+        r"λυπάμαι|λυπούμαι|συγγνώμη|συγνώμη|δυστυχώς|συγχωρ",
+        r"απαντ|απάντ|ερώτη|ερωτή|πληροφορ|γνώμη|άποψη|θέμα|βοηθ|σχολι|μιλή|στοιχεία|γνώσ",
+        r"γλωσσικό μοντέλο|τεχνητή νοημοσύνη",
+    ),
+    "ar": (
+        r"لا (?:أستطيع|استطيع|يمكنني|يمكن|أعرف|اعرف|أعلم|اعلم|أدري|ادري|أقدر|أود|أرغب|يسمح|يحق|يجوز)|لست (?:قادر|متأكد|واثق|مخول|مستعد)|(?:ليس|ليست) (?:بإمكان|بوسع|باستطاعت)|لم أتمكن|أرفض|أجهل|يتعذر|يصعب علي|غير (?:قادر|مسموح|مخول|متأكد)",
+        r"(?:ليس|ليست) (?:لدي|عندي|هناك)|لا (?:توجد|يوجد|أملك|املك|تتوفر|يتوفر)|تنقصني|دون معلومات",
+        r"عذر|آسف|اسف|أعتذر|للأسف|يؤسفني|سامح",
+        r"إجاب|اجاب|جواب|أجيب|سؤال|معلوم|رأي|موضوع|مساعد|تعليق|حديث|بيانات|معرفة|التحدث|أمر",
+        r"نموذج(?:ا)? ?(?:ل)?(?:غوي|لغوي)|ذكاء اصطناعي|الذكاء الاصطناعي",
+    ),
+    "fa": (
+        r"نمی[ \u200c]?(?:توان|دان|خواه|شناس)|(?:مجاز|مطمئن|قادر|ممکن|مقدور) نیست|اجازه ندار|امکان[ \u200c]?پذیر نیست|معذور|خودداری|بی[ \u200c]?خبر",
+        r"ندار(?:م|یم)|نیست|کافی نیست",
+        r"متاسف|متأسف|ببخش|\bعذر|پوزش|شرمنده",
+        r"پاسخ|جواب|پرسش|سوال|سؤال|اطلاع|\bنظر|موضوع|کمک|صحبت|داده|دانش|اجازه",
+        r"مدل زبان|هوش مصنوعی",
+    ),
+    "ko": (
+        r"(?:답|대답|말|도와|드릴|할|설명|제공|알|언급|논의|이야기)[^.\n]{0,8}수 (?:가 )?없|모르(?:겠|니)|모릅니다|몰라|(?:답|말씀|설명|대답|판단)[^.\n]{0,10}(?:어렵|곤란|못|않겠|불가)|거절|삼가|사양|자신이 없|허용되지",
+        r"없습니다|없어요|없네요|부족|않습니다",
+        r"죄송|미안|유감|안타깝|양해",
+        r"답|질문|정보|의견|주제|도움|도와|말씀|알려|자료|지식|설명|언급",
+        r"언어 모델|인공지능",
+    ),
+    "zh": (
+        r"无法|不能|不便|不知道|不清楚|不了解|不确定|不晓得|没法|不予|拒绝|难以|不愿|不可以|不方便|无可奉告|恕不|恕我|不好说|不懂|帮不",
+        r"没有|缺乏|不足|无相关",
+        r"抱歉|对不起|遗憾|不好意思|原谅|见谅",
+        r"回答|答案|问题|信息|意见|看法|主题|话题|帮助|帮到|评论|资料|相关|提供|讨论|谈论|这方面|回应|答复",
+        r"语言模型|人工智能",
+    ),
+    "as": (
+        r"নোৱাৰ|নাজান|অক্ষম|অপাৰগ|নিবিচাৰ|অনুমতি নাই|সম্ভৱ নহয়|নকওঁ",
+        r"নাই|নহয়|অভাৱ",
+        r"দুঃখিত|ক্ষমা|মাফ",
+        r"উত্তৰ|প্ৰশ্ন|তথ্য|\bমত|বিষয়|সহায়|জ্ঞান|মন্তব্য|জনা",
+        r"ভাষা মডেল|কৃত্ৰিম বুদ্ধি",
+    ),
+    "am": (
+        r"አልችልም|አላውቅ|አልተፈቀደ|አይፈቀድ|አይቻል|አልፈልግም|እምቢ|አልቻልኩ|እርግጠኛ አይደለሁም|ያዳግተኛል",
+        r"የለኝም|የለም|አይደለ",
+        r"ይቅርታ|አዝናለሁ|ያሳዝናል",
+        r"መልስ|ጥያቄ|መረጃ|አስተያየት|ርዕስ|እርዳ|መናገር|እውቀት|ለመመለስ|ልረዳ",
+        r"የቋንቋ ሞዴል|ሰው ሠራሽ|አርቴፊሻል",
+    ),
 }
-
-
-def expand(cues: str) -> list[str]:
-    """All strings of a cue pattern."""
-
-    def alternatives(at: int) -> tuple[list[str], int]:
-        done, now = [], [""]
-        while at < len(cues) and cues[at] != ")":
-            if cues[at] == "|":
-                done, now, at = done + now, [""], at + 1
-            elif cues[at] == "(":
-                inner, at = alternatives(at + 1)
-                now, at = [a + b for a in now for b in inner], at + 1
-            else:
-                now, at = [a + cues[at] for a in now], at + 1
-        return done + now, at
-
-    return alternatives(0)[0]
+_LATIN_LANGUAGES = ("en", "es", "id", "su", "ha", "az")
 
 
 @cache
-def _cues() -> ahocorasick.Automaton:
-    machine = ahocorasick.Automaton()
-    for cues in REFUSAL_CUES.values():
-        for c in expand(cues):
-            machine.add_word(c, len(c))
-    machine.make_automaton()
-    return machine
-
-
-def first_cue(low: str) -> int | None:
-    """Where the first cue of a refusal begins; one of letters with capitals
-    begins a word."""
-    starts = [
-        at for end, n in _cues().iter(low)
-        if (at := end + 1 - n) == 0 or not low[at - 1].isalnum() or low[at] > "\u05ff"
-    ]
-    return min(starts, default=None)
+def _refusal_patterns() -> dict[str, list[tuple[re.Pattern, ...]]]:
+    """Patterns by the script they are written in: a refusal may come in another
+    language than asked."""
+    out: dict[str, list[tuple[re.Pattern, ...]]] = defaultdict(list)
+    scripts = {"el": "GREEK", "ar": "ARABIC", "fa": "ARABIC", "ko": "HANGUL", "zh": "CJK", "as": "BENGALI", "am": "ETHIOPIC"}
+    for code, families in REFUSAL_WORDS.items():
+        out[scripts.get(code, "LATIN")].append(tuple(re.compile(f) for f in families))
+    return out
+
+
+_SCRIPT_BLOCKS = {"GREEK": re.compile("[\u0370-\u03ff]{3}"), "ARABIC": re.compile("[\u0600-\u06ff]{3}"), "HANGUL": re.compile("[\uac00-\ud7af]{2}"), "CJK": re.compile("[\u4e00-\u9fff]{2}"), "BENGALI": re.compile("[\u0980-\u09ff]{2}"), "ETHIOPIC": re.compile("[\u1200-\u137f]{2}"), "LATIN": re.compile("[a-z]{2}")}
+_SENTENCE = re.compile(r"[^.!?।።؟？！…。\n]+")
+
+
+def refusal_signs(low: str) -> tuple[bool, bool, bool, bool, bool]:
+    """Which families of refusal words a lower-case text has: inability, its
+    object in the same sentence, lack with an object, apology, self."""
+    signs = [False] * 5
+    patterns = _refusal_patterns()
+    for name, block in _SCRIPT_BLOCKS.items():
+        if not block.search(low):
+            continue
+        for inability, lack, apology, obj, self_ in patterns[name]:
+            can = inability.search(low)
+            if can or lack.search(low):
+                for m in _SENTENCE.finditer(low):
+                    sentence = m.group()
+                    about = obj.search(sentence) is not None
+                    if can and inability.search(sentence):
+                        signs[0] = True
+                        signs[1] = signs[1] or about
+                    if about and lack.search(sentence):
+                        signs[2] = True
+            signs[3] = signs[3] or apology.search(low) is not None
+            signs[4] = signs[4] or self_.search(low) is not None
+    return tuple(signs)  # type: ignore[return-value]
 
 
 _BEYOND_LATIN = re.compile("[\u0370-\U000e0000]")
-#: First-person or impersonal statements about answering, told by their object.
-_STRONG = re.compile(
-    r"(?:answer|question|topic|help|opinion|request|information|context|discuss|comment|respond|regarding|about this|respuesta|pregunta|tema|opinion|hablar|pertanyaan|topik|pendapat|membahas|jawabannya|patarosan|katerangan|pamanggih|jawaban|tambaya|batu|ra'ayi|amsa|suala|mövzu|fikrim|cavab|ερώτηση|θέμα|γνώμη|απάντηση|μιλήσω|السؤال|الموضوع|رأي|معلومات|الحديث|الإجابة|پرسش|موضوع|نظری|پاسخ|صحبت|질문|주제|의견|말씀|답을|回答|主题|意见|问题|看法|答案|প্ৰশ্ন|বিষয়ে|মত নাই|উত্তৰ|ጥያቄ|ርዕስ|አስተያየት|መልስ|መናገር)"
-)
-#: An answer follows all the same.
-_ANSWERS_ALL_THE_SAME = re.compile(r"(?:any(?:one|body|thing)|nobody|nothing) (?:who|better|else than|that)|better than|who would (?:refuse|say no)|short (?:reply|answer)\s*[:：]|cannot afford|can't (?:live|do) without|(?:but|however),? (?:i would say|most people)")
+#: An answer follows all the same, or the inability is another's.
+_ANSWERS_ALL_THE_SAME = re.compile(r"(?:any(?:one|body|thing)|nobody|nothing|no one) (?:who|better|else than|that)|better than|who would (?:refuse|say no)|short (?:reply|answer)\s*[:：]|can(?:no|'|’)?t (?:live|do|imagine|start|afford|eat|sleep|go)|(?:but|however|still),? (?:i would say|most people|my guess|it is|usually|many)|\b(?:so|i think|probably|perhaps) (?:it is|the answer)")
 _LIST_END = re.compile(r"(?:^|\n)[^\S\n]*(?:\d{1,3}[.)]|[-*•])\s*$")
 _LIST_LINE = re.compile(r"^[^\S\n]*(?:\d{1,3}[.)]|[-*•])\s+", re.MULTILINE)
 _SENTENCE_BREAK = re.compile(r"[.!?。।።؟？！…][\"”»'’)]*\s+(?=\S)|[。！？](?=\S)")
@@ -408,13 +499,16 @@ _OPENING = re.compile("[" + re.escape("".join(_PAIRS)) + "]")
 _QUESTION_MARK = re.compile("[?？؟;;]")
 _SCRIPT_OF = {"Korean": "HANGUL", "Chinese": "CJK", "Amharic": "ETHIOPIC", "Assamese": "BENGALI", "Greek": "GREEK", "Arabic": "ARABIC", "Persian": "ARABIC"}
 
+#: Letters of the scripts that several languages share: their groups are counted.
+_SCRIPT_LETTERS = {"LATIN": re.compile("[a-z\u00df-\u024f\u0259\u02bc'’-]+"), "ARABIC": re.compile("[\u0620-\u06ff]+")}
+
 #: Labelling functions by defect, in the order of their votes.
 FUNCTIONS = {
     "empty": ("blank", "only_marks", "empty_structure", "missing_word", "has_words"),
     "truncated": ("open_pair", "broken_json", "open_list", "comma_end", "open_sentence", "opens_like_sentence", "long_without_stop", "finished"),
-    "refusal": ("cue", "cue_and_object", "answers_all_the_same", "cue_leads"),
+    "refusal": ("inability", "inability_about_answering", "lack_of_answer", "apology", "as_a_program", "brief", "answers_all_the_same"),
     "copy": ("is_question", "is_prompt", "nothing_else"),
-    "other_language": ("other_script", "other_words", "clearly_other_words", "own_words"),
+    "other_language": ("other_script", "other_words", "other_letters"),
 }
 
 
@@ -459,13 +553,15 @@ class Labeller:
         empty, truncated, refusal, other, copied = own
         copy = self._copy(question, prompt, copied)
         if copy[0] == YES or copy[1] == YES:
-            # A whole question may end as it likes: nothing it began is missing.
-            truncated = (*(NO if f in ("open_sentence", "opens_like_sentence", "long_without_stop", "comma_end") else v for f, v in zip(FUNCTIONS["truncated"], truncated, strict=True)),)
+            # A whole question may end as it likes: functions that ask how a text
+            # ends have nothing to say, and what it began is finished.
+            ends = {"open_sentence": ABSTAIN, "opens_like_sentence": ABSTAIN, "long_without_stop": ABSTAIN, "comma_end": ABSTAIN, "finished": NO}
+            truncated = tuple(ends.get(f, v) for f, v in zip(FUNCTIONS["truncated"], truncated, strict=True))
         return empty, truncated, refusal, copy, other
 
     def _own(self, language: str | None, response: str | None) -> tuple:
         if response is None or not plain(response).strip():
-            return (YES, YES, ABSTAIN, ABSTAIN, NO), (NO,) * 8, (NO, NO, ABSTAIN, NO), (NO, NO, NO, ABSTAIN), None
+            return (YES, YES, ABSTAIN, ABSTAIN, YES), (NO,) * 8, (NO, NO, NO, NO, NO, ABSTAIN, ABSTAIN), (NO, ABSTAIN, ABSTAIN), None
         answer = Answer(response)
         low = answer.body.lower()
         letters = _KEEP.search(answer.body) is not None
@@ -477,7 +573,7 @@ class Labeller:
             YES if nothing else ABSTAIN, NO if letters and not nothing else YES,
         )
         if not letters or nothing:
-            return empty, (NO,) * 8, (NO, NO, ABSTAIN, NO), (NO, NO, NO, ABSTAIN), None
+            return empty, (NO,) * 8, (NO, NO, NO, NO, NO, ABSTAIN, ABSTAIN), (NO, ABSTAIN, ABSTAIN), None
         said = "\n".join([drop_label(x) for x in answer.body.split("\n")])
         ends = _WORDS.findall(said)
         copied = (said, ends[0].lower(), ends[-1].lower()) if ends and len(said) >= 6 else None
@@ -511,21 +607,20 @@ class Labeller:
 
     @staticmethod
     def _refusal(low: str) -> tuple[int, ...]:
-        at = first_cue(low)
-        if at is None:
-            return NO, NO, ABSTAIN, NO
+        can, about, lack, apology, program = refusal_signs(low)
+        if not (can or lack or apology or program):
+            return NO, NO, NO, NO, NO, ABSTAIN, ABSTAIN
+        said = low.count("\n") < 3 and len(low) < 200
         same = _ANSWERS_ALL_THE_SAME.search(low) is not None
-        strong = _STRONG.search(low) is not None
-        if same:
-            return ABSTAIN, NO, NO, ABSTAIN
-        return YES, YES if strong else ABSTAIN, ABSTAIN, YES if at < 40 else ABSTAIN
+        can, about, lack = (x and not same for x in (can, about, lack))
+        return YES if can else NO, YES if about else NO, YES if lack else NO, YES if apology else NO, YES if program else NO, YES if (can or lack) and said else ABSTAIN, NO if same else ABSTAIN
 
     def _other(self, said: str, language: str | None) -> tuple[int, ...]:
         if language not in self.collection.languages:
-            return ABSTAIN, ABSTAIN, ABSTAIN, ABSTAIN
+            return ABSTAIN, ABSTAIN, ABSTAIN
         words = words_of(said)
         if not words:
-            return NO, NO, NO, ABSTAIN
+            return NO, ABSTAIN, ABSTAIN
         main = "LATIN"
         if _BEYOND_LATIN.search(said):
             scripts: dict[str, int] = {}
@@ -534,9 +629,10 @@ class Labeller:
                 scripts[of] = scripts.get(of, 0) + len(w)
             main = max(scripts, key=scripts.__getitem__)
         if main != _SCRIPT_OF.get(language, "LATIN"):
-            return YES, YES, YES, ABSTAIN
-        margin = self.collection.margin(words, language)
-        return NO, YES if margin > 1.0 else NO, YES if margin > 3.0 else ABSTAIN, NO if margin < -1.0 else ABSTAIN
+            return YES, ABSTAIN, ABSTAIN
+        by_words, by_letters = self.collection.margins(words, language)
+        vote = lambda m, cut: ABSTAIN if m is None else YES if m > cut else NO if m < -0.5 else ABSTAIN
+        return NO, vote(by_words, 2.0), vote(by_letters, 1.0)
 
     def _sources(self, question: str | None, prompt: str | None) -> tuple[str, list[str]]:
         """The whole prompt and the forms of its question, squashed; kept for
@@ -611,13 +707,13 @@ class LabelModel:
         return self
 
     def posterior(self, votes: tuple[int, ...]) -> float:
-        if YES not in votes:
-            return 0.0  # no function speaks for the defect
-        a, b = math.log(self.prior), math.log(1 - self.prior)
+        odds = math.log(self.prior) - math.log(1 - self.prior)
         for f, v in enumerate(votes):
-            a += math.log(self.table[1][f][v])
-            b += math.log(self.table[0][f][v])
-        return 1 / (1 + math.exp(min(700.0, b - a)))
+            if v != ABSTAIN:  # silence says nothing: a defect has several forms, each seen by few functions
+                ratio = math.log(self.table[1][f][v]) - math.log(self.table[0][f][v])
+                # A yes never speaks against the defect, a no never for it.
+                odds += max(0.0, ratio) if v == YES else min(0.0, ratio)
+        return 1 / (1 + math.exp(min(700.0, -odds)))
 
 
 @cache
@@ -651,8 +747,8 @@ def defects(responses: DataFrame, languages: tuple[str, ...], cutoffs: dict[str,
     cutoffs = CUTOFFS if cutoffs is None else cutoffs
     spark = responses.sparkSession
     ensure_checkpoint_dir(spark)
-    stats = statistics(responses, languages)
-    labeller = Labeller(Collection((r.kind, r.language, r.bucket, r.n) for r in stats.toLocalIterator()))
+    stats = kept_statistics(statistics(responses, languages).checkpoint())
+    labeller = Labeller(Collection(((r.kind, r.language, r.key, r.n, r.stops) for r in stats.toLocalIterator()), languages))
     votes = label(responses, labeller).checkpoint()  # labelled once, read twice
     # Distinct patterns are few: at most 3^8 for a defect, whatever the rows.
     patterns: dict[str, dict[tuple[int, ...], int]] = {d: {} for d in DEFECTS}
