@@ -589,7 +589,7 @@ class Labeller:
         last = drop_label(_LIST_LINE.sub("", text.rsplit("\n", 1)[-1])).strip()
         stop = ends_with_stop(last)
         ended = (stop or not last) and not listed
-        comma = _COMMA_END.search(cut_tail(tail)) is not None and not _QUESTION_MARK.search(tail[-1:].replace(";", "") or "x")
+        comma = not ended and _COMMA_END.search(cut_tail(tail)) is not None and not _QUESTION_MARK.search(tail[-1:].replace(";", "") or "x")
         pieces = _SENTENCE_BREAK.split(last)
         fragment = pieces[-1]
         core = _ASIDE.sub(" ", fragment)
@@ -600,7 +600,7 @@ class Labeller:
         return (
             YES if open_pair else ABSTAIN, YES if broken else ABSTAIN, YES if listed else ABSTAIN, YES if comma and not listed else ABSTAIN,
             YES if opens else NO if ended else ABSTAIN,
-            ABSTAIN if share is None else YES if share > 0.5 else NO,
+            ABSTAIN if share is None else YES if share > 0.5 else ABSTAIN if open_pair or broken or listed or comma else NO,
             YES if long else ABSTAIN,
             NO if ended and not (open_pair or broken or listed) else NO if not opens and n <= 3 and not (open_pair or broken or listed or comma) and (share or 0) <= 0.5 else ABSTAIN,
         )
