@@ -15,8 +15,14 @@ distinct value once; `rebuild` gets a record back from it.
 so `ords[0]` of a group's child is the group's position and no join is needed
 to find it.
 
-Defined results: null, empty, blank or invalid payloads give no rows; null
-values keep their position but are no rows; one value where a list is usual is
+Depth and length of numbers have no limit: what the platform's parser cannot
+hold is read without recursion, and integers too long for it stay text of kind
+number. Paths and ordinals of values below LEVELS levels are cut to a digest of
+the parent's path and the last ordinal (the whole chain follows from
+parent_occ), so that a record takes space in proportion to its size.
+
+Defined results: null, empty, blank or invalid payloads give no rows and are
+named with their reason by `unreadable`; null values keep their position but are no rows; one value where a list is usual is
 a list of one (only fields in `list_fields`); of a repeated key the last holds.
 Records may come as an object by id or as a list of objects with an id field;
 list elements without an id, or that are no objects, give no rows.
@@ -26,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,21 +58,89 @@ _BRIDGE_ARROW = pa.schema(
 _NODE_ARROW = pa.schema([("node_hash", pa.string()), ("kind", pa.string()), ("content", pa.string()), ("children", pa.int32())])
 
 
+#: Levels down to which paths and ordinals are written out.
+LEVELS = 200
+
+
 def _no_constant(name: str) -> None:
     raise ValueError(f"{name} is not valid JSON")
 
 
-_DECODER = json.JSONDecoder(parse_constant=_no_constant)
+class LongNumber(str):
+    """An integer of more digits than the platform converts, as it is written."""
+
+    __slots__ = ()
+
+
+def _integer(text: str) -> int | LongNumber:
+    return int(text) if len(text) <= 4000 else LongNumber(text)
+
+
+_DECODER = json.JSONDecoder(parse_constant=_no_constant, parse_int=_integer)
+_PART = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?(?![0-9a-zA-Z.+-])|true\b|false\b|null\b))')
+
+
+def decode_deep(text: str) -> object:
+    """A JSON value of any depth: one pass with a stack of open containers."""
+    root: list = []
+    stack: list[tuple[object, str | None]] = []  # container, key its next value goes to
+    here: object = root
+    key: str | None = None
+    expect = "value"  # value, first (value or close), key, first-key, colon, next (comma or close)
+    at, end = 0, len(text.rstrip(" \t\n\r"))
+    while at < end:
+        m = _PART.match(text, at)
+        if not m:
+            raise ValueError(f"no JSON at character {at}")
+        at = m.end()
+        mark, string, scalar = m.groups()
+        if expect == "next":
+            if mark == "," and here is not root:
+                expect = "key" if isinstance(here, dict) else "value"
+                continue
+            if mark and mark in "]}" and here is not root and (mark == "}") == isinstance(here, dict):
+                here, key = stack.pop()
+                continue
+        elif expect in ("key", "first-key"):
+            if string:
+                key, expect = _DECODER.decode(string), "colon"
+                continue
+            if mark == "}" and expect == "first-key":
+                (here, key), expect = stack.pop(), "next"
+                continue
+        elif expect == "colon":
+            if mark == ":":
+                expect = "value"
+                continue
+        elif mark is None or mark in "{[" or (mark == "]" and expect == "first"):
+            if mark == "]":
+                (here, key), expect = stack.pop(), "next"
+                continue
+            value = {} if mark == "{" else [] if mark == "[" else _DECODER.decode(string or scalar)
+            if isinstance(here, dict):
+                here[key] = value
+            else:
+                here.append(value)  # type: ignore[attr-defined]
+            expect = "next"
+            if mark:
+                stack.append((here, key))
+                here, expect = value, "first-key" if mark == "{" else "first"
+            continue
+        raise ValueError(f"unexpected {m.group().strip()!r} before character {at}")
+    if expect != "next" or here is not root:
+        raise ValueError("ends before the value does")
+    return root[0]
+
+
+def decode(payload: str) -> object:
+    text = payload.removeprefix("\ufeff")
+    try:
+        return _DECODER.decode(text)
+    except RecursionError:
+        return decode_deep(text)
 
 
-def read_records(payload: str | None, id_fields: tuple[str, ...] = ID_FIELDS) -> list[tuple[str, dict]]:
-    """The records of one payload by id; [] if it is null or no valid JSON."""
-    if not payload:
-        return []
-    try:
-        doc = _DECODER.decode(payload.removeprefix("\ufeff"))
-    except (ValueError, RecursionError):
-        return []
+def records_of(doc: object, id_fields: tuple[str, ...] = ID_FIELDS) -> list[tuple[str, dict]]:
     records: dict[str, dict] = {}
     if isinstance(doc, dict):
         records.update(doc)
@@ -77,6 +152,27 @@ def read_records(payload: str | None, id_fields: tuple[str, ...] = ID_FIELDS) ->
     return [(qid, rec) for qid, rec in records.items() if isinstance(rec, dict)]
 
 
+def read_records(payload: str | None, id_fields: tuple[str, ...] = ID_FIELDS) -> list[tuple[str, dict]]:
+    """The records of one payload by id; [] if it is null or no valid JSON."""
+    if not payload:
+        return []
+    try:
+        return records_of(decode(payload), id_fields)
+    except ValueError:
+        return []
+
+
+def why_unreadable(payload: str | None) -> str | None:
+    """Why a payload gives no rows; None if it has records."""
+    if payload is None or not payload.strip():
+        return "empty"
+    try:
+        doc = decode(payload)
+    except ValueError as error:
+        return f"invalid JSON: {error}"
+    return None if records_of(doc) else "no record"
+
+
 _encode = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 
 
@@ -88,7 +184,7 @@ def _digest(kind: str, text: str) -> str:
 def _scalar(kind: type, value: object) -> tuple[str, str, str]:
     """Kind, content and identity of a scalar; the common ones are kept."""
     name = "null" if value is None else "bool" if kind is bool else "string" if kind is str else "number"
-    content = json.dumps(value, ensure_ascii=False)
+    content = str(value) if kind is LongNumber else json.dumps(value, ensure_ascii=False)
     return name, content, _digest(name, content)
 
 
@@ -118,6 +214,10 @@ class MerkleShredder:
             parts.append([])
             values.append(value)
             up.append((parent, key, at))
+            if len(ords) > LEVELS:
+                ords = ords[-1:]
+            if path.count(".") + path.count("[") > LEVELS:
+                path = "#" + _digest("path", path)
             if isinstance(value, dict):
                 for k in reversed(list(value)):
                     child, name = value[k], f"{path}.{k}" if path else k
@@ -212,10 +312,126 @@ _NODE_OF_PATH = {
 }
 
 
+class SubtreeStore:
+    """Each distinct JSON value once: values are interned bottom-up, a container
+    by the identities of its parts (field order is no part of an object's
+    identity, list order is). What is asked of a node is read once from the
+    store; every occurrence only refers to it."""
+
+    def __init__(self) -> None:
+        self.ids: dict[tuple, int] = {}
+        self.content: list[tuple] = []
+        self._members: dict[int, tuple[list[str], list[str]]] = {}
+
+    def _put(self, key: tuple) -> int:
+        at = self.ids.setdefault(key, len(self.content))
+        if at == len(self.content):
+            self.content.append(key)
+        return at
+
+    def add(self, value: object, depth: int = 0) -> int:
+        """The identity of a value."""
+        kind = value.__class__
+        if kind is dict:
+            if depth > LEVELS:
+                return self._add_deep(value)
+            return self._put(("object", *sorted([(k, self.add(v, depth + 1)) for k, v in value.items()])))
+        if kind is list:
+            if depth > LEVELS:
+                return self._add_deep(value)
+            return self._put(("list", *[self.add(v, depth + 1) for v in value]))
+        return self._put((kind, value))
+
+    def _add_deep(self, value: object) -> int:
+        """As add, for any depth: parts first, in the reverse of a walk from the top."""
+        order, done = [value], {}
+        for v in order:
+            order += v.values() if isinstance(v, dict) else v if isinstance(v, list) else ()
+        for v in reversed(order):
+            if isinstance(v, dict):
+                done[id(v)] = self._put(("object", *sorted((k, done[id(x)]) for k, x in v.items())))
+            elif isinstance(v, list):
+                done[id(v)] = self._put(("list", *(done[id(x)] for x in v)))
+            else:
+                done[id(v)] = self._put((v.__class__, v))
+        return done[id(value)]
+
+    def group(self, node: int) -> tuple[list[str], list[str]]:
+        """Kinds and items of the flat rows of a group node, '' for itself; none
+        if it is no object."""
+        held = self._members.get(node)
+        if held is None:
+            key = self.content[node]
+            kinds, items = [], []
+            if key[0] == "object":
+                kinds, items = ["group"], [""]
+                for field, child in key[1:]:
+                    kind = _MEMBER.get(field)
+                    if kind:
+                        part = self.content[child]
+                        parts = part[1:] if part[0] == "list" else (child,)
+                        own = [str(p) for p, x in enumerate(parts) if self.content[x] != _NULL]
+                        kinds += [kind] * len(own)
+                        items += own
+            held = self._members[node] = kinds, items
+        return held
+
+
+_NULL = (None.__class__, None)
+_MEMBER = {"answers": "answer", "en_answers": "en_answer", "votes": "vote"}
+_FLAT_ARROW = pa.schema([("file_id", pa.int64()), ("qid", pa.string()), ("node", pa.string()), ("grp", pa.int32()), ("item", pa.string())])
+
+
 def annotation_nodes(df: DataFrame, id_col: str = "file_id", payload_col: str = "payload") -> DataFrame:
     """Groups, answers, English answers, votes and idk counts as flat rows:
-    file_id, qid, node, grp, item."""
-    return flat_annotations(bridge(df, id_col, payload_col, columns=("file_id", "qid", "path", "parent_path", "ords", "leaf_key", "kind")))
+    file_id, qid, node, grp, item. Groups are stored once a batch by identity;
+    an occurrence is a link (file, record, ordinal) to the stored group, whose
+    rows it repeats. A group that is no object gives no row; a record with both
+    group fields gives the rows of both. Map-only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for start in range(0, big.num_rows, 256):
+                store = SubtreeStore()
+                files: list = []
+                qids: list[str] = []
+                nodes_: list[str] = []
+                grps: list[int] = []
+                items: list[str] = []
+                for file_id, payload in _rows_by_file(big.slice(start, 256)):
+                    for qid, record in read_records(payload):
+                        before = len(nodes_)
+                        for name in ("annotations", "aggregated_answers"):
+                            groups = record.get(name)
+                            if groups is None:
+                                continue
+                            for g, group in enumerate(groups if isinstance(groups, list) else [groups]):
+                                kinds, own = store.group(store.add(group)) if group is not None else ([], [])
+                                nodes_ += kinds
+                                items += own
+                                grps += [g] * len(kinds)
+                        idks = record.get("idks")
+                        if isinstance(idks, dict):
+                            nodes_ += ["idk"] * len(idks)
+                            items += idks
+                            grps += [-1] * len(idks)
+                        n = len(nodes_) - before
+                        files += [file_id] * n
+                        qids += [qid] * n
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((files, qids, nodes_, grps, items), _FLAT_ARROW.types, strict=True)], schema=_FLAT_ARROW)
+
+    return df.select(F.col(id_col).cast("bigint").alias("file_id"), F.col(payload_col).alias("payload")).mapInArrow(run, "file_id bigint, qid string, node string, grp int, item string")
+
+
+def unreadable(df: DataFrame, id_col: str = "file_id", payload_col: str = "payload") -> DataFrame:
+    """(file_id, reason) of every payload that gives no record; map-only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(f, why) for f, payload in _rows_by_file(batch) if (why := why_unreadable(payload))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["file_id", "reason"])
+
+    return df.select(F.col(id_col).cast("bigint").alias("file_id"), F.col(payload_col).alias("payload")).mapInArrow(run, "file_id bigint, reason string")
 
 
 def flat_annotations(rows: DataFrame) -> DataFrame:
@@ -234,18 +450,23 @@ def flat_annotations(rows: DataFrame) -> DataFrame:
     )
 
 
-def rebuild(node_hash: str, store: dict[str, tuple[str, str]], list_fields: tuple[str, ...] = LIST_FIELDS) -> object:
-    """The JSON value of a node from (kind, content) by hash: lists in full,
-    with null elements, and bare values of list fields as lists of one."""
-    kind, content = store[node_hash][:2]
-    if kind not in ("object", "list"):
-        return json.loads(content)
-    fields: dict[str, object] = {}
-    for key, at, what in json.loads(content):
-        if at == -2:
-            fields[key] = [None] * int(what)
-        elif at >= 0:
-            fields[key][at] = rebuild(what, store, list_fields)  # type: ignore[index]
+def rebuild(node_hash: str, store: dict[str, tuple[str, str]]) -> object:
+    """The JSON value of a node from (kind, content) by hash, of any depth:
+    lists in full, with null elements, and bare values of list fields as lists
+    of one."""
+    root: list = [None]
+    open_: list[tuple[object, object, str]] = [(root, 0, node_hash)]
+    while open_:
+        holder, place, what = open_.pop()
+        kind, content = store[what][:2]
+        if kind not in ("object", "list"):
+            value: object = LongNumber(content) if kind == "number" and len(content) > 4000 and content.lstrip("-").isdigit() else json.loads(content)
         else:
-            fields[key] = rebuild(what, store, list_fields)
-    return fields if kind == "object" else next(iter(fields.values()), [])
+            parts = json.loads(content)
+            size = next((int(n) for key, at, n in parts if at == -2 and key == ""), 0)
+            value = {key: [None] * int(n) for key, at, n in parts if at == -2} if kind == "object" else [None] * size
+            for key, at, child in parts:
+                if at != -2:
+                    open_.append((value[key] if kind == "object" and at >= 0 else value, at if at >= 0 else key, child))  # type: ignore[index]
+        holder[place] = value  # type: ignore[index]
+    return root[0]

@@ -24,6 +24,11 @@ def p4_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.nodes(table(spark, sf_dir, "annotation_files"))
 
 
+def p4_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads that give no rows, with the reason."""
+    return nested.unreadable(table(spark, sf_dir, "annotation_files"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(table(spark, sf_dir, "prompt_files"))
 
@@ -32,5 +37,5 @@ def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.promote(drift.ingest(table(spark, sf_dir, "prompt_files")))
 
 
-QUERIES: dict[str, Query] = {"p4_found": p4_found, "p4_bridge": p4_bridge, "p4_nodes": p4_nodes, "p5_found": p5_found, "p5_table": p5_table}
+QUERIES: dict[str, Query] = {"p4_found": p4_found, "p4_bridge": p4_bridge, "p4_nodes": p4_nodes, "p4_unreadable": p4_unreadable, "p5_found": p5_found, "p5_table": p5_table}
 SQL: dict[str, str] = {}

@@ -68,6 +68,56 @@ def test_deep_nesting():
     assert len(nested.MerkleShredder().shred(record)) == 5002
 
 
+DEEP = '{"q1": {"annotations": [{"answers": ["a"]}], "x": ' + '{"n": [' * 10_000 + "7" + "]}" * 10_000 + '}, "q2": {"annotations": [{"answers": ["b", "c"], "count": ' + "9" * 5000 + "}]}}"
+
+
+def test_no_depth_or_length_loses_a_record(spark):
+    df = frame(spark, [(1, DEEP), (2, DEEP.replace("7", "")), (3, DEEP[:-2])])
+    assert {tuple(r) for r in nested.annotation_nodes(df).collect()} == {(f, *x) for f in (1, 2) for x in (("q1", "group", 0, ""), ("q1", "answer", 0, "0"), ("q2", "group", 0, ""), ("q2", "answer", 0, "0"), ("q2", "answer", 0, "1"))}
+    assert [(r.file_id, r.reason[:12]) for r in nested.unreadable(df).collect()] == [(3, "invalid JSON")]
+    (qid, record), (_, long) = nested.read_records(DEEP)
+    shredder = nested.MerkleShredder()
+    rows = shredder.shred(record)
+    assert len(rows) == 20_000 + 4 and max(len(r[2]) for r in rows) < 3000 and max(len(r[4]) for r in rows) <= nested.LEVELS + 1
+    value, depth = nested.rebuild(rows[0][7], shredder.store)["x"], 0
+    while isinstance(value, (dict, list)):
+        value, depth = value["n"] if isinstance(value, dict) else value[0], depth + 1
+    assert (value, depth) == (7, 20_000)
+    group = long["annotations"][0]
+    held = nested.MerkleShredder()
+    top = held.shred(group)[0][7]
+    assert nested.rebuild(top, held.store)["count"] == "9" * 5000
+    store = nested.SubtreeStore()
+    assert store.add(record) == store.add(nested.read_records(DEEP)[0][1]) != store.add(group)
+
+
+def test_why_unreadable():
+    assert [nested.why_unreadable(p) for p in (None, " ", "{}", "7", '{"q": {}}')] == ["empty", "empty", "no record", "no record", None]
+    assert "invalid" in nested.why_unreadable('{"q": NaN}')
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(json_values.map(json.dumps), st.text(alphabet='{}[],:"a1 .-e\\t', max_size=12)))
+def test_deep_parser_reads_as_the_platform_does(text):
+    try:
+        want = nested._DECODER.decode(text)
+    except ValueError:
+        want = ValueError
+    try:
+        got = nested.decode_deep(text)
+    except ValueError:
+        got = ValueError
+    assert got == want
+
+
+def test_groups_by_identity_and_bridge_agree(spark, data):
+    from polyquill.session import table
+
+    files = table(spark, data, "annotation_files")
+    a, b = (sorted(map(tuple, x.collect())) for x in (nested.annotation_nodes(files), nested.flat_annotations(nested.bridge(files))))
+    assert a == b and len(a) > 500
+
+
 def plainly(payload):
     """The flat rows of one payload, read as the statement says."""
     try:
