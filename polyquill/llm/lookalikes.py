@@ -4,10 +4,12 @@ Look-alike relations between strings - a code point and its compatibility or
 decomposed form, a letter and its double in another script, a special blank and
 the plain one, an invisible character and nothing - are closed transitively by
 union-find into classes. How often each member of a class occurs is counted
-over the whole collection, by language, and the most frequent member becomes
-the class's representative for that language; between scripts, the member in
-the script of the word. A text is rewritten greedily, leftmost-longest, by a
-multi-pattern automaton of all members that are no representative.
+over the whole collection, by language (the empty string once beside every
+character), and the most frequent member becomes the class's representative for
+that language; of a letter with doubles in other scripts the most frequent one
+in the script of its word. A text is rewritten greedily, leftmost-longest, by
+multi-pattern automata of all members that are no representative: one of the
+language, and within words of mixed scripts one of the word's script.
 
 Left as they are: zero-width joiners inside emoji, non-joiners after letters
 of Persian text and around Indic viramas, direction marks in right-to-left
@@ -19,8 +21,9 @@ Arabic and Persian share letters that differ only in their code points, so the
 language of such a text is told by the frequencies of its letter pairs in the
 collection's Arabic and Persian rows, not by the row's label alone.
 
-Defined results: null and empty texts stay; a text without any visible
-character is no case; an unknown or null language counts as `other`.
+Defined results: null and empty texts stay; a text of invisible characters or
+special blanks alone becomes empty or plain blanks, which is a case; an unknown
+or null language counts as `other`.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -129,12 +132,14 @@ def relation(language: str) -> UnionFind:
                 sets.union(a, b)
     for b in BLANKS:
         sets.union(" ", b)
+    for b in INVISIBLE:
+        sets.union("", b)
     return sets
 
 
 @cache
 def _members() -> frozenset[str]:
-    return frozenset(x for language in (*SIBLINGS, OTHER) for c in relation(language).classes() for x in c)
+    return frozenset(x for language in (*SIBLINGS, OTHER) for c in relation(language).classes() for x in c) | frozenset(_double_class())
 
 
 @cache
@@ -179,6 +184,7 @@ def count_members(texts: list[str]) -> Counter:
     whole = "\n".join(texts)
     counts: Counter = Counter(whole)
     counts.update(x for _, x in _sequences().iter(whole))
+    counts[""] = len(whole)  # nothing stands beside every character
     return counts
 
 
@@ -228,7 +234,7 @@ def statistics(texts: DataFrame, languages: tuple[str, ...]) -> DataFrame:
 
 # --- rewriting -------------------------------------------------------------
 
-_INVISIBLE = re.compile(f"[{INVISIBLE}]")
+_NOTHING = frozenset(INVISIBLE)
 _DOUBLE_SCRIPTS = re.compile("[\u0400-\u052f\u0561-\u0587\u0261]|[A-Za-z\u00c0-\u02af][\u0370-\u03ff]|[\u0370-\u03ff][A-Za-z\u00c0-\u02af]")
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
@@ -237,27 +243,19 @@ _EMOJI = re.compile("[\u2190-\u2bff\ufe0f\U0001f000-\U0001faff]")
 _WIDE_MARKS = frozenset(chr(c) for c in range(0xFF01, 0xFFEF) if not chr(c).isalnum()) | {"\u3000"}
 _VIRAMA = frozenset("\u094d\u09cd\u0a4d\u0acd\u0b4d\u0bcd\u0c4d\u0ccd\u0d4d")
 _RTL_MARKS = frozenset("\u200e\u200f\u061c")
-_VISIBLE = re.compile("[^\\s\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 
 
-def drop_invisible(text: str, joins: bool = False) -> str:
-    """Invisible characters go, but where a language's spelling or an emoji has
-    them. joins: the text is in a language that writes non-joiners after Arabic
-    letters, also where the text breaks off behind one."""
-    out, start = [], 0
-    for m in _INVISIBLE.finditer(text):
-        i, ch = m.start(), m.group()
-        before, after = text[i - 1 : i], text[i + 1 : i + 2]
-        keep = (
-            (ch == "\u200d" and _EMOJI.match(before) and _EMOJI.match(after))
-            or (joins and ch == "\u200c" and _ARABIC.match(before) and (not after or _ARABIC.match(after)))
-            or (ch in "\u200c\u200d" and before in _VIRAMA)
-            or (ch in _RTL_MARKS and _ARABIC.search(text))
-        )
-        if not keep:
-            out.append(text[start:i])
-            start = i + 1
-    return "".join(out) + text[start:] if start else text
+def belongs(text: str, i: int, joins: bool) -> bool:
+    """Whether the invisible character at i is part of the spelling of a language
+    or of an emoji. joins: the text is in a language that writes non-joiners
+    after Arabic letters, also where the text breaks off behind one."""
+    ch, before, after = text[i], text[i - 1 : i], text[i + 1 : i + 2]
+    return bool(
+        (ch == "\u200d" and _EMOJI.match(before) and _EMOJI.match(after))
+        or (joins and ch == "\u200c" and _ARABIC.match(before) and (not after or _ARABIC.match(after)))
+        or (ch in "\u200c\u200d" and before in _VIRAMA)
+        or (ch in _RTL_MARKS and _ARABIC.search(text))
+    )
 
 
 class Rewriter:
@@ -282,6 +280,7 @@ class Rewriter:
         pairs = held["pair"]
         self.odds = self._odds(pairs)
         self._machines: dict[str, ahocorasick.Automaton] = {}
+        self._double_machines: dict[str, ahocorasick.Automaton] = {}
 
     def _odds(self, pairs: dict[str, Counter]) -> dict[str, float]:
         a, b = (Counter(pairs.get(s, {})) for s in SIBLINGS)
@@ -290,7 +289,7 @@ class Rewriter:
         return {p: math.log((a[p] + 0.5) / na) - math.log((b[p] + 0.5) / nb) for p in kinds} if a and b else {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_machines": {}}
+        return self.__dict__ | {"_machines": {}, "_double_machines": {}}
 
     def representative(self, members: list[str], language: str) -> str:
         """The most frequent member in a language's rows, else in all, else the
@@ -306,12 +305,32 @@ class Rewriter:
             for members in relation(language).classes():
                 best = self.representative(members, language)
                 for m in members:
-                    if m != best:
+                    if m and m != best:
                         held.add_word(m, (len(m), best))
             held.make_automaton()
             self._machines[language] = held
         return held
 
+    def doubles(self, to: str) -> ahocorasick.Automaton:
+        """Letters of other scripts that have a double in script `to`, with its
+        most frequent member there."""
+        held = self._double_machines.get(to)
+        if held is None:
+            held = ahocorasick.Automaton()
+            classes: dict[int, list[str]] = defaultdict(list)
+            for x, by in _double_class().items():
+                classes[id(by)].append(x)
+            for members in classes.values():
+                own = [x for x in members if script(x) == to]
+                if own:
+                    best = max(own, key=lambda x: (self.total.get(x, 0), -ord(x)))
+                    for x in members:
+                        if script(x) != to:
+                            held.add_word(x, (1, best))
+            held.make_automaton()
+            self._double_machines[to] = held
+        return held
+
     def sibling(self, text: str, label: str) -> str:
         """Which of the sibling languages an Arabic-script text is in."""
         folded = f" {fold_arabic(text)} "
@@ -340,32 +359,43 @@ class Rewriter:
                 to = "LATIN"
         else:
             to = max(votes, key=lambda s: (votes[s], s == self.main_script.get(label)))
-        return "".join(doubles[ch].get(to, ch) if ch in doubles and script(ch) != to else ch for ch in word)
+        return _replace(self.doubles(to), word) if len(self.doubles(to)) else word
 
     def rewrite(self, text: str, label: str) -> str:
         """`text` in its consistent form; itself if nothing changes."""
         if text.isascii():
             return text
         language = self.sibling(text, label) if _ARABIC.search(text) else label
-        new = drop_invisible(text, language in NON_JOINING)
-        wide = _HAN.search(new) is not None
+        joins, new = language in NON_JOINING, text
+        wide = _HAN.search(text) is not None
         if (label in SIBLINGS and not _ARABIC.search(text)) or (self.main_script.get(label) == "CJK" and not wide and language == label):
             language = OTHER  # the text is in another script than its label says
-        # Twice, as a rewritten letter may complete a sequence with its mark.
-        for _ in range(2):
-            out, start = [], 0
-            for end, (n, best) in self.machine(language).iter_long(new):
-                i = end + 1 - n
-                if n == 1 and not best.isalnum() and (best in _WIDE_MARKS or (wide and new[i] in _WIDE_MARKS)):
-                    continue
-                out += (new[start:i], best)
-                start = end + 1
-            if not start:
+
+        def stays(i: int, n: int, best: str) -> bool:
+            ch = new[i]
+            if ch in _NOTHING:
+                return belongs(new, i, joins)
+            return n == 1 and not best.isalnum() and (best in _WIDE_MARKS or (wide and ch in _WIDE_MARKS))
+
+        # Again, as a rewritten letter or a dropped character may complete a sequence.
+        for _ in range(3):
+            before, new = new, _replace(self.machine(language), new, stays)
+            if new == before:
                 break
-            new = "".join(out) + new[start:]
         if _DOUBLE_SCRIPTS.search(new):
             new = _WORD.sub(lambda m: self._word(m, label), new)
-        return new if _VISIBLE.search(new) else text
+        return new
+
+
+def _replace(machine: ahocorasick.Automaton, text: str, stays: Callable[[int, int, str], bool] | None = None) -> str:
+    """All matches replaced, leftmost-longest, but for those that stay."""
+    out, start = [], 0
+    for end, (n, best) in machine.iter_long(text):
+        i = end + 1 - n
+        if stays is None or not stays(i, n, best):
+            out += (text[start:i], best)
+            start = end + 1
+    return "".join(out) + text[start:] if start else text
 
 
 _OUT = "origin string, rec_id bigint, grp int, item int, text string, form string"

@@ -25,7 +25,7 @@ def test_cases(rewriter, language, text, form):
 
 @pytest.mark.parametrize(("language", "text"), [
     ("English", "plain text"), ("English", "naïve café ½ m² 👨‍👩‍👧 🙂"), ("English", "Москва река"), ("Greek", "village fair (τυρί)"), ("Persian", "می‌کنند طناب‌بازی"), ("Persian", "چای نعنا را انتخاب می\u200c"), ("Arabic", "مربى التين، كعك؟"), ("Chinese", "年糕，水饭。　好：？"),
-    ("Chinese", "muñeca, té"), ("English", '{"answer": "\\u0627"}'), ("Spanish", "¿Qué té?"), ("Assamese", "পৰিয়ালে আগবঢ়ায়"), ("English", " "), ("English", "​"), ("English", ""), ("Korean", "plum jam 연"), ("Azerbaijani", "əöüşçğı İ"),
+    ("Chinese", "muñeca, té"), ("English", '{"answer": "\\u0627"}'), ("Spanish", "¿Qué té?"), ("Assamese", "পৰিয়ালে আগবঢ়ায়"), ("English", " "), ("English", ""), ("Korean", "plum jam 연"), ("Azerbaijani", "əöüşçğı İ"),
 ])
 def test_no_cases(rewriter, language, text):
     assert rewriter.rewrite(text, language) == text
