@@ -15,6 +15,7 @@ def rewriter(spark):
 
 
 @pytest.mark.parametrize(("language", "text", "form"), [
+    ("English", "\u00a0", " "), ("English", "\u200b\ufeff", ""),
     ("English", "oat biscuit", "oat biscuit"), ("English", "g​oat che­ese﻿", "goat cheese"), ("English", "ｏａｔ 12", "oat 12"), ("English", "gоat chеese", "goat cheese"), ("English", "аре", "ape"),
     ("English", "ﬁne ﬂute", "fine flute"), ("Spanish", "té de meñta", "té de meñta"), ("Greek", "τυρi και", "τυρι και"), ("Greek", "ψάθινο", "ψάθινο"), ("Persian", "كيك گردو", "کیک گردو"), ("Arabic", "حدیقة المدرسة", "حديقة المدرسة"),
     ("English", "بیشتر خانواده‌ها كیک گردو را انتخاب می‌کنند", "بیشتر خانواده‌ها کیک گردو را انتخاب می‌کنند"), ("Arabic", "ﺍﻝﻤﺪرسة", "المدرسة"), ("Korean", "호박죽", "호박죽"), ("Korean", "연날리기　을", "연날리기 을"), ("Chinese", "⽔饭", "水饭"), ("Azerbaijani", "kәnd", "kənd"), ("Arabic", "حديقة المد\u200cرسة عندما", "حديقة المدرسة عندما"),
