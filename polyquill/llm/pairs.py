@@ -29,6 +29,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -323,16 +324,14 @@ class Collection:
         members = self.groups[group]
         if len(members) < 2:
             return None, None
-        sums, known = [[0.0] * len(members), [0.0] * len(members)], False
-        for w in words:
-            for total, part in zip(sums, self.score(w, group), strict=True):
-                if part:
-                    for i, x in enumerate(part):
-                        total[i] += x
-            known = known or bool(self.score(w, group)[0])
+        score = self.score
+        parts = [score(w, group) for w in words]
         at = members.index(self.languages.index(language))
-        out = [max(x for i, x in enumerate(total) if i != at) - total[at] for total in sums]
-        return out[0] if known else None, out[1]
+        out: list[float | None] = []
+        for own in ([p[0] for p in parts if p[0]], [p[1] for p in parts]):
+            sums = [sum(x) for x in zip(*own, strict=True)]
+            out.append(max(x for i, x in enumerate(sums) if i != at) - sums[at] if sums else None)
+        return out[0], out[1]
 
     def begins_a_sentence(self, text: str) -> float | None:
         """Share of the texts beginning so that end with a stop; None of rare ones."""
@@ -444,7 +443,28 @@ REFUSAL_WORDS = {
         r"የቋንቋ ሞዴል|ሰው ሠራሽ|አርቴፊሻል",
     ),
 }
-_LATIN_LANGUAGES = ("en", "es", "id", "su", "ha", "az")
+# Without any of these strings (in blanks) no pattern of a language
+# written in Latin letters can match; found by one automaton.
+LATIN_SIGNS = (
+    " no | not |n't|n’t|cannot| cant |can not|unable|unsure|decline|refus|refrain|rather|prefer| pass|beyond|outside|clue|who knows|hard for me|lack|insufficient|without|neither|little|sorry|apolog|afraid|unfortunately|regret|forgive|pardon|language model| ai |training|guidelines|programming|assistant|program |machine| bot "
+    "|prefiero|me niego|desconozco|ignoro|abstengo|imposible|ni idea|carezco| sin |falta|siento|perdón|perdon|disculp|lament|desafortunad|me temo|desgracia|modelo de|inteligencia"
+    "|tidak|belum| tak |nggak|kurang|enggan|menolak|keberatan|entah|di luar|maaf|sayangnya|menyesal|model bahasa|kecerdasan|asisten"
+    "| teu |henteu| can | acan |moal |nolak|alim|punten|hampura|nyuhunkeun|model basa|modél basa"
+    "| ba | ban |babu|na ƙi|haƙuri|gafara|afuwa|nadama|samfurin|na'ura|fasahar"
+    "|bilm|bacarm|istəm|imtina|mümkün deyil|əmin deyil|icazə|xəbərim|yoxdur|çatmır|kifayət|bağışla|üzr|təəssüf|dil model|süni"
+)
+
+
+@cache
+def _latin_signs() -> ahocorasick.Automaton:
+    machine = ahocorasick.Automaton()
+    for sign in LATIN_SIGNS.split("|"):
+        machine.add_word(sign, 1)
+    machine.make_automaton()
+    return machine
+
+
+_NOT_LETTERS = re.compile(r"[^\w'’]+")
 
 
 @cache
@@ -470,6 +490,8 @@ def refusal_signs(low: str) -> tuple[bool, bool, bool, bool, bool]:
     for name, block in _SCRIPT_BLOCKS.items():
         if not block.search(low):
             continue
+        if name == "LATIN" and next(_latin_signs().iter(f" {_NOT_LETTERS.sub(' ', low)} "), None) is None:
+            continue
         for inability, lack, apology, obj, self_ in patterns[name]:
             can = inability.search(low)
             if can or lack.search(low):
