@@ -111,6 +111,16 @@ def json_list(text: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull() & (body != ""), F.from_json(body, "array<map<string,string>>"))
 
 
+def nested_json(text: Column) -> Column:
+    """The widest JSON object in a text, nested ones included, as text; null if
+    there is none that parses. Fences are taken out first."""
+    body = text
+    for old, new in (("\n", ""), ("```json", ""), ("`", ""), (",}", "}")):
+        body = F.replace(body, F.lit(old), F.lit(new))
+    body = F.regexp_extract(body, r"\{.+\}", 0)
+    return F.when((body != "") & F.try_parse_json(body).isNotNull(), body)
+
+
 def first_capital(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, "([A-Z])", 1), F.lit(""))
 

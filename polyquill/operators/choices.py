@@ -21,6 +21,7 @@ from polyquill.operators.scoring import latest_annotations
 
 MIN_VOTES = 2
 OPTIONS = 3
+# Fixed value: what follows the question.
 INSTRUCTION = ' Without any explanation, choose only one from the given alphabet choices(e.g., A, B, C). Provide as JSON format: {"answer_choice":""}\n\n'
 
 
@@ -65,21 +66,32 @@ def _read(answer: Column) -> list[Column]:
     return [T.words(answer).alias("words"), T.number(answer).alias("num")]
 
 
-def similar(a: Column, b: Column, judged: Column | None) -> Column:
-    """Whether two answers (structs of answer, words, num) are similar by text
-    or judged so; `judged` is an array of `x<TAB>y` pairs."""
+Judged = tuple[Column, Column, bool]
+
+
+def similar(a: Column, b: Column, judged: Judged | None) -> Column:
+    """Whether two answers (structs of answer, words, num) are similar. By text
+    first; what text leaves apart is settled by format where both are numbers,
+    times or dates (then they differ), else by the judged pairs: arrays of
+    `x<TAB>y` found similar and found different, and what an unjudged pair is."""
     x, y = a["answer"], b["answer"]
     as_numbers = a["num"].isNotNull() & b["num"].isNotNull()
     by_text = F.when(as_numbers, (a["num"] == b["num"]) & ~F.isnan(a["num"])).otherwise(x.contains(y) | y.contains(x) | F.arrays_overlap(a["words"], b["words"]))
     if judged is None:
         return by_text
-    return by_text | F.array_contains(judged, F.concat_ws("\t", F.least(x, y), F.greatest(x, y)))
+    alike, apart, unjudged = judged
+    typed = as_numbers | (T.is_time(x) & T.is_time(y)) | (T.is_date(x) & T.is_date(y))
+    pair = F.concat_ws("\t", F.least(x, y), F.greatest(x, y))
+    by_judge = F.when(F.array_contains(alike, pair), F.lit(True)).when(F.array_contains(apart, pair), F.lit(False)).otherwise(F.lit(unjudged))
+    return by_text | (~typed & by_judge)
 
 
-def distractors(reps: DataFrame, countries: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+def distractors(reps: DataFrame, countries: DataFrame, judged: DataFrame | None = None, unjudged: bool = True) -> DataFrame:
     """(country, qid, question, answers, choices): for each country at most one
     answer of every other country, chosen greedily: not like any own answer,
-    nor like one chosen before. judged: qid, a, b of pairs found similar."""
+    nor like one chosen before. judged: qid, a, b and is_similar of pairs that
+    were judged; with it a pair that is not settled by text, by format or by a
+    judgement counts as `unjudged`. Without a table text alone decides."""
     own = reps.groupBy("country", "qid", "question").agg(F.collect_list(F.struct("pos", "answer", "votes", *_read(F.col("answer")))).alias("mine"))
     own = own.withColumn("mine", F.array_sort("mine"))
     most = F.array_max(F.transform("mine", lambda m: m["votes"]))
@@ -88,9 +100,11 @@ def distractors(reps: DataFrame, countries: DataFrame, judged: DataFrame | None
     rows = own.join(candidates(reps, countries), "qid", "left")
     pairs = None
     if judged is not None:
-        held = judged.groupBy("qid").agg(F.collect_set(F.concat_ws("\t", F.least("a", "b"), F.greatest("a", "b"))).alias("judged"))
-        rows = rows.join(held, "qid", "left").withColumn("judged", F.coalesce("judged", F.array().cast("array<string>")))
-        pairs = F.col("judged")
+        pair = F.concat_ws("\t", F.least("a", "b"), F.greatest("a", "b"))
+        held = judged.groupBy("qid").agg(F.collect_set(F.when(F.col("is_similar"), pair)).alias("_alike"), F.collect_set(F.when(~F.col("is_similar"), pair)).alias("_apart"))
+        none = F.array().cast("array<string>")
+        rows = rows.join(held, "qid", "left").withColumn("_alike", F.coalesce("_alike", none)).withColumn("_apart", F.coalesce("_apart", none))
+        pairs = (F.col("_alike"), F.col("_apart"), unjudged)
     kind = "struct<country:string,answer:string,words:array<string>,num:double>"
     start = F.struct(F.array().cast(f"array<{kind}>").alias("chosen"), F.array().cast("array<string>").alias("blocked"))
 
@@ -116,11 +130,36 @@ def combinations(items: Column, m: Column) -> Column:
     return F.when(m == 0, F.array(F.slice(items, 1, 0))).when(m == 1, one).when(m == 2, two).otherwise(three)
 
 
+def fillers(options: DataFrame, reps: DataFrame) -> DataFrame:
+    """(qid, option): filler options that may be used, in lower case. Null and
+    blank ones, and those that are an annotated answer of any country as it is
+    written, are none; repeated ones count once."""
+    given = options.where("option is not null and trim(option) <> ''").select("qid", "option").distinct()
+    return given.join(reps.select("qid", F.col("answer").alias("option")).distinct(), ["qid", "option"], "left_anti").select("qid", F.lower("option").alias("option")).distinct()
+
+
+def unfinished(qids: DataFrame, held: DataFrame, countries: DataFrame) -> DataFrame:
+    """Questions whose last country, in the countries' order, is not held yet:
+    those a resumed run has to do again. qids: qid; held: country, qid."""
+    last = countries.agg(F.max_by("country", "country_ord").alias("country"))  # one row
+    return qids.select("qid").distinct().join(held.join(F.broadcast(last), "country", "left_semi").select("qid").distinct(), "qid", "left_anti")
+
+
+def encoded(questions: DataFrame) -> DataFrame:
+    """Multiple-choice questions as a file holds them: choices as JSON text."""
+    return questions.withColumn("choices", F.to_json("choices")).withColumn("choice_countries", F.to_json("choice_countries"))
+
+
+#: Rows a part of the exploded questions should have.
+PART_ROWS = 20_000
+
+
 def assemble(chosen: DataFrame, countries: DataFrame, dummies: DataFrame | None = None, all_countries: bool = True) -> DataFrame:
     """Multiple-choice questions: for every top answer and every choice of m
     distractors, m the fewest any country has but three at most; dummies (qid,
-    option) fill up to three. With `all_countries` a country without the
-    question counts as having none. A question short of options is left out."""
+    option; see `fillers`) fill up to three. With `all_countries` a country
+    without the question counts as having none. A question short of options is
+    left out."""
     question = Window.partitionBy("qid")  # a row per country
     rows = chosen.withColumn("m", F.least(F.min(F.size("choices")).over(question), F.lit(OPTIONS)))
     if all_countries:
@@ -137,8 +176,10 @@ def assemble(chosen: DataFrame, countries: DataFrame, dummies: DataFrame | None
     # Numbers run over countries, answers and choices; they follow from the sizes, so nothing is sorted after the explosion.
     before = Window.partitionBy("qid").orderBy("country_ord").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("base", F.coalesce(F.sum(F.size("answers") * F.size("combos")).over(before), F.lit(0)))
-    # A row becomes hundreds: spread first, in a number of parts that is not merged for the small input.
-    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid", "country")
+    # A row becomes hundreds: spread first, by salts in proportion to what becomes
+    # of a row's question, so that parts are of one size whatever their number.
+    many = F.size("answers") * F.size("combos")
+    rows = rows.withColumn("_salt", F.floor(F.col("base") / F.lit(PART_ROWS)) + F.floor(many / F.lit(PART_ROWS))).repartition("qid", "country", "_salt").drop("_salt")
     rows = rows.select("qid", "question", "country", "extra", "base", "combos", F.posexplode("answers").alias("answer_pos", "answer"))
     rows = rows.select("qid", "question", "country", "extra", "answer", (F.col("base") + F.col("answer_pos") * F.size("combos")).alias("base"), F.posexplode("combos").alias("combo", "picked"))
     listed = F.transform("picked", lambda c: F.struct(c["answer"].alias("v"), c["country"].alias("k")))

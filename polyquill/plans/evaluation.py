@@ -215,26 +215,131 @@ def distractor_pick(spark: SparkSession, d: str) -> DataFrame:
     return left.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("country", "qid", "other_country", "answer", "votes")
 
 
+def _chosen(spark: SparkSession, d: str) -> DataFrame:
+    return choices.distractors(choices.representative(table(spark, d, "annotations")), table(spark, d, "countries"))
+
+
 def distractor_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """G1: greedy distractors of every question and country."""
-    c = choices.distractors(choices.representative(table(spark, d, "annotations")), table(spark, d, "countries"))
-    return c.select("country", "qid", "answers", "choices")
+    """Greedy distractors of every question and country, in order."""
+    c = _chosen(spark, d).select("country", "qid", F.posexplode("choices").alias("n", "c"))
+    return c.select("country", "qid", F.col("n").cast("bigint").alias("n"), F.col("c.country").alias("other_country"), F.col("c.answer").alias("answer"))
+
+
+def distractor_judged(spark: SparkSession, d: str) -> DataFrame:
+    """Distractors where pairs of representative answers that begin
+    with the same letter were judged similar, others different; here a stand-in
+    for a judge's table, by question."""
+    reps = choices.representative(table(spark, d, "annotations"))
+    each = reps.select("qid", "answer").distinct()
+    a, b = each.select("qid", F.col("answer").alias("a")), each.select("qid", F.col("answer").alias("b"))
+    judged = a.join(b, "qid").where("a < b").withColumn("is_similar", F.substring("a", 1, 1) == F.substring("b", 1, 1))
+    c = choices.distractors(reps, table(spark, d, "countries"), judged).select("country", "qid", F.posexplode("choices").alias("n", "c"))
+    return c.select("country", "qid", F.col("n").cast("bigint").alias("n"), F.col("c.country").alias("other_country"), F.col("c.answer").alias("answer"))
 
 
 def min_choices(spark: SparkSession, d: str) -> DataFrame:
     """The fewest distractors of a question over all countries, those
     without it counting as none."""
-    c = choices.distractors(choices.representative(table(spark, d, "annotations")), table(spark, d, "countries")).select("qid", "country", F.size("choices").alias("n"))
-    every = c.select("qid").distinct().crossJoin(F.broadcast(table(spark, d, "countries").select("country")))  # x 16, fixed
-    return every.join(c, ["qid", "country"], "left").groupBy("qid").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"))
+    c = _chosen(spark, d).where("country is not null").groupBy("qid").agg(F.min(F.size("choices")).alias("few"), F.count(F.lit(1)).alias("held"))
+    every = table(spark, d, "countries").agg(F.count(F.lit(1)).alias("every"))  # one row
+    return c.crossJoin(F.broadcast(every)).select("qid", F.when(F.col("held") < F.col("every"), 0).otherwise(F.col("few")).cast("bigint").alias("least"))
+
+
+def _options(spark: SparkSession, d: str) -> DataFrame:
+    """Filler options by question, a stand-in for a table of them: the regions'
+    names, and one answer of every country, which are no fillers."""
+    reps = choices.representative(table(spark, d, "annotations"))
+    names = F.broadcast(table(spark, d, "region").select(F.col("r_name").alias("option")))  # 5 rows, fixed
+    return reps.select("qid").distinct().crossJoin(names).unionByName(reps.where("pos = 0").select("qid", F.col("answer").alias("option")))
+
+
+def filler_options(spark: SparkSession, d: str) -> DataFrame:
+    """Options that may fill up a question."""
+    return choices.fillers(_options(spark, d), choices.representative(table(spark, d, "annotations")))
+
+
+def _mc(spark: SparkSession, d: str) -> DataFrame:
+    fit = choices.question_filter(table(spark, d, "annotations"), **_WIDE)
+    reps = choices.representative(table(spark, d, "annotations"))
+    countries = table(spark, d, "countries")
+    return choices.assemble(choices.distractors(reps.join(fit, "qid", "left_semi"), countries), countries, choices.fillers(_options(spark, d), reps))
 
 
 def mc_questions(spark: SparkSession, d: str) -> DataFrame:
-    """Multiple-choice questions of all fitting questions,
-    by the countries that have them."""
+    """The file of multiple-choice questions: a
+    country without the question has no choices, fillers make up for what is
+    missing. The question filter has the wide limits, as none passes the strict."""
+    return choices.encoded(_mc(spark, d))
+
+
+def mc_given(spark: SparkSession, d: str) -> DataFrame:
+    """Multiple-choice questions by the countries that have them, with
+    three distractors each: how many by question, country and letter."""
     fit = choices.question_filter(table(spark, d, "annotations"), **_WIDE)
     reps = choices.representative(table(spark, d, "annotations")).join(fit, "qid", "left_semi")
-    return choices.assemble(choices.distractors(reps, table(spark, d, "countries")), table(spark, d, "countries"), all_countries=False)
+    mc = choices.assemble(choices.distractors(reps, table(spark, d, "countries")), table(spark, d, "countries"), all_countries=False)
+    return mc.groupBy("ID", "country", "answer_idx").agg(F.count(F.lit(1)).alias("n"), F.min("MCQID").alias("first_id"), F.max(F.to_json("choices")).alias("last_choices"))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Responses of two models to all multiple-choice questions, a stand-in for
+    asking them: as a letter, as a text, in prose, or without an answer."""
+    n = F.element_at(F.split("MCQID", "_"), -1).cast("int")
+    asked = _mc(spark, d).withColumn("n", n).withColumn("model", F.explode(F.array(F.lit("m0"), F.lit("m1"))))
+    k = F.col("n") + F.length("prompt") + F.when(F.col("model") == "m1", 1).otherwise(0)
+    letter = F.char(F.lit(65) + k % 4)
+    form = F.col("n") % 5
+    said = (
+        F.when(form == 0, F.concat(F.lit('{"answer_choice":"'), letter, F.lit('"}'))).when(form == 1, F.concat(F.lit('```json {"answer_choice": "'), F.try_element_at("choices", letter), F.lit('",}```')))
+        .when(form == 2, F.concat(F.lit("It is "), letter, F.lit("."))).when(form == 3, F.lit('{"choice":"A"}')).otherwise(letter)
+    )
+    return asked.withColumn("full_res", said)
+
+
+def letter_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The letter each response to a multiple-choice question picks."""
+    return _answers(spark, d).select("model", "MCQID", T.choice_letter(F.col("full_res"), F.col("prompt"), F.col("choices")).alias("final_ans"))
+
+
+def mc_score(spark: SparkSession, d: str) -> DataFrame:
+    """Share of right letters by model and country."""
+    a = _answers(spark, d).withColumn("final_ans", T.choice_letter(F.col("full_res"), F.col("prompt"), F.col("choices")))
+    return scoring.choice_accuracy(a).select("model", "country", F.round("score", 6).alias("score"))
+
+
+def running_mc_score(spark: SparkSession, d: str) -> DataFrame:
+    """The share of right letters so far, by model and question, in the
+    order of the questions' numbers."""
+    a = _answers(spark, d).withColumn("right", (T.choice_letter(F.col("full_res"), F.col("prompt"), F.col("choices")) == F.col("answer_idx")).cast("int"))
+    w = Window.partitionBy("model", "ID").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return a.select("model", "MCQID", F.round(F.avg(F.coalesce("right", F.lit(0))).over(w), 6).alias("score"))
+
+
+def resume_choices(spark: SparkSession, d: str) -> DataFrame:
+    """Questions whose last country is still missing."""
+    held = scoring.latest_annotations(table(spark, d, "annotations"), "annotations").where(F.size("annotations") > 0)
+    return choices.unfinished(table(spark, d, "annotations").select("qid"), held, table(spark, d, "countries"))
+
+
+def nested_answer(spark: SparkSession, d: str) -> DataFrame:
+    """the widest JSON object in every response."""
+    r = table(spark, d, "model_inference_results").select("resp_id", "response").distinct()
+    return r.select("resp_id", T.nested_json(F.col("response")).alias("body")).where("body is not null")
+
+
+_SHEETS = (("inst-4", "Reply in one word.\n{q}\nReply:", "> {q}\n>"), ("pers-3", "You are a local guide. {q}", "* {q} / {q}"), ("inst-4", "second {q}", "second {q}"))
+
+
+def inference_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The prompts still to send, of all runs, from two
+    prompts a country, one of them given twice (the first stands)."""
+    countries = table(spark, d, "countries")
+    sheets = spark.createDataFrame([(i, *x) for i, x in enumerate(_SHEETS)], "prompt_ord int, id string, english string, translation string")
+    prompt_rows = countries.select("country").crossJoin(F.broadcast(sheets))  # 3 rows
+    responses = table(spark, d, "model_inference_results")
+    runs = prompts.matrix(responses.select("model"), countries, sheets.select(F.col("id").alias("prompt_no")))
+    todo = prompts.inference(runs, _questions(spark, d), countries, prompt_rows, responses)
+    return todo.select("model", "country", "language", "prompt_no", "id", "prompt")
 
 
 def choose3(spark: SparkSession, d: str) -> DataFrame:
@@ -244,12 +349,15 @@ def choose3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mc_assemble(spark: SparkSession, d: str) -> DataFrame:
-    """Sorted options with letters, and the letter of the answer."""
-    c = choose3(spark, d)
-    opts = F.array_sort(F.array("c1", "c2", "c3"))
-    letter = lambda i: F.char(F.lit(65) + i)
-    lines = F.array_join(F.transform(opts, lambda o, i: F.concat(letter(i), F.lit(". "), o)), "\n")
-    return c.select("c1", "c2", "c3", lines.alias("options"), letter(F.array_position(opts, F.col("c2")).cast("int") - 1).alias("answer_idx"))
+    """Questions assembled from nations: of every region its first
+    nation by name is the answer, the others are distractors, as if regions were
+    countries; here with the numbers and letters that follow."""
+    n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))  # 25 rows, fixed
+    regions = table(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey")).withColumn("country_ord", F.col("r_regionkey").cast("int"))
+    rest = F.transform(F.slice("names", 2, 10), lambda x: F.struct(F.lit("other").alias("country"), x.alias("answer")))
+    chosen = regions.select(F.col("r_name").alias("country"), F.lit("q").alias("qid"), F.lit("Which nation of your country?").alias("question"), F.slice("names", 1, 1).alias("answers"), rest.alias("choices"))
+    mc = choices.assemble(chosen, regions.select(F.col("r_name").alias("country"), "country_ord"))
+    return mc.select("MCQID", "country", F.get(F.split("prompt", "\n\n"), F.lit(1)).alias("options"), "answer_idx")
 
 
 def json_answer(spark: SparkSession, d: str) -> DataFrame:
@@ -263,23 +371,6 @@ def event_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-def letter_extract(spark: SparkSession, d: str) -> DataFrame:
-    """the letter multiple-choice responses pick; here of all responses,
-    read as if each were one."""
-    r = table(spark, d, "model_inference_results").select("resp_id", "prompt", "response").distinct()
-    options = F.create_map(F.lit("A"), F.lit("kimchi"), F.lit("B"), F.lit("rice")).cast("map<string,string>")
-    return r.where("response is not null and prompt is not null").select("resp_id", T.choice_letter(F.col("response"), F.col("prompt"), options).alias("final_ans"))
-
-
-def mc_score(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy; here of the first letter of a response against that of
-    its question's English text."""
-    r = table(spark, d, "model_inference_results").select("resp_id", "model", "country", "question", "response").distinct()
-    first = lambda c: F.substring(F.upper(T.strip(F.col(c))), 1, 1)
-    a = r.select("model", "country", first("question").alias("answer_idx"), first("response").alias("final_ans"))
-    return scoring.choice_accuracy(a).select("model", "country", F.round("score", 6).alias("score"))
-
-
 def keep_last_events(spark: SparkSession, d: str) -> DataFrame:
     """The last event of every user and type."""
     return keep_last(table(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"])
@@ -312,7 +403,7 @@ QUERIES: dict[str, Query] = _named(
     soft_match, question_latest, question_first, prompt_render, prompt_matrix, resume_anti, question_semi, provider_route, last_response, response_normal, annotation_groups,
     valid_filter, idk_sum, question_filter, question_filter_wide, representative, max_vote_ties, weighted_vote, soft_scored, hard_match, results_table, cross_group, typed_answers, no_common_word, token_subset,
     answer_set, distractor_pick, distractor_greedy, min_choices, mc_questions, choose3, mc_assemble, json_answer, event_json, letter_extract, mc_score, keep_last_events, row_seq, running_score, nfd_lemma,
-    soft_match_lemma, soft_scored_lemma, results_table_lemma,
+    soft_match_lemma, soft_scored_lemma, results_table_lemma, distractor_judged, filler_options, mc_given, running_mc_score, resume_choices, nested_answer, inference_rows,
 )
 
 _SP = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -372,6 +463,74 @@ b AS (SELECT *, replace(replace(replace(regexp_extract(replace(response, chr(10)
 o AS (SELECT *, CASE WHEN body <> '' AND json_valid(body) THEN body::JSON END AS j FROM b)"""
 _ROUTE = "CASE " + " ".join(f"WHEN contains(model, '{p}') THEN '{n}'" for p, n in dims.PROVIDERS) + " WHEN model IS NOT NULL THEN 'local' END"
 
+def _number(x: str) -> str:
+    return _TYPE["num"].format(s=_strip(x))
+
+
+def _fits(answer: str, question: str) -> str:
+    return f"CASE WHEN contains({question}, 'HH:MM') THEN {_TYPE['time'].format(x=answer)} WHEN contains({question}, 'MM/DD') THEN {_TYPE['date'].format(x=answer)} WHEN contains({question}, 'Arabic') THEN ({_number(answer)}) IS NOT NULL ELSE true END"
+
+
+def _alike(a: str, b: str, judge: str = "false") -> str:
+    both = f"({_number(a)}) IS NOT NULL AND ({_number(b)}) IS NOT NULL"
+    typed = " OR ".join(f"({_TYPE[k].format(x=a)} AND {_TYPE[k].format(x=b)})" for k in ("time", "date"))
+    return f"CASE WHEN {both} THEN ({_number(a)}) = ({_number(b)}) AND NOT isnan({_number(a)}) ELSE contains({a}, {b}) OR contains({b}, {a}) OR list_has_any({_words(a)}, {_words(b)}) OR (NOT ({typed}) AND {judge}) END"
+
+
+def _greedy(reps: str = "reps", judge: bool = False) -> str:
+    """The greedy choice as a fold over candidates in order, by recursion."""
+    like = lambda x: _alike(x, "c.answer", f"substring({x}, 1, 1) = substring(c.answer, 1, 1)" if judge else "false")
+    skip = f"coalesce(c.country = f.country OR list_contains(list_transform(chosen, lambda x: x.country), c.country) OR list_contains(blocked, c.answer) OR NOT ({_fits('c.answer', 'f.question')}), false)"
+    clash = f"(coalesce(len(list_filter(mine, lambda x: {like('x')})), 0) > 0 OR len(list_filter(chosen, lambda x: {like('x.answer')})) > 0)"
+    return f"""own AS (SELECT country, qid, question, list(answer ORDER BY pos) FILTER (WHERE fit) AS mine, list(answer ORDER BY pos) FILTER (WHERE fit AND votes = most) AS answers
+FROM (SELECT *, max(votes) OVER (PARTITION BY country, qid) AS most, {_fits('answer', 'question')} AS fit FROM {reps}) GROUP BY country, qid, question),
+cand AS (SELECT qid, country, answer, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, country_ord, pos, country, answer) AS i FROM {reps} JOIN countries USING (country) WHERE votes >= 2),
+fold AS (
+SELECT country, qid, question, mine, 0::BIGINT AS i, []::STRUCT(country VARCHAR, answer VARCHAR)[] AS chosen, []::VARCHAR[] AS blocked FROM own
+UNION ALL
+SELECT country, qid, question, mine, i, CASE WHEN skip OR clash THEN chosen ELSE list_append(chosen, {{'country': c_country, 'answer': c_answer}}) END, CASE WHEN clash AND NOT skip THEN list_append(blocked, c_answer) ELSE blocked END
+FROM (SELECT f.country, f.qid, f.question, f.mine, c.i, f.chosen, f.blocked, c.country AS c_country, c.answer AS c_answer, {skip} AS skip, {clash} AS clash FROM fold f JOIN cand c ON c.qid = f.qid AND c.i = f.i + 1)),
+picked AS (SELECT country, qid, chosen FROM fold QUALIFY row_number() OVER (PARTITION BY country, qid ORDER BY i DESC) = 1)"""
+
+
+_WITH = f"WITH RECURSIVE {_REPS}"
+_PICKS = "SELECT country, qid, (n - 1)::BIGINT AS n, c.country AS other_country, c.answer AS answer FROM (SELECT country, qid, unnest(chosen) AS c, generate_subscripts(chosen, 1) AS n FROM picked)"
+_FILLERS = """fopt AS (SELECT qid, r_name AS option FROM (SELECT DISTINCT qid FROM reps), region UNION SELECT qid, answer FROM reps WHERE pos = 0),
+fill AS (SELECT DISTINCT qid, lower(option) AS option FROM fopt f WHERE NOT EXISTS (SELECT 1 FROM reps r WHERE r.qid = f.qid AND r.answer = f.option))"""
+_FIT = "fit AS (SELECT qid FROM ann GROUP BY qid HAVING NOT bool_or(coalesce(idks['not-applicable'], 0) > 4 OR coalesce(list_sum(map_values(idks)), 0) > 7 OR (coalesce(len(annotations[1].en_answers), 0) > 0 AND coalesce(annotations[1].count, 0) < 1)))"
+
+
+def _assembled(all_countries: bool) -> str:
+    """Multiple-choice questions from `picked` and `own`."""
+    few = "CASE WHEN count(*) < (SELECT count(*) FROM countries) THEN 0 ELSE min(len(chosen)) END" if all_countries else "min(len(chosen))"
+    extra = "list_transform(coalesce(options, []::VARCHAR[])[1:greatest(3 - m, 0)], lambda x: {'v': x, 'k': 'dummy'})" if all_countries else "[]::STRUCT(v VARCHAR, k VARCHAR)[]"
+    up = lambda a, b, inner: f"list_transform(range({a}, {b}), lambda {inner})"
+    two = f"flatten({up(1, 'n + 1', 'i: ' + up('i + 1', 'n + 1', 'j: [i, j]'))})"
+    three = f"flatten(flatten({up(1, 'n + 1', 'i: ' + up('i + 1', 'n + 1', 'j: ' + up('j + 1', 'n + 1', 'k: [i, j, k]')))}))"
+    entries = lambda f: f"'{{' || array_to_string(list_transform(opts, lambda o, i: '\"' || chr((64 + i)::INT) || '\":' || to_json(o.{f})::VARCHAR), ',') || '}}'"
+    return f"""few AS (SELECT qid, least({few}, 3) AS m FROM picked GROUP BY qid),
+flist AS (SELECT qid, list_sort(list(option)) AS options FROM fill GROUP BY qid),
+b0 AS (SELECT o.country, o.qid, o.question, o.answers, p.chosen, len(p.chosen) AS n, m, {extra} AS extra, country_ord FROM picked p JOIN own o ON p.country = o.country AND p.qid = o.qid JOIN few ON few.qid = p.qid LEFT JOIN flist ON flist.qid = p.qid JOIN countries k ON k.country = p.country),
+b1 AS (SELECT *, CASE m WHEN 0 THEN [[]]::BIGINT[][] WHEN 1 THEN list_transform(range(1, n + 1), lambda i: [i]) WHEN 2 THEN {two} ELSE {three} END AS combos FROM b0 WHERE m + len(extra) >= 3),
+b2 AS (SELECT *, unnest(answers) AS answer, generate_subscripts(answers, 1) AS ap FROM b1),
+b3 AS (SELECT *, unnest(combos) AS combo, generate_subscripts(combos, 1) AS cp FROM b2),
+b4 AS (SELECT *, list_sort(list_concat(list_concat(list_transform(combo, lambda p: {{'v': chosen[p].answer, 'k': chosen[p].country}}), [{{'v': answer, 'k': country}}]), extra)) AS opts, row_number() OVER (PARTITION BY qid ORDER BY country_ord, ap, cp) - 1 AS cnt FROM b3),
+mc AS (SELECT qid || '_' || cnt AS MCQID, qid AS ID, country, cnt AS n, opts, replace(question, 'your country', CASE WHEN country IN ('US', 'UK') THEN 'the ' || country ELSE replace(country, '_', ' ') END) || '{choices.INSTRUCTION.replace(chr(10), "' || chr(10) || '")}' || array_to_string(list_transform(opts, lambda o, i: chr((64 + i)::INT) || '. ' || o.v || chr(10)), '') || chr(10) || 'Answer:' AS prompt,
+{entries('v')} AS choices, {entries('k')} AS choice_countries, chr((64 + list_max(list_transform(opts, lambda o, i: CASE WHEN o.v = answer THEN i END)))::INT) AS answer_idx FROM b4)"""
+
+
+_FIT_REPS = f"{_FIT}, freps AS (SELECT * FROM reps WHERE qid IN (SELECT qid FROM fit))"
+_MC = f"{_WITH}, {_FIT_REPS}, {_FILLERS}, {_greedy('freps')}, {_assembled(True)}"
+_MC_ANSWERS = _MC + """,
+asked AS (SELECT mc.*, model, chr((65 + (n + length(prompt) + CASE WHEN model = 'm1' THEN 1 ELSE 0 END) % 4)::INT) AS letter FROM mc, (SELECT unnest(['m0', 'm1']) AS model)),
+said AS (SELECT *, n % 5 AS form, opts[ascii(letter) - 64].v AS by_letter FROM asked),
+ans AS (SELECT *, CASE form WHEN 0 THEN letter WHEN 2 THEN 'I' WHEN 3 THEN '{"choice":"A"}' WHEN 4 THEN letter
+ELSE CASE WHEN by_letter IS NULL THEN NULL
+WHEN regexp_extract(by_letter, '[A-Z]') <> '' AND contains(prompt, regexp_extract(by_letter, '[A-Z]') || '.') THEN regexp_extract(by_letter, '[A-Z]')
+WHEN contains(by_letter, '"') OR contains(by_letter, '}') OR contains(by_letter, chr(92)) THEN 'odd'
+ELSE chr((64 + list_min(list_transform(opts, lambda o, i: CASE WHEN o.v = by_letter THEN i END)))::INT) END END AS final_ans FROM said)"""
+
+
 SQL: dict[str, str] = {
     "soft_match": _SOFT_RUNS + " SELECT * FROM sem",
     "soft_scored": _SOFT + " SELECT resp_id, id, country, b AS binary_score, round(w, 6) AS weight_score FROM scored",
@@ -417,14 +576,28 @@ FROM f a JOIN f b ON a.qid = b.qid AND a.country < b.country""",
 SELECT o.country, o.qid, c.country AS other_country, c.answer, c.votes FROM own o JOIN reps c ON o.qid = c.qid AND o.country <> c.country AND c.votes >= 2
 WHERE NOT EXISTS (SELECT 1 FROM reps m WHERE m.country = o.country AND m.qid = o.qid AND m.answer = c.answer) QUALIFY row_number() OVER (PARTITION BY o.country, o.qid, c.country ORDER BY c.votes DESC, c.pos) = 1""",
     "choose3": "SELECT a.r_name AS c1, b.r_name AS c2, c.r_name AS c3 FROM region a JOIN region b ON a.r_name < b.r_name JOIN region c ON b.r_name < c.r_name",
-    "mc_assemble": "SELECT a.r_name AS c1, b.r_name AS c2, c.r_name AS c3, 'A. ' || a.r_name || chr(10) || 'B. ' || b.r_name || chr(10) || 'C. ' || c.r_name AS options, 'B' AS answer_idx FROM region a JOIN region b ON a.r_name < b.r_name JOIN region c ON b.r_name < c.r_name",
+    "mc_assemble": """WITH n AS (SELECT r_name, r_regionkey, n_name, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_name) AS i FROM nation JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT z.r_name AS country, z.r_regionkey AS o, z.n_name AS answer, list_sort([z.n_name, a.n_name, b.n_name, d.n_name]) AS opts, a.i AS i1, b.i AS i2, d.i AS i3 FROM n z JOIN n a ON a.r_regionkey = z.r_regionkey AND a.i > 1 JOIN n b ON b.r_regionkey = z.r_regionkey AND b.i > a.i JOIN n d ON d.r_regionkey = z.r_regionkey AND d.i > b.i WHERE z.i = 1)
+SELECT 'q_' || (row_number() OVER (ORDER BY o, i1, i2, i3) - 1) AS MCQID, country, array_to_string(list_transform(opts, lambda x, i: chr((64 + i)::INT) || '. ' || x), chr(10)) AS options, chr((64 + list_position(opts, answer))::INT) AS answer_idx FROM c""",
+    "distractor_greedy": f"{_WITH}, {_greedy()} {_PICKS}",
+    "distractor_judged": f"{_WITH}, {_greedy(judge=True)} {_PICKS}",
+    "min_choices": f"{_WITH}, {_greedy()} SELECT qid, CASE WHEN count(*) < (SELECT count(*) FROM countries) THEN 0 ELSE min(len(chosen)) END::BIGINT AS least FROM picked WHERE country IS NOT NULL GROUP BY qid",
+    "filler_options": f"WITH {_REPS}, {_FILLERS} SELECT qid, option FROM fill",
+    "mc_questions": _MC + " SELECT MCQID, ID, country, prompt, choices, choice_countries, answer_idx FROM mc",
+    "mc_given": f"{_WITH}, {_FIT_REPS}, {_FILLERS}, {_greedy('freps')}, {_assembled(False)} SELECT ID, country, answer_idx, count(*) AS n, min(MCQID) AS first_id, max(choices) AS last_choices FROM mc GROUP BY ALL",
+    "letter_extract": _MC_ANSWERS + " SELECT model, MCQID, final_ans FROM ans",
+    "mc_score": _MC_ANSWERS + " SELECT model, country, round(avg(CASE WHEN coalesce(answer_idx, 'nan') = coalesce(final_ans, 'nan') THEN 1 ELSE 0 END), 6) AS score FROM ans GROUP BY model, country",
+    "running_mc_score": _MC_ANSWERS + " SELECT model, MCQID, round(avg(CASE WHEN final_ans = answer_idx THEN 1 ELSE 0 END) OVER (PARTITION BY model, ID ORDER BY n ROWS UNBOUNDED PRECEDING), 6) AS score FROM ans",
+    "resume_choices": f"WITH {_ANN}, last AS (SELECT country FROM countries ORDER BY country_ord DESC LIMIT 1) SELECT DISTINCT qid FROM annotations a WHERE NOT EXISTS (SELECT 1 FROM ann b WHERE b.qid = a.qid AND b.country = (SELECT country FROM last) AND len(b.annotations) > 0)",
+    "nested_answer": r"""WITH d AS (SELECT DISTINCT resp_id, response FROM model_inference_results),
+b AS (SELECT resp_id, regexp_extract(replace(replace(replace(replace(response, chr(10), ''), '```json', ''), '`', ''), ',}', '}'), '\{.+\}') AS body FROM d)
+SELECT resp_id, body FROM b WHERE body <> '' AND json_valid(body)""",
+    "inference_rows": f"""WITH {_LAST_Q}, s AS (SELECT * FROM (VALUES {", ".join("('" + i + "', '" + e.replace(chr(10), "' || chr(10) || '") + "', '" + t.replace(chr(10), "' || chr(10) || '") + "')" for i, e, t in _SHEETS[:2])}) AS v(prompt_no, en, tr)),
+runs AS (SELECT m.model, c.country, c.language AS native, s.prompt_no, s.en, s.tr, unnest(CASE WHEN c.language = 'English' THEN ['English'] ELSE [c.language, 'English'] END) AS language FROM (SELECT DISTINCT model FROM model_inference_results) m, countries c, s),
+x AS (SELECT r.model, r.country, r.language, r.prompt_no, q.id, CASE WHEN r.language = 'English' AND native <> 'English' THEN replace(q.question, 'your country', replace(r.country, '_', ' ')) WHEN r.language = native THEN q.translation END AS text, CASE WHEN r.language = 'English' THEN en ELSE tr END AS tmpl FROM runs r JOIN q ON q.country = r.country)
+SELECT model, country, language, prompt_no, id, replace(tmpl, '{{q}}', text) AS prompt FROM x WHERE NOT EXISTS (SELECT 1 FROM model_inference_results d WHERE d.model = x.model AND d.country = x.country AND d.language = x.language AND d.prompt_no = x.prompt_no AND d.id = x.id)""",
     "json_answer": f"""WITH {_JSON} SELECT resp_id, CASE WHEN json_type(j, '$.answer') = 'VARCHAR' THEN j ->> '$.answer' ELSE CAST(j -> '$.answer' AS VARCHAR) END AS answer FROM o WHERE json_type(j, '$.answer') IS NOT NULL AND json_type(j, '$.answer') <> 'NULL'""",
-    "letter_extract": f"""WITH {_JSON}, c AS (SELECT *, json_exists(j, '$.answer_choice') AS has, coalesce(j ->> '$.answer_choice', 'None') AS raw FROM o WHERE response IS NOT NULL AND prompt IS NOT NULL),
-l AS (SELECT *, nullif(regexp_extract(raw, '[A-Z]'), '') AS letter, CASE raw WHEN 'kimchi' THEN 'A' WHEN 'rice' THEN 'B' ELSE response END AS by_text FROM c)
-SELECT resp_id, CASE WHEN j IS NULL THEN coalesce(nullif(regexp_extract(response, '[A-Z]'), ''), response) WHEN has THEN CASE WHEN letter IS NOT NULL AND contains(prompt, letter || '.') THEN letter ELSE by_text END ELSE response END AS final_ans FROM l""",
     "event_json": "SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events",
-    "mc_score": f"""WITH r AS (SELECT DISTINCT resp_id, model, country, question, response FROM model_inference_results)
-SELECT model, country, round(avg(CASE WHEN coalesce(substring(upper({_strip('question')}), 1, 1), 'nan') = coalesce(substring(upper({_strip('response')}), 1, 1), 'nan') THEN 1 ELSE 0 END), 6) AS score FROM r GROUP BY model, country""",
     "keep_last_events": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
     "row_seq": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS cnt FROM events",
     "running_score": "SELECT user_id, event_id, round(avg(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS score FROM events",

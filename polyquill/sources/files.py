@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Words read as missing.
@@ -56,15 +56,24 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_choices(spark: SparkSession, path: str) -> DataFrame:
+    """A file of multiple-choice questions: choices and choice_countries come
+    back as maps; text that is no JSON object gives null."""
+    df = read_csv(spark, path, missing=False)
+    back = lambda c: F.from_json(c, "map<string,string>").alias(c)
+    return df.select(*(back(c) if c in ("choices", "choice_countries") else F.col(f"`{c}`") for c in df.columns))
+
+
 def read_template(path: str) -> dict[str, str]:
     """An instruction template: a small JSON file read on the driver."""
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
-    """Parquet, partitioned by run so that readers prune by file."""
-    writer = df.write.mode(mode)
+def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append", watch: Observation | None = None) -> None:
+    """Parquet, partitioned by run so that readers prune by file. With `watch`
+    the rows written are counted on the way (watch.get["rows"])."""
+    writer = (df if watch is None else df.observe(watch, F.count(F.lit(1)).alias("rows"))).write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 

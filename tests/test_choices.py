@@ -54,8 +54,8 @@ def test_greedy_as_brute_force(spark):
     order = {c: i for i, c in enumerate(names)}
     got = lambda x: {(a.country, a.qid): [(c.country, c.answer) for c in a.choices] for a in x.collect()}
     assert got(choices.distractors(df, countries(spark))) == brute(reps, order)
-    judged = spark.createDataFrame([(f"q{q}", "rice", "kite") for q in range(12)], "qid string, a string, b string")
-    assert got(choices.distractors(df, countries(spark), judged)) == brute(reps, order, {("kite", "rice")})
+    judged = spark.createDataFrame([(f"q{q}", "rice", "kite", True) for q in range(12)], "qid string, a string, b string, is_similar boolean")
+    assert got(choices.distractors(df, countries(spark), judged, unjudged=False)) == brute(reps, order, {("kite", "rice")})
 
 
 def test_typed_question(spark):
