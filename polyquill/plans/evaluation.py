@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -531,10 +532,47 @@ WHEN contains(by_letter, '"') OR contains(by_letter, '}') OR contains(by_letter,
 ELSE chr((64 + list_min(list_transform(opts, lambda o, i: CASE WHEN o.v = by_letter THEN i END)))::INT) END END AS final_ans FROM said)"""
 
 
+def _acute() -> tuple[str, str]:
+    """Composed letters with an acute accent, and what remains without it."""
+    composed = [c for c in map(chr, range(0xC0, 0x2000)) if "́" in unicodedata.normalize("NFD", c) and len(unicodedata.normalize("NFC", c)) == 1]
+    bare = [unicodedata.normalize("NFC", unicodedata.normalize("NFD", c).replace("́", "")) for c in composed]
+    kept = [(c, b) for c, b in zip(composed, bare, strict=True) if len(b) == 1]
+    return "".join(c for c, _ in kept), "".join(b for _, b in kept)
+
+
+def _lemma_words(x: str, language: str) -> str:
+    """Folded words by language, as composed text without acute accents."""
+    parts = lambda text, kept: f"list_filter(regexp_split_to_array(translate(regexp_replace(translate({text}, '{kept}', chr(57344)), '[\\p{{P}}\\p{{S}}]', ' ', 'g'), chr(57344), '{kept}'), '[{_SP}]+'), lambda w: w <> '')"
+    nfc = f"nfc_normalize({x})"
+    apostrophe = "''"
+    azeri = f"regexp_replace(replace(replace({nfc}, 'İ', 'I'), 'i' || chr(775), 'i'), '[\"''“”]', '', 'g')"
+    by_language = f"CASE {language} WHEN 'Chinese' THEN regexp_extract_all({nfc}, '[\\p{{L}}\\p{{N}}]') WHEN 'Azerbaijani' THEN list_filter({parts(azeri, '-')}, lambda w: trim(w, '-') <> '') WHEN 'Sundanese' THEN {parts(f"regexp_replace({nfc}, '[()]', '', 'g')", apostrophe)} ELSE {parts(nfc, apostrophe)} END"
+    old, new = _acute()
+    return f"list_filter(list_transform({by_language}, lambda w: nfc_normalize(lower(replace(translate(replace(w, 'İ', 'I' || chr(775)), '{old}', '{new}'), chr(769), '')))), lambda w: w <> '')"
+
+
+def _lemma_soft(sql: str) -> str:
+    """The SQL of plain words with folded ones, made once a response and answer."""
+    low = f"lower({_strip('a')})"
+    plain = f"coalesce(nr, '') <> '' AND a IS NOT NULL AND {_matches('a', 'nr')}"
+    folded = f"coalesce(nr, '') <> '' AND a IS NOT NULL AND len({_tokens('a')}) > 0 AND (contains(nr, {low}) OR contains(nr, replace({low}, '-', ' ')) OR contains(nr, replace({low}, ' ', '-')) OR (len(aw) > 0 AND len(list_filter(aw, lambda w: NOT list_contains(rw, w))) = 0))"
+    assert plain in sql
+    old = sql[sql.index("ans AS (SELECT resp_id") : sql.index("hitc AS (")]
+    new = f"""ans0 AS (SELECT resp_id, nr, pos, g, language, unnest(list_concat(CASE WHEN language <> 'English' THEN list_transform(coalesce(g.answers, []), lambda x: {{'a': x, 'l': language}}) ELSE [] END, list_transform(coalesce(g.en_answers, []), lambda x: {{'a': x, 'l': 'English'}}))) AS e FROM grp WHERE g IS NOT NULL),
+aw AS (SELECT a AS x, l, {_lemma_words(f"lower({_strip('a')})", 'l')} AS aw FROM (SELECT DISTINCT e.a AS a, e.l AS l FROM ans0 WHERE e.a IS NOT NULL)),
+rw AS (SELECT nr AS y, l, {_lemma_words('nr', 'l')} AS rw FROM (SELECT DISTINCT nr, e.l AS l FROM ans0 WHERE nr IS NOT NULL)),
+ans AS (SELECT resp_id, nr, pos, g, e.a AS a, aw, rw FROM ans0 LEFT JOIN aw ON aw.x = e.a AND aw.l = e.l LEFT JOIN rw ON rw.y = nr AND rw.l = e.l),
+"""
+    return sql.replace(old, new).replace(plain, folded)
+
+
 SQL: dict[str, str] = {
     "soft_match": _SOFT_RUNS + " SELECT * FROM sem",
     "soft_scored": _SOFT + " SELECT resp_id, id, country, b AS binary_score, round(w, 6) AS weight_score FROM scored",
     "results_table": _SOFT_RUNS + " SELECT model, country, language, prompt_no, 'SEM-B' AS eval_method, sem_b AS score FROM sem UNION ALL SELECT model, country, language, prompt_no, 'SEM-W', sem_w FROM sem",
+    "soft_match_lemma": _lemma_soft(_SOFT_RUNS) + " SELECT * FROM sem",
+    "soft_scored_lemma": _lemma_soft(_SOFT) + " SELECT resp_id, id, country, b AS binary_score, round(w, 6) AS weight_score FROM scored",
+    "results_table_lemma": _lemma_soft(_SOFT_RUNS) + " SELECT model, country, language, prompt_no, 'SEM-B' AS eval_method, sem_b AS score FROM sem UNION ALL SELECT model, country, language, prompt_no, 'SEM-W', sem_w FROM sem",
     "hard_match": f"""WITH {_ANN}, {_LAST_R}, {_NORMAL},
 den AS (SELECT country, count(*) AS n FROM ann GROUP BY country),
 j AS (SELECT norm.model, norm.country, norm.language, norm.prompt_no, resp_id, nr, annotations, list_max(list_transform(annotations, lambda g: coalesce(g.count, 0))) AS most FROM norm JOIN ann ON norm.country = ann.country AND norm.id = ann.qid),
