@@ -18,12 +18,15 @@ and records without a token stay out; a source that has no records gets none;
 shares are taken relative to their sum; several targets of one source add up,
 with the greatest number of repeats; null shares and repeats count as 0 and 1;
 if all sources together cannot fill the size, the mix is as large as they can
-make it.
+make it. The network holds the MAX_PATTERNS patterns with the most tokens as
+they are; records of any others stand in it with one of their sources, chosen
+by hash, so that no record is left out whatever the number of patterns.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -34,8 +37,8 @@ from polyquill.session import ensure_checkpoint_dir
 SEED = 17
 #: Over-filling is costed in steps of this share of a quota.
 OVER_STEP = 0.01
-#: Patterns the driver takes; 2 ** sources is the most there can be.
-MAX_PATTERNS = 100_000
+#: Patterns the network holds as they are (all of those of up to nine sources).
+MAX_PATTERNS = 512
 _HASH_BITS = 12
 
 
@@ -69,20 +72,26 @@ def min_cost_flow(arcs: dict[tuple[str, str], ConvexArc], source: str, sink: str
     """Sends up to `amount` at least cost by successive shortest paths; returns
     what could be sent. Flows are left in the arcs."""
     nodes = {source, sink, *(x for arc in arcs for x in arc)}
+    leaving: dict[str, list[tuple[str, ConvexArc, int]]] = {x: [] for x in nodes}
+    for (a, b), arc in arcs.items():
+        leaving[a].append((b, arc, 1))
+        leaving[b].append((a, arc, -1))
     sent = 0
     while sent < amount:
         cost = dict.fromkeys(nodes, math.inf)
         cost[source] = 0.0
         came: dict[str, tuple[str, ConvexArc, int, int]] = {}
-        for _ in nodes:
-            changed = False
-            for (a, b), arc in arcs.items():
-                if cost[a] < math.inf and (step := arc.ahead()) and cost[a] + step[1] < cost[b] - 1e-9:
-                    cost[b], came[b], changed = cost[a] + step[1], (a, arc, step[0], 1), True
-                if cost[b] < math.inf and (step := arc.back()) and cost[b] - step[1] < cost[a] - 1e-9:
-                    cost[a], came[a], changed = cost[b] - step[1], (b, arc, step[0], -1), True
-            if not changed:
-                break
+        todo, waiting = deque([source]), {source}
+        while todo:
+            a = todo.popleft()
+            waiting.discard(a)
+            for b, arc, sign in leaving[a]:
+                step = arc.ahead() if sign > 0 else arc.back()
+                if step and cost[a] + sign * step[1] < cost[b] - 1e-9:
+                    cost[b], came[b] = cost[a] + sign * step[1], (a, arc, step[0], sign)
+                    if b not in waiting:
+                        waiting.add(b)
+                        todo.append(b)
         if cost[sink] == math.inf:
             break
         path, at = [], sink
@@ -106,6 +115,20 @@ class Share:
     rest: int
 
 
+def _beyond(quota: int, size: int, over: float) -> list[tuple[int, float]]:
+    """Steps beyond a quota up to the whole size: each costs in proportion to how
+    far it goes beyond, so what is spread stays in proportion to the quotas.
+    Steps are OVER_STEP of the quota wide, and ten times as wide from one, ten,
+    a hundred times the quota on."""
+    steps, done, width, upto = [], 0.0, OVER_STEP, 1.0
+    while done * quota < size:
+        steps.append((max(1, round(width * quota)), over * (1 + done / OVER_STEP)))
+        done += max(width, 1 / quota)
+        if done >= upto:
+            width, upto = width * 10, upto * 10
+    return steps
+
+
 def plan(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], size: int) -> dict[tuple[tuple[str, ...], str], Share]:
     """Passes of every pattern for every source. patterns: tokens by sources;
     targets: share and repeats by source."""
@@ -122,10 +145,7 @@ def plan(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, i
                 arcs[name, f"s:{s}"] = ConvexArc([(tokens, float(r * r)) for r in range(targets[s][1])])
     for s, (share, _) in targets.items():
         quota = round(size * share / whole) if whole else 0
-        step = max(1, round(quota * OVER_STEP))
-        steps = round(1 / OVER_STEP)
-        beyond = [(step, over * (k + 1)) for k in range(steps)] + [(size, over * (steps + 1))] if quota else []
-        arcs[f"s:{s}", "out"] = ConvexArc([(quota, 0.0), *beyond])
+        arcs[f"s:{s}", "out"] = ConvexArc([(quota, 0.0), *(_beyond(quota, size, over) if quota else [])])
     min_cost_flow(arcs, "in", "out", size)
     out = {}
     for name, p in names.items():
@@ -177,7 +197,7 @@ def memberships(counted: DataFrame, sources_col: str, targets: DataFrame, seed:
     return rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "source", F.lit(seed)), 4))
 
 
-def mix(counted: DataFrame, targets: DataFrame, sources_col: str = "sources", size: int | None = None, seed: int = SEED) -> DataFrame:
+def mix(counted: DataFrame, targets: DataFrame, sources_col: str = "sources", size: int | None = None, seed: int = SEED, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of the mix. `counted` has doc_id,
     n_tokens and an array of sources; `size` is by default all its tokens,
     those of records that stay out included."""
@@ -188,9 +208,15 @@ def mix(counted: DataFrame, targets: DataFrame, sources_col: str = "sources", si
     if size is None:
         size = int(counted.agg(F.sum("n_tokens")).first()[0] or 0)
     rows = memberships(counted, sources_col, targets, seed)
-    sums = rows.where(F.col("source") == F.get("pattern", F.lit(0))).groupBy("pattern").agg(F.sum("n_tokens").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    first = F.col("source") == F.get("pattern", F.lit(0))
+    held = rows.where(first).groupBy("pattern").agg(F.sum("n_tokens").alias("n"))
+    if held.limit(max_patterns + 1).count() > max_patterns:
+        most = F.broadcast(held.orderBy(F.desc("n"), "pattern").limit(max_patterns).select("pattern", F.lit(True).alias("_kept")))  # max_patterns rows
+        own = F.get("pattern", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.size("pattern")).cast("int"))
+        rows = rows.join(most, "pattern", "left").withColumn("_own", own).where(F.col("_kept") | (F.col("source") == F.col("_own")))
+        rows = rows.withColumn("pattern", F.when(F.col("_kept"), F.col("pattern")).otherwise(F.array("source"))).drop("_kept", "_own").checkpoint()
+        held = rows.where(first).groupBy("pattern").agg(F.sum("n_tokens").alias("n"))
+    sums = held.collect()  # at most max_patterns and the targets
     shares = plan({tuple(r.pattern): int(r.n) for r in sums}, wanted, size)
     below = _thresholds(rows, shares)
     small = counted.sparkSession.createDataFrame([(list(p), s, x.passes, below.get((p, s), 0)) for (p, s), x in shares.items()], "pattern array<string>, source string, passes int, below bigint")

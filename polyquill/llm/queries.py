@@ -109,10 +109,18 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(counted, table(spark, sf_dir, "mix_targets"))
 
 
+def p7_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix with equal texts as one record that lies in all sources it came
+    from, so that patterns overlap; doc_id is the least of the text's."""
+    documents = table(spark, sf_dir, "documents").where("text is not null")
+    records = documents.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_set("source")).alias("sources"))
+    return mixing.mix(bpe.token_counts(records), table(spark, sf_dir, "mix_targets"))
+
+
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 SQL["p6_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_terms": p1_terms, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_terms": p1_terms, "p1_ngrams": p1_ngrams, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_overlap": p7_overlap, "p8_found": p8_found, "p8_redacted": p8_redacted}

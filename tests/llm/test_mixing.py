@@ -41,6 +41,21 @@ def test_plan():
     assert mixing.plan({}, {}, 10) == {}
 
 
+def test_spread_stays_in_proportion_far_beyond_the_quotas():
+    shares = mixing.plan({("a",): 10_000_000, ("b",): 10_000_000, ("c",): 10}, {"a": (0.04, 3), "b": (0.01, 3), "c": (0.95, 1)}, 1_000_000)
+    got = {s: x.passes * 10_000_000 + x.rest for (p, s), x in shares.items() if s != "c"}
+    assert 3.8 < got["a"] / got["b"] < 4.2 and sum(got.values()) == 1_000_000 - 10
+
+
+def test_more_patterns_than_the_network_holds(spark):
+    rows = [(i, 1 + i % 7, [f"s{i % 9}", f"s{i * 5 % 9}", f"s{i * 7 % 9}"]) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint, sources array<string>")
+    targets = spark.createDataFrame([(f"s{i}", 1 / 9, 2) for i in range(9)], "source string, target_share double, max_repeats int")
+    whole, narrow = (mixing.shares(mixing.mix(df, targets, max_patterns=n), targets).collect() for n in (512, 4))
+    for got in (whole, narrow):
+        assert all(abs(r.actual_share - 1 / 9) < 0.02 for r in got), got
+
+
 def frame(spark, n=2000):
     r = random.Random(4)
     rows = [(i, r.randint(1, 90), [r.choice("aaaab")] if i % 10 else ["a", "b"]) for i in range(n)] + [(n, 50, []), (n + 1, 0, ["a"]), (n + 2, 5, None), (n + 3, 7, ["zzz"]), (n + 4, 9, [None, "c"])]
