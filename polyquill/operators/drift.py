@@ -24,6 +24,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -105,6 +106,10 @@ class TargetSchema:
         """This schema with one more approved field."""
         return TargetSchema(self.columns | {name: kind}, self.aliases | {name: aliases})
 
+    def as_text(self) -> TargetSchema:
+        """The same columns, all of them text: cells as they are delivered."""
+        return TargetSchema(dict.fromkeys(self.columns, "string"), self.aliases)
+
 
 def squash(name: str) -> str:
     return "".join(c for c in name.lower() if c.isalnum())
@@ -118,10 +123,26 @@ PROMPT_SCHEMA = TargetSchema(
 #: Fields approved since, with their types.
 PROMOTED = {"g_translation": ("string", ("G-Translation", "MT Translation", "Google-Translation")), "edited": ("boolean", ("Edited Y/N", "EditedYN", "Edited?", "Edit"))}
 
-ROW_SCHEMA = "file_id bigint, sheet_id bigint, version_no int, row_no int, id string, english string, translation string, _rescued string"
-_ROW_ARROW = pa.schema(
-    [("file_id", pa.int64()), ("sheet_id", pa.int64()), ("version_no", pa.int32()), ("row_no", pa.int32()), ("id", pa.string()), ("english", pa.string()), ("translation", pa.string()), ("_rescued", pa.string())]
-)
+_KEYS = (("file_id", "bigint"), ("sheet_id", "bigint"), ("version_no", "int"), ("row_no", "int"))
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "date": pa.date32()}
+_WHOLE_LIMIT = {"bigint": 1 << 63, "int": 1 << 31}
+
+
+def cast_cell(text: str, kind: str) -> object:
+    """A filled cell as a value of its column's type; None if it does not fit."""
+    bare = text.strip()
+    if kind == "string":
+        return text
+    if kind == "boolean":
+        low = bare.lower()
+        return True if low in ("y", "yes", "true", "t") else False if low in ("n", "no", "false", "f") else None
+    try:
+        if kind in _WHOLE_LIMIT:
+            number = int(bare) if _WHOLE.fullmatch(bare) and len(bare) < 21 else None
+            return number if number is not None and -_WHOLE_LIMIT[kind] <= number < _WHOLE_LIMIT[kind] else None
+        return date.fromisoformat(bare) if kind == "date" else float(bare)
+    except ValueError:
+        return None
 
 
 def _files(df: DataFrame) -> DataFrame:
@@ -134,22 +155,29 @@ def _files(df: DataFrame) -> DataFrame:
 #: The record before a file's rows: its header in order, each name with the
 #: typed column it is read into, null where its cells are rescued.
 HEADER_ROW = -1
-_INGEST_SCHEMA = ROW_SCHEMA + ", _header array<struct<name:string,target:string>>"
-_INGEST_ARROW = _ROW_ARROW.append(pa.field("_header", pa.list_(pa.struct([("name", pa.string()), ("target", pa.string())]))))
+_HEADER = ("_header", "array<struct<name:string,target:string>>")
+_HEADER_ARROW = pa.list_(pa.struct([("name", pa.string()), ("target", pa.string())]))
 
 
 def ingest_files(df: DataFrame, schema: TargetSchema = PROMPT_SCHEMA, blanks: bool = False) -> DataFrame:
     """All rows of all files in the target schema, each file's after a record
-    (row_no -1) with its header; map-only. With `blanks`, cells of white space
-    are kept as they are."""
+    (row_no -1) with its header; map-only. Columns of a schema may be of the
+    types string, int, bigint, double, boolean and date; a cell that does not fit
+    its column's type is rescued under its header name. With `blanks`, cells of
+    white space are kept as they are."""
     lookup = schema.lookup()
     at = {c: i for i, c in enumerate(schema.columns)}
-    if set(at) != {"id", "english", "translation"}:
-        raise ValueError("further columns are promoted from _rescued, see promote()")
+    kinds = list(schema.columns.values())
+    if unknown := set(kinds) - set(_ARROW):
+        raise ValueError(f"no column can be of type {', '.join(sorted(unknown))}")
+    names_of = [*(k for k, _ in _KEYS), *at, "_rescued", _HEADER[0]]
+    arrow = pa.schema([*((k, _ARROW[t]) for k, t in _KEYS), *((c, _ARROW[t]) for c, t in schema.columns.items()), ("_rescued", pa.string()), (_HEADER[0], _HEADER_ARROW)])
+    if len(set(names_of)) < len(names_of):
+        raise ValueError("a column has the name of a key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in _INGEST_ARROW.names]
+            out: list[list] = [[] for _ in arrow.names]
 
             def add(*record: object) -> None:
                 for col, x in zip(out, record, strict=True):  # noqa: B023
@@ -166,23 +194,26 @@ def ingest_files(df: DataFrame, schema: TargetSchema = PROMPT_SCHEMA, blanks: bo
                 extra = "_extra"
                 while extra in names:
                     extra += "_"
-                add(file_id, sheet_id, version_no, HEADER_ROW, None, None, None, None, [{"name": n, "target": t} for n, t in zip(names, targets, strict=True)])
+                add(file_id, sheet_id, version_no, HEADER_ROW, *[None] * len(at), None, [{"name": n, "target": t} for n, t in zip(names, targets, strict=True)])
                 for row_no, row in enumerate(rows):
-                    typed: list[str | None] = [None] * len(at)
+                    typed: list[object] = [None] * len(at)
                     rescued: dict[str, object] = {}
                     for k, cell in enumerate(row[: len(names)]):
                         if not (cell if blanks else cell.strip()):
                             continue
-                        if targets[k] is None:
+                        place = None if targets[k] is None else at[targets[k]]
+                        value = None if place is None else cast_cell(cell, kinds[place])
+                        if value is None:
                             rescued[names[k]] = cell
                         else:
-                            typed[at[targets[k]]] = cell
+                            typed[place] = value  # type: ignore[index]
                     if len(row) > len(names):
                         rescued[extra] = row[len(names) :]
                     add(file_id, sheet_id, version_no, row_no, *typed, json.dumps(rescued, ensure_ascii=False) if rescued else None, None)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _INGEST_ARROW.types, strict=True)], schema=_INGEST_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, arrow.types, strict=True)], schema=arrow)
 
-    return _files(df).mapInArrow(run, _INGEST_SCHEMA)
+    fields = (*_KEYS, *schema.columns.items(), ("_rescued", "string"), _HEADER)
+    return _files(df).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields))
 
 
 def ingest(df: DataFrame, schema: TargetSchema = PROMPT_SCHEMA) -> DataFrame:
@@ -233,7 +264,6 @@ _DIGEST_ARROW = pa.schema(
 )
 _PROMPT_ID = re.compile(r"[A-Za-z]+-\d+")
 ID_NAMES = ("id", "promptid")
-_TARGETS = ("id", "english", "translation")  # as they follow in ROW_SCHEMA
 
 
 def _hash(text: str) -> int:
@@ -264,6 +294,7 @@ def digest(df: DataFrame, schema: TargetSchema = PROMPT_SCHEMA) -> DataFrame:
     hashes. A cell is read from the typed column its header name goes to, else
     from `_rescued`. Made beside the scan, where a file's rows still follow its
     header in one partition, so that the comparison never shuffles texts."""
+    columns = list(schema.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, names, targets, rows = None, [], [], []
@@ -275,7 +306,7 @@ def digest(df: DataFrame, schema: TargetSchema = PROMPT_SCHEMA) -> DataFrame:
                         for col, x in zip(out, (*key, *file_digest(names, rows)), strict=True):
                             col.append(x)
                     key, names, rows = (file_id, sheet_id, version_no), [h["name"] for h in header], []
-                    targets = [None if h["target"] is None else _TARGETS.index(h["target"]) for h in header]
+                    targets = [None if h["target"] is None else columns.index(h["target"]) for h in header]
                 else:
                     bag = json.loads(rescued) if rescued else {}
                     rows.append([(bag.get(n) if t is None else typed[t]) or "" for n, t in zip(names, targets, strict=True)])
@@ -283,7 +314,7 @@ def digest(df: DataFrame, schema: TargetSchema = PROMPT_SCHEMA) -> DataFrame:
         if key is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, *file_digest(names, rows)), _DIGEST_ARROW.types, strict=True)], schema=_DIGEST_ARROW)
 
-    return ingest_files(df, schema, blanks=True).mapInArrow(run, _DIGEST_SCHEMA)
+    return ingest_files(df, schema.as_text(), blanks=True).mapInArrow(run, _DIGEST_SCHEMA)
 
 
 VERSION_BLOCK = 256

@@ -1,5 +1,8 @@
+import json
+
 import pytest
 from polyquill.operators import drift
+from pyspark.sql import functions as F
 
 HEAD = "id,English,Edited\n"
 
@@ -161,3 +164,17 @@ def test_whole_table(spark):
     files = spark.read.parquet(f"{folder}/prompt_files.parquet")
     rows = [tuple(r) for r in drift.changes(files).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == plainly(files.collect()) and len(rows) > 30
+
+
+def test_any_schema_and_cells_that_do_not_fit(spark):
+    schema = drift.TargetSchema({"key": "string", "n": "int", "ok": "boolean", "day": "date", "x": "double"}, {"key": ("ID",)}).promote("big", "bigint", "Big Number")
+    text = "ID,n,ok,day,x,Big Number,other\na,1,yes,2024-01-02,1.5,9000000000,z\nb,3000000000,maybe,2 May,one,1e3,\n"
+    df = spark.createDataFrame([(1, 1, 1, "a.csv", text)], "file_id bigint, sheet_id bigint, version_no int, file_name string, file_text string")
+    a, b = drift.ingest(df, schema).orderBy("row_no").collect()
+    assert (a.key, a.n, a.ok, str(a.day), a.x, a.big, a._rescued) == ("a", 1, True, "2024-01-02", 1.5, 9000000000, '{"other": "z"}')
+    assert (b.key, b.n, b.ok, b.day, b.x, b.big) == ("b", None, None, None, None, None)
+    assert json.loads(b._rescued) == {"n": "3000000000", "ok": "maybe", "day": "2 May", "x": "one", "Big Number": "1e3"}
+    later = df.unionByName(df.withColumn("file_id", F.lit(2).cast("bigint")).withColumn("version_no", F.lit(2)).withColumn("file_text", F.lit(text.replace("yes", "7").replace("maybe", "8").replace("ok", "OK?"))))
+    assert {tuple(r) for r in drift.changes(later, schema).collect()} == {(2, "added", "OK?"), (2, "removed", "ok")}
+    with pytest.raises(ValueError):
+        drift.ingest(df, drift.TargetSchema({"a": "map<string,string>"}))
