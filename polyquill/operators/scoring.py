@@ -33,6 +33,13 @@ def is_valid(annotations: Column, idks: Column) -> Column:
     return (idk(idks, "no-answer") + idk(idks, "not-applicable") < 3) & (idk(idks, "idk") < 5) & (F.coalesce(F.size(annotations), F.lit(0)) > 0)
 
 
+def last_normal(responses: DataFrame) -> DataFrame:
+    """Of each run and question the response that came last, as it is matched
+    (`_r`): read before the shuffle, so that prompts and responses need not travel."""
+    normal = T.normal_response(F.col("response"), F.col("prompt")).alias("_r")
+    return keep_last(responses.select(*RUN, "id", "resp_id", normal, "received_at"), [*RUN, "id"], ["received_at", "resp_id"]).drop("received_at")
+
+
 def last_responses(responses: DataFrame) -> DataFrame:
     """Of each run and question the response that came last."""
     return keep_last(responses.select(*RUN, "id", "resp_id", "prompt", "response", "received_at"), [*RUN, "id"], ["received_at", "resp_id"])
@@ -42,15 +49,25 @@ def _votes(group: Column) -> Column:
     return F.coalesce(group["count"], F.lit(0))
 
 
-def first_hit(groups: Column, response: Column, native: Column, words: dict[str, tuple[Column, Column]] | None = None) -> Column:
-    """The first group in list order one of whose answers the response gives:
-    native answers if the language is not English, then English ones. `words`
-    has for either field a map of the answers' words and the response's words."""
+def readable(field: Column) -> Column:
+    """Answers with what a match needs of them, taken once an annotation."""
+    return F.transform(field, lambda a: F.struct(F.lower(T.strip(a)).alias("low"), T.tokens(a).alias("words"), a.alias("answer")))
+
+
+def first_hit(groups: Column, response: Column, native: Column, words: Column, folded: dict[str, tuple[Column, Column]] | None = None) -> Column:
+    """The first group in list order one of whose readable answers the response
+    gives: native answers if the language is not English, then English ones.
+    `words` are the response's; `folded` has for either field a map of the
+    answers' folded words and the response's, which stand for them."""
 
     def hit(g: Column) -> Column:
         def some(field: str) -> Column:
-            of = lambda a: words and (F.try_element_at(words[field][0], a), words[field][1])
-            return F.coalesce(F.exists(g[field], lambda a: F.coalesce(T.matches(a, response, of(a)), F.lit(False))), F.lit(False))
+            def gives(a: Column) -> Column:
+                own, given = (F.try_element_at(folded[field][0], a["answer"]), folded[field][1]) if folded else (a["words"], words)
+                inside = response.contains(a["low"]) | response.contains(F.replace(a["low"], F.lit("-"), F.lit(" "))) | response.contains(F.replace(a["low"], F.lit(" "), F.lit("-")))
+                return F.coalesce((F.size(a["words"]) > 0) & (inside | ((F.size(own) > 0) & (F.size(F.array_except(own, given)) == 0))), F.lit(False))
+
+            return F.coalesce(F.exists(g[field], gives), F.lit(False))
 
         return (native & some("answers")) | some("en_answers")
 
@@ -79,24 +96,22 @@ def soft_scored(responses: DataFrame, annotations: DataFrame, lemmas: bool = Fal
     answers in the response's language, English ones in English."""
     valid = valid_annotations(annotations).select("country", F.col("qid").alias("id"), "annotations")
     native = F.coalesce(F.col("language") != "English", F.lit(False))
-    last = last_responses(responses)
-    normal = T.normal_response(F.col("response"), F.col("prompt"))
+    last = last_normal(responses).withColumn("_words", T.tokens(F.col("_r")))
+    groups = F.transform("annotations", lambda g: F.when(g.isNotNull(), F.struct(g["count"].alias("count"), readable(g["answers"]).alias("answers"), readable(g["en_answers"]).alias("en_answers"))))
+    valid = valid.withColumn("_groups", groups)
     if lemmas:
-        last = last.withColumn("_r", normal).drop("response", "prompt")  # the prompt need not travel
         # Answers are folded once a question and language, before they meet the
         # responses; a country has a few languages, so nothing is shuffled again.
         spoken = responses.where(native).groupBy("country").agg(F.array_sort(F.collect_set("language")).alias("_spoken"))
         valid = valid.join(spoken, "country", "left").withColumn("_en", _answer_words("en_answers", F.array(F.lit("English")))).withColumn("_own", _answer_words("answers", F.col("_spoken")))
-    both = last.join(valid, ["country", "id"])
-    words = None
-    if not lemmas:
-        both = both.withColumn("_r", normal)
-    else:
+    both = last.join(valid.drop("annotations"), ["country", "id"])
+    folded = None
+    if lemmas:
         fold = lemma.lemmas_udf()
         both = both.withColumn("_r_en", fold(F.col("_r"), F.lit("English"))).withColumn("_r_own", fold(F.when(native, F.col("_r")), F.col("language")))
-        words = {"answers": (F.try_element_at("_own", F.col("language")), F.col("_r_own")), "en_answers": (F.try_element_at("_en", F.lit("English")), F.col("_r_en"))}
-    both = both.withColumn("_hit", F.when(F.coalesce(F.col("_r"), F.lit("")) != "", first_hit(F.col("annotations"), F.col("_r"), native, words)))
-    weight = F.coalesce(F.try_divide(_votes(F.col("_hit")), _votes(F.get("annotations", F.lit(0)))), F.lit(0.0))
+        folded = {"answers": (F.try_element_at("_own", F.col("language")), F.col("_r_own")), "en_answers": (F.try_element_at("_en", F.lit("English")), F.col("_r_en"))}
+    both = both.withColumn("_hit", F.when(F.coalesce(F.col("_r"), F.lit("")) != "", first_hit(F.col("_groups"), F.col("_r"), native, F.col("_words"), folded)))
+    weight = F.coalesce(F.try_divide(_votes(F.col("_hit")), _votes(F.get("_groups", F.lit(0)))), F.lit(0.0))
     return both.select(*RUN, "id", "resp_id", F.col("_hit").isNotNull().cast("int").alias("binary_score"), F.when(F.col("_hit").isNotNull(), weight).otherwise(0.0).alias("weight_score"))
 
 
@@ -119,7 +134,7 @@ def hard_match(responses: DataFrame, annotations: DataFrame) -> DataFrame:
     ann = latest_annotations(annotations, "annotations")
     total = ann.groupBy("country").agg(F.count(F.lit(1)).alias("all_questions"))
     most = F.array_max(F.transform("annotations", _votes))
-    both = last_responses(responses).join(ann.select("country", F.col("qid").alias("id"), "annotations"), ["country", "id"]).withColumn("_r", T.normal_response(F.col("response"), F.col("prompt")))
+    both = last_normal(responses).join(ann.select("country", F.col("qid").alias("id"), "annotations"), ["country", "id"])
     answers = lambda g: F.coalesce(F.exists(F.concat(F.coalesce(g["answers"], F.array().cast("array<string>")), F.coalesce(g["en_answers"], F.array().cast("array<string>"))), lambda a: F.coalesce(F.lower(T.strip(a)) == F.col("_r"), F.lit(False))), F.lit(False))
     best = F.array_max(F.transform(F.filter("annotations", answers), _votes))
     hit = F.coalesce(best.isNotNull() & (F.col("_r") != ""), F.lit(False))

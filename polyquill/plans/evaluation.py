@@ -12,7 +12,7 @@ from polyquill import dims
 from polyquill.functions import lemma
 from polyquill.functions import text as T
 from polyquill.operators import choices, prompts, scoring
-from polyquill.operators.latest import keep_first, keep_last, missing_from, sequence
+from polyquill.operators.latest import keep_first, keep_last, missing_from, running
 from polyquill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,10 +48,16 @@ def prompt_render(spark: SparkSession, d: str) -> DataFrame:
     return legs.select("id", "country", "language", prompts.render(F.lit(TEMPLATE), asked).alias("prompt")).where("prompt is not null")
 
 
+def _dimensions(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The models and prompt ids that occur, from one scan and two sets."""
+    sets = responses.agg(F.collect_set("model").alias("model"), F.collect_set("prompt_no").alias("prompt_no"))
+    return sets.select(F.explode("model").alias("model")), sets.select(F.explode("prompt_no").alias("prompt_no"))
+
+
 def prompt_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Every run of models, countries, prompts and language legs."""
-    r = table(spark, d, "model_inference_results")
-    return prompts.matrix(r.select("model"), table(spark, d, "countries"), r.select("prompt_no").where("prompt_no is not null"))
+    models, ids = _dimensions(table(spark, d, "model_inference_results"))
+    return prompts.matrix(models, table(spark, d, "countries"), ids)
 
 
 def resume_anti(spark: SparkSession, d: str) -> DataFrame:
@@ -157,17 +163,20 @@ def hard_match(spark: SparkSession, d: str) -> DataFrame:
     return scoring.hard_match(table(spark, d, "model_inference_results"), table(spark, d, "annotations"))
 
 
+def _results(spark: SparkSession, d: str, second: DataFrame) -> DataFrame:
+    first = hard_match(spark, d).select(*RUN, F.col("em_b").alias("sem_b"), F.col("em_w").alias("sem_w"))
+    return scoring.merge_results(scoring.as_results(first), scoring.as_results(second))
+
+
 def results_table(spark: SparkSession, d: str) -> DataFrame:
-    """Scores by method; those of a second evaluation stand over
-    the first."""
-    s = scoring.as_results(soft_match(spark, d))
-    return scoring.merge_results(s.withColumn("score", F.lit(-1.0)), s)
+    """Scores by method; those of the second evaluation, by words,
+    stand over those of the first, by equality."""
+    return _results(spark, d, soft_match(spark, d))
 
 
 def results_table_lemma(spark: SparkSession, d: str) -> DataFrame:
     """results_table of the scores by folded words."""
-    s = scoring.as_results(soft_match_lemma(spark, d))
-    return scoring.merge_results(s.withColumn("score", F.lit(-1.0)), s)
+    return _results(spark, d, soft_match_lemma(spark, d))
 
 
 def cross_group(spark: SparkSession, d: str) -> DataFrame:
@@ -379,15 +388,15 @@ def keep_last_events(spark: SparkSession, d: str) -> DataFrame:
 
 def row_seq(spark: SparkSession, d: str) -> DataFrame:
     """Running number of a user's events."""
-    e = sequence(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], [F.col("event_id")], "cnt")
-    return e.select("user_id", "event_id", "cnt")
+    e = running(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", {"cnt": F.lit(1)})
+    return e.select("user_id", "event_id", (F.col("cnt") - 1).alias("cnt"))
 
 
 def running_score(spark: SparkSession, d: str) -> DataFrame:
     """Running share of clicks of a user."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = (F.col("event_type") == "click").cast("int")
-    return table(spark, d, "events").select("user_id", "event_id", F.round(F.avg(hit).over(w), 6).alias("score"))
+    hit = F.coalesce((F.col("event_type") == "click").cast("int"), F.lit(0))
+    e = running(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", {"hits": hit, "seen": F.lit(1)})
+    return e.select("user_id", "event_id", F.round(F.col("hits") / F.col("seen"), 6).alias("score"))
 
 
 def nfd_lemma(spark: SparkSession, d: str) -> DataFrame:
@@ -459,6 +468,15 @@ agg AS (SELECT model, country, language, prompt_no, sum(b) AS h, sum(w) AS w FRO
 runs AS (SELECT DISTINCT model, country, language, prompt_no FROM model_inference_results),
 sem AS (SELECT runs.model, runs.country, runs.language, runs.prompt_no, questions, round(100 * coalesce(h, 0) / questions, 6) AS sem_b, round(100 * coalesce(agg.w, 0) / questions, 6) AS sem_w
 FROM runs LEFT JOIN agg ON runs.model IS NOT DISTINCT FROM agg.model AND runs.country IS NOT DISTINCT FROM agg.country AND runs.language IS NOT DISTINCT FROM agg.language AND runs.prompt_no IS NOT DISTINCT FROM agg.prompt_no JOIN den ON runs.country = den.country)"""
+_HARD = f"""hden AS (SELECT country, count(*) AS n FROM ann GROUP BY country),
+hj AS (SELECT norm.model, norm.country, norm.language, norm.prompt_no, resp_id, nr, annotations, list_max(list_transform(annotations, lambda g: coalesce(g.count, 0))) AS most FROM norm JOIN ann ON norm.country = ann.country AND norm.id = ann.qid),
+hgrp AS (SELECT resp_id, nr, unnest(annotations) AS g FROM hj),
+hans AS (SELECT resp_id, nr, coalesce(g.count, 0) AS c, unnest(list_concat(coalesce(g.answers, []), coalesce(g.en_answers, []))) AS a FROM hgrp),
+hhit AS (SELECT resp_id, max(c) AS c FROM hans WHERE lower({_strip('a')}) = nr AND nr <> '' GROUP BY resp_id),
+hs AS (SELECT hj.*, CASE WHEN hhit.resp_id IS NULL THEN 0 ELSE 1 END AS h, CASE WHEN hhit.resp_id IS NULL THEN 0.0 ELSE coalesce(hhit.c / nullif(most, 0), 0.0) END AS w FROM hj LEFT JOIN hhit USING (resp_id)),
+hard AS (SELECT model, hs.country, language, prompt_no, round(100 * sum(h) / any_value(n), 6) AS em_b, round(100 * sum(w) / any_value(n), 6) AS em_w FROM hs JOIN hden ON hs.country = hden.country GROUP BY ALL)"""
+_MERGED = """ SELECT * FROM (SELECT model, country, language, prompt_no, 'SEM-B' AS eval_method, sem_b AS score, 1 AS seq FROM sem UNION ALL SELECT model, country, language, prompt_no, 'SEM-W', sem_w, 1 FROM sem
+UNION ALL SELECT model, country, language, prompt_no, 'SEM-B', em_b, 0 FROM hard UNION ALL SELECT model, country, language, prompt_no, 'SEM-W', em_w, 0 FROM hard) QUALIFY row_number() OVER (PARTITION BY model, country, language, prompt_no, eval_method ORDER BY seq DESC) = 1"""
 _JSON = r"""d AS (SELECT DISTINCT resp_id, prompt, response FROM model_inference_results),
 b AS (SELECT *, replace(replace(replace(regexp_extract(replace(response, chr(10), ''), '\{[^}]+\}'), '```json', ''), '`', ''), ',}', '}') AS body FROM d),
 o AS (SELECT *, CASE WHEN body <> '' AND json_valid(body) THEN body::JSON END AS j FROM b)"""
@@ -569,18 +587,11 @@ ans AS (SELECT resp_id, nr, pos, g, e.a AS a, aw, rw FROM ans0 LEFT JOIN aw ON a
 SQL: dict[str, str] = {
     "soft_match": _SOFT_RUNS + " SELECT * FROM sem",
     "soft_scored": _SOFT + " SELECT resp_id, id, country, b AS binary_score, round(w, 6) AS weight_score FROM scored",
-    "results_table": _SOFT_RUNS + " SELECT model, country, language, prompt_no, 'SEM-B' AS eval_method, sem_b AS score FROM sem UNION ALL SELECT model, country, language, prompt_no, 'SEM-W', sem_w FROM sem",
+    "results_table": f"{_SOFT_RUNS}, {_HARD} SELECT model, country, language, prompt_no, eval_method, score FROM ({_MERGED})",
     "soft_match_lemma": _lemma_soft(_SOFT_RUNS) + " SELECT * FROM sem",
     "soft_scored_lemma": _lemma_soft(_SOFT) + " SELECT resp_id, id, country, b AS binary_score, round(w, 6) AS weight_score FROM scored",
-    "results_table_lemma": _lemma_soft(_SOFT_RUNS) + " SELECT model, country, language, prompt_no, 'SEM-B' AS eval_method, sem_b AS score FROM sem UNION ALL SELECT model, country, language, prompt_no, 'SEM-W', sem_w FROM sem",
-    "hard_match": f"""WITH {_ANN}, {_LAST_R}, {_NORMAL},
-den AS (SELECT country, count(*) AS n FROM ann GROUP BY country),
-j AS (SELECT norm.model, norm.country, norm.language, norm.prompt_no, resp_id, nr, annotations, list_max(list_transform(annotations, lambda g: coalesce(g.count, 0))) AS most FROM norm JOIN ann ON norm.country = ann.country AND norm.id = ann.qid),
-grp AS (SELECT resp_id, nr, unnest(annotations) AS g FROM j),
-ans AS (SELECT resp_id, nr, coalesce(g.count, 0) AS c, unnest(list_concat(coalesce(g.answers, []), coalesce(g.en_answers, []))) AS a FROM grp),
-hit AS (SELECT resp_id, max(c) AS c FROM ans WHERE lower({_strip('a')}) = nr AND nr <> '' GROUP BY resp_id),
-s AS (SELECT j.*, CASE WHEN hit.resp_id IS NULL THEN 0 ELSE 1 END AS h, CASE WHEN hit.resp_id IS NULL THEN 0.0 ELSE coalesce(hit.c / nullif(most, 0), 0.0) END AS w FROM j LEFT JOIN hit USING (resp_id))
-SELECT model, s.country, language, prompt_no, round(100 * sum(h) / any_value(n), 6) AS em_b, round(100 * sum(w) / any_value(n), 6) AS em_w FROM s JOIN den ON s.country = den.country GROUP BY ALL""",
+    "results_table_lemma": f"{_lemma_soft(_SOFT_RUNS)}, {_HARD} SELECT model, country, language, prompt_no, eval_method, score FROM ({_MERGED})",
+    "hard_match": f"WITH {_ANN}, {_LAST_R}, {_NORMAL}, {_HARD} SELECT * FROM hard",
     "question_latest": f"WITH {_LAST_Q} SELECT id, country, lower({_strip('topic')}) AS topic, source, {_strip('question')} AS question FROM q",
     "question_first": "SELECT id, country, question FROM questions QUALIFY row_number() OVER (PARTITION BY id, country ORDER BY updated_at ASC NULLS FIRST, question ASC NULLS FIRST) = 1",
     "prompt_render": f"""WITH {_LAST_Q}, j AS (SELECT q.*, c.language AS native FROM q JOIN countries c USING (country)),

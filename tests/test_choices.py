@@ -92,3 +92,37 @@ def test_representative(spark):
     rows = [(1, "UK", "q", "x", [([], ["a", "b"], 3), ([], [], 9), ([], ["c"], None), ([], ["a"], 1), ([], [" "], 4), (None, None, 2)], None, t)]
     got = {(r.answer, r.votes, r.pos) for r in choices.representative(spark.createDataFrame(rows, schema)).collect()}
     assert got == {("a", 1, 0), ("c", 0, 2)}
+
+
+def test_judgements(spark):
+    rows = [("UK", "q", "x", "rice", 3, 0), ("US", "q", "x", "kite", 3, 0), ("US", "q", "x", "oats", 2, 1), ("Iran", "q", "x", "7", 2, 0)]
+    reps = spark.createDataFrame(rows, "country string, qid string, question string, answer string, votes bigint, pos int")
+    judged = spark.createDataFrame([("q", "rice", "kite", False), ("q", "oats", "rice", True)], "qid string, a string, b string, is_similar boolean")
+    uk = lambda **k: [c.answer for c in choices.distractors(reps, countries(spark), judged, **k).where("country = 'UK'").first().choices]
+    assert uk() == ["kite"]  # 7 against rice was not judged: similar
+    assert uk(unjudged=False) == ["kite", "7"]
+    typed = spark.createDataFrame([("UK", "q", "MM/DD?", "1/31", 3, 0), ("US", "q", "MM/DD?", "2/28", 3, 0)], "country string, qid string, question string, answer string, votes bigint, pos int")
+    got = choices.distractors(typed, countries(spark), judged).where("country = 'UK'").first()
+    assert [c.answer for c in got.choices] == ["2/28"]  # two dates that differ need no judge
+
+
+def test_fillers(spark):
+    reps = spark.createDataFrame([("UK", "q", "rice")], "country string, qid string, answer string")
+    options = spark.createDataFrame([("q", "rice"), ("q", "Rice"), ("q", "Oak"), ("q", "oak"), ("q", None), ("q", " "), ("z", "rice")], "qid string, option string")
+    assert {tuple(r) for r in choices.fillers(options, reps).collect()} == {("q", "rice"), ("q", "oak"), ("z", "rice")}  # as written, "Rice" is no answer
+
+
+def test_choices_file_round_trip(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from polyquill.sources import files
+
+    rows = [("US", "q", "Who, in \"your country\"?", ["z"], [("UK", "a"), ("Spain", 'b "x"'), ("Iran", "c")])]
+    df = spark.createDataFrame(rows, "country string, qid string, question string, answers array<string>, choices array<struct<country:string,answer:string>>")
+    mc = choices.assemble(df, countries(spark), all_countries=False)
+    files.write_csv(choices.encoded(mc), str(tmp_path / "mc"))
+    back = files.read_choices(spark, str(tmp_path / "mc"))
+    assert [r.asDict() for r in back.collect()] == [r.asDict() for r in mc.collect()] and back.count() == 1
+    watch = Observation("written")
+    files.write_table(mc, str(tmp_path / "t"), watch=watch)
+    assert watch.get["rows"] == 1

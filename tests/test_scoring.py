@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from datetime import datetime
 
 from polyquill.operators import scoring
@@ -73,3 +74,19 @@ def test_results_keep_last(spark):
 def test_choice_accuracy(spark):
     df = spark.createDataFrame([("m", "c", "A", "A"), ("m", "c", "B", None), ("m", "c", None, None)], "model string, country string, answer_idx string, final_ans string")
     assert abs(scoring.choice_accuracy(df).first().score - 2 / 3) < 1e-9
+
+
+def test_running_sums_over_blocks(spark):
+    import random
+
+    from polyquill.operators.latest import running
+
+    r = random.Random(1)
+    rows = [(r.choice(("hot", "hot", "hot", "b", None)), i * 3, r.randint(0, 4)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i bigint, v int")
+    got = {x.i: (x.s, x.n) for x in running(df, ["k"], "i", {"s": F.col("v"), "n": F.lit(1)}, block=40).collect()}
+    sums = {}
+    for k, i, v in rows:
+        sums[k] = (sums.get(k, (0, 0))[0] + v, sums.get(k, (0, 0))[1] + 1)
+        assert got[i] == sums[k]
+    assert len(got) == 500 and running(df.limit(0), ["k"], "i", {"s": F.col("v")}).count() == 0
