@@ -231,7 +231,12 @@ def _chosen(spark: SparkSession, d: str) -> DataFrame:
 
 def distractor_greedy(spark: SparkSession, d: str) -> DataFrame:
     """Greedy distractors of every question and country, in order."""
-    c = _chosen(spark, d).select("country", "qid", F.posexplode("choices").alias("n", "c"))
+    return _one_by_one(_chosen(spark, d))
+
+
+def _one_by_one(chosen: DataFrame) -> DataFrame:
+    # The outer form: the inner one filters by the list's size first, and makes the fold twice.
+    c = chosen.select("country", "qid", F.posexplode_outer("choices").alias("n", "c")).where("c is not null")
     return c.select("country", "qid", F.col("n").cast("bigint").alias("n"), F.col("c.country").alias("other_country"), F.col("c.answer").alias("answer"))
 
 
@@ -243,8 +248,7 @@ def distractor_judged(spark: SparkSession, d: str) -> DataFrame:
     each = reps.select("qid", "answer").distinct()
     a, b = each.select("qid", F.col("answer").alias("a")), each.select("qid", F.col("answer").alias("b"))
     judged = a.join(b, "qid").where("a < b").withColumn("is_similar", F.substring("a", 1, 1) == F.substring("b", 1, 1))
-    c = choices.distractors(reps, table(spark, d, "countries"), judged).select("country", "qid", F.posexplode("choices").alias("n", "c"))
-    return c.select("country", "qid", F.col("n").cast("bigint").alias("n"), F.col("c.country").alias("other_country"), F.col("c.answer").alias("answer"))
+    return _one_by_one(choices.distractors(reps, table(spark, d, "countries"), judged))
 
 
 def min_choices(spark: SparkSession, d: str) -> DataFrame:
