@@ -40,7 +40,7 @@ from polyquill.session import ensure_checkpoint_dir
 DEFECTS = ("empty", "truncated", "refusal", "copy", "other_language")
 #: Posteriors above which a defect stands, validated on labelled pairs in 13
 #: languages that share no sentence with any table (tests/llm/test_pairs.py).
-CUTOFFS = {"empty": 0.5, "truncated": 0.5, "refusal": 0.5, "copy": 0.5, "other_language": 0.5}
+CUTOFFS = {"empty": 0.5, "truncated": 0.5, "refusal": 0.9, "copy": 0.5, "other_language": 0.5}
 YES, NO, ABSTAIN = 1, 2, 0
 
 #: Least share of a language's words, and of all first words, that is kept.

@@ -90,14 +90,14 @@ LEAST = {"empty": (0.99, 0.99), "truncated": (0.9, 0.85), "refusal": (0.9, 0.85)
 
 def figures(spark, k, cutoff):
     rows, truth = collection(k)
-    got = {(r.resp_id, r.defect) for r in pairs.defects(spark.createDataFrame(rows, SCHEMA), LANGUAGES, dict.fromkeys(pairs.DEFECTS, cutoff)).collect()}
+    got = {(r.resp_id, r.defect) for r in pairs.defects(spark.createDataFrame(rows, SCHEMA), LANGUAGES, None if cutoff is None else dict.fromkeys(pairs.DEFECTS, cutoff)).collect()}
     want = {(i, d) for i, (ds, _) in truth.items() for d in ds}
     return rows, truth, want, got
 
 
 @pytest.fixture(scope="module")
 def held_out(spark):
-    return figures(spark, 1, 0.5)
+    return figures(spark, 1, None)
 
 
 @pytest.mark.parametrize("defect", pairs.DEFECTS)
