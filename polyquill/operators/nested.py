@@ -162,15 +162,15 @@ def read_records(payload: str | None, id_fields: tuple[str, ...] = ID_FIELDS) ->
         return []
 
 
-def why_unreadable(payload: str | None) -> str | None:
-    """Why a payload gives no rows; None if it has records."""
+def why_unreadable(payload: str | None) -> tuple[str, str] | None:
+    """Why a payload gives no rows, and where; None if it has records."""
     if payload is None or not payload.strip():
-        return "empty"
+        return "empty", ""
     try:
         doc = decode(payload)
     except ValueError as error:
-        return f"invalid JSON: {error}"
-    return None if records_of(doc) else "no record"
+        return "invalid JSON", str(error)
+    return None if records_of(doc) else ("no record", "")
 
 
 _encode = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
@@ -424,14 +424,14 @@ def annotation_nodes(df: DataFrame, id_col: str = "file_id", payload_col: str =
 
 
 def unreadable(df: DataFrame, id_col: str = "file_id", payload_col: str = "payload") -> DataFrame:
-    """(file_id, reason) of every payload that gives no record; map-only."""
+    """(file_id, reason, detail) of every payload that gives no record; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(f, why) for f, payload in _rows_by_file(batch) if (why := why_unreadable(payload))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["file_id", "reason"])
+            rows = [(f, *why) for f, payload in _rows_by_file(batch) if (why := why_unreadable(payload))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["file_id", "reason", "detail"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("file_id"), F.col(payload_col).alias("payload")).mapInArrow(run, "file_id bigint, reason string")
+    return df.select(F.col(id_col).cast("bigint").alias("file_id"), F.col(payload_col).alias("payload")).mapInArrow(run, "file_id bigint, reason string, detail string")
 
 
 def flat_annotations(rows: DataFrame) -> DataFrame:

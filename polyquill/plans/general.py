@@ -26,7 +26,7 @@ def p4_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads that give no rows, with the reason."""
-    return nested.unreadable(table(spark, sf_dir, "annotation_files"))
+    return nested.unreadable(table(spark, sf_dir, "annotation_files")).select("file_id", "reason")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,10 @@ r AS (SELECT * FROM k WHERE qid IS NOT NULL QUALIFY row_number() OVER (PARTITION
 _ITEMS = "CASE WHEN json_type({x}) = 'ARRAY' THEN {x} WHEN coalesce(json_type({x}), 'NULL') <> 'NULL' THEN json_array({x}) END"
 
 SQL: dict[str, str] = {
+    "p4_unreadable": _RECORDS + """,
+u AS (SELECT row_number() OVER () AS rid, payload FROM annotation_files)
+SELECT file_id, CASE WHEN payload IS NULL OR trim(payload, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty' WHEN j IS NULL THEN 'invalid JSON' ELSE 'no record' END AS reason
+FROM f JOIN u USING (rid) WHERE rid NOT IN (SELECT rid FROM r WHERE json_type(rec) = 'OBJECT')""",
     "p4_found": _RECORDS + f""",
 l AS (SELECT rid, file_id, qid, unnest([{_ITEMS.format(x="(rec -> '$.annotations')")}, {_ITEMS.format(x="(rec -> '$.aggregated_answers')")}]) AS gs FROM r WHERE json_type(rec) = 'OBJECT'),
 g AS (SELECT l.rid, file_id, qid, x.key::INT AS grp, x.value AS g FROM l, json_each(l.gs) AS x WHERE gs IS NOT NULL AND json_type(x.value) = 'OBJECT'),
