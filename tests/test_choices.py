@@ -126,3 +126,17 @@ def test_choices_file_round_trip(spark, tmp_path):
     watch = Observation("written")
     files.write_table(mc, str(tmp_path / "t"), watch=watch)
     assert watch.get["rows"] == 1
+
+
+def test_letters_as_questions(spark):
+    """Counts, least numbers and greatest choices by letter, without the questions
+    themselves: as from them, for texts that JSON escapes and orders otherwise too."""
+    names = ["UK", "Spain", "Iran", "Mexico", "China", "Greece", "Assam"]
+    texts = ["a", 'a"', "a!", "a b", "\u00e9", "B\\", "z"]
+    rows = [(c, q, "Who?", [f"own{i}", "a!x"], [(n, t) for n, t in zip(names, texts) if n != c]) for q in ("q", "r") for i, c in enumerate(["US", "UK", "Iran"])]
+    df = spark.createDataFrame(rows, "country string, qid string, question string, answers array<string>, choices array<struct<country:string,answer:string>>")
+    options = spark.createDataFrame([(q, x) for q in ("q", "r") for x in ("k", "l", "m")], "qid string, option string")
+    for given in ((df, countries(spark), None, False), (df, countries(spark), options, True)):
+        mc = choices.assemble(*given).groupBy("ID", "country", "answer_idx").agg(F.count(F.lit(1)).alias("n"), F.min("MCQID").alias("first_id"), F.max(F.to_json("choices")).alias("last_choices"))
+        want = sorted(map(tuple, mc.collect()))
+        assert want and sorted(map(tuple, choices.letters(*given).collect())) == want
