@@ -5,7 +5,7 @@ strings and use decimal digits of any script."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space inside a character class, for Java and RE2 alike.
@@ -127,7 +127,14 @@ def first_capital(text: Column) -> Column:
 
 def key_of_value(options: Column, value: Column) -> Column:
     """The first key whose value equals `value`."""
-    return F.get(F.filter(F.map_entries(options), lambda e: e["value"] == value), F.lit(0))["key"]
+    return F.get(F.map_keys(options), (F.array_position(F.map_values(options), value) - 1).cast("int"))
+
+
+#: A text whose first braces hold one key with one text, nothing escaped in them:
+#: the key, and the text where the key is that of the answer.
+_PLAIN = r'[^"\\{}`\x00-\x1f\x7f]'
+_ONE_KEY = rf'^[^{{]*+\{{ *"({_PLAIN}+)" *: *"{_PLAIN}*" *,?\}}'
+_ONE_CHOICE = rf'^[^{{]*+\{{ *"answer_choice" *: *"({_PLAIN}+)" *,?\}}'
 
 
 def choice_letter(full_res: Column, prompt: Column, options: Column) -> Column:
@@ -144,6 +151,20 @@ def choice_letter(full_res: Column, prompt: Column, options: Column) -> Column:
     return F.when(has, picked).when(parsed.isNotNull(), full_res).otherwise(F.coalesce(first_capital(full_res), full_res))
 
 
+def with_choice_letter(answered: DataFrame, name: str = "final_ans") -> DataFrame:
+    """`answered` (full_res, prompt, choices) with its choice_letter. The usual
+    forms, texts without a brace and objects of one key with a plain text, are
+    read step by step, each pattern once a row; any other goes to the parser."""
+    full, brace = F.col("full_res"), F.col("full_res").contains("{")
+    rows = answered.withColumn("_plain", F.when(brace, F.regexp_extract(full, _ONE_CHOICE, 1)).otherwise(""))
+    rows = rows.withColumn("_first", F.regexp_extract(F.when(brace, F.col("_plain")).otherwise(full), "[A-Z]", 0))
+    first = F.col("_first")
+    anywhere = F.when(first != "", first).otherwise(full)
+    listed = F.when((first != "") & F.col("prompt").contains(F.concat(first, F.lit("."))), first).otherwise(F.coalesce(key_of_value(F.col("choices"), F.col("_plain")), full))
+    letter = F.when(~brace, anywhere).when(F.col("_plain") != "", listed).when(full.rlike(_ONE_KEY) & ~full.contains('"answer_choice"'), full).otherwise(choice_letter(full, F.col("prompt"), F.col("choices")))
+    return rows.withColumn(name, letter).drop("_plain", "_first")
+
+
 def between(text: Column, start: str, end: str) -> Column:
     """What lies between two markers; to the end if the second is missing."""
     return F.substring_index(F.when(text.contains(start), F.regexp_replace(text, f"(?s)^.*?{_quote(start)}", "")), end, 1)

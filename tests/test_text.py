@@ -83,3 +83,13 @@ def test_lemmas(spark):
     assert lemma.lemmas("İki-üç 'x'", "Azerbaijani") == ["iki-üç", "x"] or lemma.lemmas("İki", "Azerbaijani") == ["iki"]
     df = spark.createDataFrame([("A b.", "English"), (None, None), ("", "Greek")], "t string, l string")
     assert [r[0] for r in df.select(lemma.lemmas_udf()(F.col("t"), F.col("l"))).collect()] == [["a", "b"], None, []]
+
+
+def test_letters_step_by_step(spark):
+    """Every form reads as by the parser, in steps or not."""
+    said = ['{"answer_choice":"B"}', 'So: {"answer_choice": "tea",}', '```json {"answer_choice": "rice",}```', '{"answer_choice":""}', '{"answer_choice":null}', '{"answer_choice":1.50}', '{"choice":"A"}', '{"choice":"A","answer_choice":"B"}']
+    said += ['{"answer_choice":"a\\u0042"}', '{"answer\\u005fchoice":"B"}', "{B}", "It is C.", "none", "", None, '{\n"answer_choice": "Z"}', '{"answer_choice":"no\ntea"}', '{"x":"answer_choice"} B', '{"answer_choice":"B"} {"answer_choice":"A"}', '{}{"answer_choice":"B"}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, full_res string").withColumn("prompt", F.lit("A. tea\nB. rice\nC. 1.50\n")).withColumn("choices", F.create_map(*(F.lit(x) for x in ("A", "tea", "B", "rice", "C", "1.50"))))
+    got = T.with_choice_letter(df).withColumn("parsed", T.choice_letter(F.col("full_res"), F.col("prompt"), F.col("choices"))).orderBy("i").collect()
+    assert [r.final_ans for r in got] == [r.parsed for r in got]
+    assert [r.final_ans for r in got][:3] == ["B", "A", "B"]
