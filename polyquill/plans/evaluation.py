@@ -316,7 +316,7 @@ def letter_extract(spark: SparkSession, d: str) -> DataFrame:
 
 def mc_score(spark: SparkSession, d: str) -> DataFrame:
     """Share of right letters by model and country."""
-    a = _answers(spark, d).withColumn("final_ans", T.choice_letter(F.col("full_res"), F.col("prompt"), F.col("choices")))
+    a = T.with_choice_letter(_answers(spark, d))
     return scoring.choice_accuracy(a).select("model", "country", F.round("score", 6).alias("score"))
 
 
