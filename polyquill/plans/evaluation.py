@@ -323,7 +323,7 @@ def mc_score(spark: SparkSession, d: str) -> DataFrame:
 def running_mc_score(spark: SparkSession, d: str) -> DataFrame:
     """The share of right letters so far, by model and question, in the
     order of the questions' numbers."""
-    a = _answers(spark, d).withColumn("right", (T.choice_letter(F.col("full_res"), F.col("prompt"), F.col("choices")) == F.col("answer_idx")).cast("int"))
+    a = T.with_choice_letter(_answers(spark, d)).withColumn("right", (F.col("final_ans") == F.col("answer_idx")).cast("int"))
     w = Window.partitionBy("model", "ID").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return a.select("model", "MCQID", F.round(F.avg(F.coalesce("right", F.lit(0))).over(w), 6).alias("score"))
 
